@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.timegrid import time_literal, time_type
 from panelweave.operators.series import fill_gaps, forward_fill
-from panelweave.sources.staging import stage
+from panelweave.sources.staging import stage_counted
 from panelweave.spec import PanelSpec
 
 # A side with at most this many (narrow) rows is copied to every executor.
@@ -31,10 +31,12 @@ def attach(
     how: str = "left",
     limit: int = BROADCAST_ROWS,
     salts: int = SALTS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join of a large table with a side of unknown size.
 
-    ``side`` should be a stored table: its rows are counted first.  Within the limit it is
+    ``side`` should be a stored table: its rows are counted first, unless the caller knows an upper
+    bound and passes it as ``rows``.  Within the limit it is
     broadcast.  Beyond it both sides are shuffled, the fact rows of each key spread over ``salts``
     groups and the side repeated once per group, so a key with a third of all rows is no
     bottleneck.  Only joins that keep or drop fact rows are offered.
@@ -42,7 +44,7 @@ def attach(
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"attach does not offer a {how} join")
-    if fits_broadcast(side, limit):
+    if rows <= limit if rows is not None else fits_broadcast(side, limit):
         return fact.join(F.broadcast(side), keys, how)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(salts))
     groups = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
@@ -96,8 +98,10 @@ def holiday_join(
 
     Two holidays on one key give two rows unless ``dedupe`` picks the smaller name.
     """
+    # a view is no larger than the calendar, so one bounded count serves all three
+    bound = holidays.limit(BROADCAST_ROWS + 1).count()
     for view, keys, name in holiday_views(holidays, date, dedupe):
-        fact = attach(fact, view, keys, "left")
+        fact = attach(fact, view, keys, "left", rows=bound)
         fact = fact.withColumn(name, F.coalesce(F.col(name), F.lit("")))
     return fact
 
@@ -139,8 +143,8 @@ def attach_filled_series(
         filled = fill_gaps(dated, spec, forward=kept)
     else:
         filled = forward_fill(dated, spec, [value, "__seen"])
-    filled = stage(filled.drop("__place"), "filled-series")
-    joined = attach(fact, filled, [date, place] if place else [date], how)
+    filled, rows = stage_counted(filled.drop("__place"), "filled-series")
+    joined = attach(fact, filled, [date, place] if place else [date], how, rows=rows)
     return joined.withColumn(
         value, F.when(F.col("__seen") >= F.col(since), F.col(value))
     ).drop("__seen")

@@ -63,6 +63,13 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str], ranges: int | None = N
     )
 
 
+def _sizes(state: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Vocabulary size per column, one small job for all of them."""
+    counts = state.where(F.col("column").isin(list(columns))).groupBy("column").count()
+    found = {r["column"]: r["count"] for r in counts.collect()}  # one row per column
+    return {c: found.get(c, 0) for c in columns}
+
+
 def encode_labels(
     df: DataFrame,
     state: DataFrame,
@@ -78,13 +85,13 @@ def encode_labels(
     """
     if unseen not in ("error", "skip", "keep"):
         raise ValueError("unseen must be 'error', 'skip' or 'keep'")
-    out = df
+    out, sizes = df, _sizes(state, columns)
     for c in columns:
         codes = state.where(F.col("column") == c).select(
             F.col("value").alias("__value"), F.col("code").alias("__code")
         )
         keyed = out.withColumn("__value", F.col(c).cast("string"))
-        joined = attach(keyed, codes, "__value", "left", limit, salts)
+        joined = attach(keyed, codes, "__value", "left", limit, salts, sizes[c])
         code = F.col("__code")
         if unseen == "error":
             text = F.concat(
@@ -94,11 +101,7 @@ def encode_labels(
         elif unseen == "skip":
             joined = joined.where(code.isNotNull())
         else:
-            size = codes.agg(F.count(F.lit(1)).cast("int").alias("__size"))  # one row
-            joined = joined.withColumn("__one", F.lit(1)).join(
-                F.broadcast(size.withColumn("__one", F.lit(1))), "__one", "left"
-            )
-            code = F.coalesce(code, F.col("__size"))
+            code = F.coalesce(code, F.lit(sizes[c]))
         out = joined.withColumn(c, code.cast("int")).select(*df.columns)
     return out
 
@@ -107,12 +110,12 @@ def decode_labels(
     df: DataFrame, state: DataFrame, columns: Sequence[str], types: dict[str, str] | None = None
 ) -> DataFrame:
     """Replace codes by the values they stand for, cast to ``types`` where given."""
-    out = df
+    out, sizes = df, _sizes(state, columns)
     for c in columns:
         values = state.where(F.col("column") == c).select(
             F.col("code").alias("__code"), F.col("value").alias("__value")
         )
-        joined = attach(out.withColumn("__code", F.col(c).cast("int")), values, "__code", "left")
+        joined = attach(out.withColumn("__code", F.col(c).cast("int")), values, "__code", "left", rows=sizes[c])
         value = F.col("__value")
         if types and c in types:
             value = value.cast(types[c])

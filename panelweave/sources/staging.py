@@ -11,7 +11,8 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -42,6 +43,13 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
+    """``stage`` plus the number of rows, counted while they are written."""
+    seen = Observation()
+    stored = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return stored, seen.get["rows"]
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Reuse the table stored at ``path``; compute and store it only when there is none."""
     try:

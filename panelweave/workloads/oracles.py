@@ -233,7 +233,7 @@ check(
            cast(dense_rank() over (order by national_hol) - 1 as integer) as national_hol,
            cast(dense_rank() over (order by regional_hol) - 1 as integer) as regional_hol,
            cast(dense_rank() over (order by local_hol) - 1 as integer) as local_hol,
-           cast(dense_rank() over (order by onpromotion) - 1 as integer) as onpromotion,
+           cast(dense_rank() over (order by coalesce(onpromotion, 0)) - 1 as integer) as onpromotion,
            cast(dense_rank() over (order by open) - 1 as integer) as open, city, family
     from star, scaler""",
     **STAR,
@@ -315,13 +315,13 @@ NUMBERED = """select id, ts, y, row_number() over (partition by id order by ts)
                      count(*) over (partition by id) as n from {t}"""
 check(
     "sliding_windows", [],
-    "select * replace (round(y, 4) as y) from (" + WINDOWS.format(t=12) + ")",
-    days="select cast(0 as integer) as id, cast(o_orderdate as date) as ts, avg(o_totalprice) as y from orders group by 2",
+    "select * replace (round(y, 6) as y) from (" + WINDOWS.format(t=12) + ")",
+    days="select cast(0 as integer) as id, cast(o_orderdate as date) as ts, round(sum(o_totalprice), 2) as y from orders group by 2",
     numbered=NUMBERED.format(t="days"),
 )
 check(
     "panel_windows", ["daily"],
-    "select * replace (round(y, 4) as y) from (" + WINDOWS.format(t=7) + ")",
+    "select * replace (round(y, 6) as y) from (" + WINDOWS.format(t=7) + ")",
     numbered=NUMBERED.format(t="daily"),
 )
 DENSE = {
@@ -484,7 +484,7 @@ check(
 )
 check(
     "evaluate_forecast", ["daily"],
-    f"select id, step, round(avg({BAND_LOSS}), 6) as loss, count(*) as windows from fc group by 1, 2",
+    f"select id, step, round(avg({BAND_LOSS}), 8) as loss, count(*) as windows from fc group by 1, 2",
     **PERSIST,
 )
 SCALED = {

@@ -398,7 +398,7 @@ def _order_days(spark, sf):
     return (
         S.table(spark, sf, "orders")
         .groupBy(F.col("o_orderdate").cast("date").alias("ts"))
-        .agg(F.avg("o_totalprice").alias("y"))
+        .agg(F.round(F.sum("o_totalprice"), 2).alias("y"))
         .withColumn("id", F.lit(0))
     )
 
@@ -406,7 +406,7 @@ def _order_days(spark, sf):
 def _exploded(w):
     step = F.posexplode("steps").alias("step", "s")
     return w.select("id", "window_ts", "is_first", step).select(
-        "id", "window_ts", "is_first", "step", F.col("s.ts").alias("ts"), F.round("s.y", 4).alias("y")
+        "id", "window_ts", "is_first", "step", F.col("s.ts").alias("ts"), F.round("s.y", 6).alias("y")
     )
 
 
@@ -627,7 +627,8 @@ def electricity_transform(spark, sf):
 @query
 def retail_transform(spark, sf):
     """The retail panel scaled and encoded, and the encoded part decoded again."""
-    panel = staging.stage(_star(spark, sf), "star")
+    known = C.fill_constant(_star(spark, sf), {"onpromotion": 0})  # unknown before the first day
+    panel = staging.stage(C.downcast(known), "star")
     prep = retail_preprocessor()
     state = prep.fit(panel)
     out = prep.transform(panel, state)
@@ -700,7 +701,7 @@ def evaluate_forecast(spark, sf):
     scores = evaluate.evaluate_forecast(
         _forecast_rows(spark, sf), ["id", "window_ts"], BANDS, ["id", "step"]
     )
-    return scores.select("id", "step", r6("loss"), "windows")
+    return scores.select("id", "step", F.round("loss", 8).alias("loss"), "windows")
 
 
 def _design(spark, sf):
@@ -900,7 +901,8 @@ def resample_stream(spark, sf):
     events = S.table(spark, sf, "events")
     stream = (
         spark.readStream.schema(events.schema)
-        .parquet(f"{sf}/events.parquet")
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf)
         .select(F.col("user_id").alias("id"), "ts", F.col("value").alias("y"))
     )
     out = streaming.run_available(streaming.resample_stream(stream, S.HOURLY))
