@@ -4,6 +4,9 @@ Rows are grouped by (entity, time piece).  What a piece needs from its past or f
 value, next observation, number of earlier rows) comes from a summary with one row per piece, built
 with a map-side partial aggregate and joined back on the same (entity, piece) key the window uses.
 The facts are therefore shuffled once, on a key whose groups have a bounded size.
+
+The input is read twice, for the summary (only the columns it needs) and for the rows.  Stage an
+input that is expensive to compute; a stored table is scanned twice, which is cheap.
 """
 
 from __future__ import annotations

@@ -33,6 +33,7 @@ def sliding_windows(
     ``length - 1`` rows of the next one, so every window lies whole inside one block and no group
     exceeds ``block_steps + length`` rows.  ``dense=True`` is for panels without gaps (as from
     ``fill_gaps``): the row number then follows from the time and no counting pass is needed.
+    Without it the rows are counted first, so ``df`` is read twice and should be a stored table.
     Entities with fewer than ``length`` rows give no window, or an error with ``short="error"``.
     """
     if length < 1:
@@ -70,12 +71,11 @@ def sliding_windows(
     step = F.struct("pos", F.col(spec.ts).alias("ts"), *named)
     groups = rows.groupBy(spec.id, "__block").agg(
         F.sort_array(F.collect_list(step)).alias("__rows"),
+        F.count(F.lit(1)).cast("int").alias("__size"),
         F.count_if(F.col("__own") == F.col("__block")).cast("int").alias("__mine"),
         F.count_if(F.col("__own") < F.col("__block")).cast("int").alias("__before"),
     )
-    last = F.least(
-        F.col("__before") + F.col("__mine"), F.size("__rows") - F.lit(length - 1)
-    )
+    last = F.least(F.col("__before") + F.col("__mine"), F.col("__size") - F.lit(length - 1))
     starts = groups.where(last > F.col("__before")).select(
         spec.id, "__rows", "__before", F.explode(F.sequence(F.col("__before") + 1, last)).alias("__i")
     )

@@ -18,8 +18,12 @@ from panelweave.spec import PanelSpec
 
 
 def dense_panel(events: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Means per grid step, gaps filled with the last known value, calendar columns added."""
-    panel = fill_gaps(resample_mean(events, spec), spec, forward=[spec.target])
+    """Means per grid step, gaps filled with the last known value, calendar columns added.
+
+    The means are staged, so the raw events are scanned and shuffled once.
+    """
+    means = stage(resample_mean(events, spec), "means")
+    panel = fill_gaps(means, spec, forward=[spec.target])
     return panel.withColumns(date_parts(F.col(spec.ts)))
 
 

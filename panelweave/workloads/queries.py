@@ -222,9 +222,8 @@ def year_filter(spark, sf):
 
 
 def _trajectories(spark, sf):
-    return S.train(spark, sf).withColumn(
-        "traj_id", C.composite_key(F.col("store_nbr"), F.col("item_nbr"))
-    )
+    train = staging.stage(S.train(spark, sf).drop("onpromotion"), "train")
+    return train.withColumn("traj_id", C.composite_key(F.col("store_nbr"), F.col("item_nbr")))
 
 
 TRAIN_SPEC = retail.TRAJECTORY.with_(target="unit_sales")
@@ -381,7 +380,7 @@ def batch_mean(spark, sf):
 
 @query
 def forward_fill(spark, sf):
-    wide = S.meters(spark, sf)
+    wide = staging.stage(S.meters(spark, sf), "meters")
     long = resample.wide_to_long(wide.withColumnRenamed("timestamp", "ts"), "ts")
     # pieces of one day, so that values are carried over many piece borders
     spec = S.HOURLY.with_(step="15 minutes", chunk_steps=96)
@@ -413,19 +412,21 @@ def _exploded(w):
 @query
 def sliding_windows(spark, sf):
     """A single long series, cut into blocks of 64 rows."""
-    days = _order_days(spark, sf)
+    days = staging.stage(_order_days(spark, sf), "order-days")
     w = windows.sliding_windows(days, S.DAILY.with_(chunk_steps=365), 12, ["y"], block_steps=64)
     return _exploded(w)
 
 
 @query
 def panel_windows(spark, sf):
-    return _exploded(windows.sliding_windows(S.daily(spark, sf), S.DAILY, WINDOW, ["y"]))
+    daily = staging.stage(S.daily(spark, sf), "daily")
+    return _exploded(windows.sliding_windows(daily, S.DAILY, WINDOW, ["y"]))
 
 
 def _dense_daily(spark, sf):
     """Gap-free daily panel, stored."""
-    panel = series.fill_gaps(S.daily(spark, sf), S.DAILY, forward=["y"])
+    daily = staging.stage(S.daily(spark, sf), "daily")
+    panel = series.fill_gaps(daily, S.DAILY, forward=["y"])
     return staging.stage(panel, "dense-daily")
 
 
