@@ -108,10 +108,11 @@ def quantile_baseline(design: DataFrame, quantiles: Sequence[float] = QUANTILES)
     return exact_quantiles(long, ["step"], "y", quantiles)
 
 
-def _epoch(weights, taus, batch_size: int, rate: float, train: bool) -> Callable:
+def _epoch(weights, squares, taus, batch_size: int, rate: float, train: bool) -> Callable:
     """One pass over a partition: losses of the incoming weights, then minibatch steps.
 
-    Yields one row: rows and loss of both parts and the partition's weights times its rows.
+    The step of a weight shrinks with the sum of its squared gradients.  Yields one row: rows and
+    loss of both parts, and the partition's weights and squares times its rows.
     Imports stay inside, so that executors need nothing but numpy and pyarrow.
     """
 
@@ -123,7 +124,7 @@ def _epoch(weights, taus, batch_size: int, rate: float, train: bool) -> Callable
         horizon, n_taus, width = start.shape
         tau = np.asarray(taus)[None, None, :]
         w = start.copy()
-        squares = np.full_like(w, 1e-8)
+        seen = np.asarray(squares, dtype=np.float64).copy()
         rows, losses = [0, 0], [0.0, 0.0]
         for batch in batches:
             if batch.num_rows == 0:
@@ -148,8 +149,8 @@ def _epoch(weights, taus, batch_size: int, rate: float, train: bool) -> Callable
                 e = t[:, :, None] - np.einsum("nhp,hqp->nhq", p, w)
                 slope = np.where(e >= 0, -tau, 1.0 - tau)
                 grad = np.einsum("nhq,nhp->hqp", slope, p) / len(t)
-                squares += grad * grad
-                w -= rate * grad / np.sqrt(squares)
+                seen += grad * grad
+                w -= rate * grad / np.sqrt(seen)
         yield pa.RecordBatch.from_pydict(
             {
                 "train_rows": pa.array([rows[0]], pa.int64()),
@@ -157,6 +158,7 @@ def _epoch(weights, taus, batch_size: int, rate: float, train: bool) -> Callable
                 "train_loss": pa.array([losses[0]], pa.float64()),
                 "held_loss": pa.array([losses[1]], pa.float64()),
                 "w": pa.array([(w * rows[0]).ravel().tolist()], pa.list_(pa.float64())),
+                "s": pa.array([(seen * rows[0]).ravel().tolist()], pa.list_(pa.float64())),
             }
         )
 
@@ -164,7 +166,8 @@ def _epoch(weights, taus, batch_size: int, rate: float, train: bool) -> Callable
 
 
 _EPOCH_SCHEMA = (
-    "train_rows bigint, held_rows bigint, train_loss double, held_loss double, w array<double>"
+    "train_rows bigint, held_rows bigint, train_loss double, held_loss double, w array<double>, "
+    "s array<double>"
 )
 
 
@@ -214,6 +217,7 @@ def fit_quantile_model(
         raise ValueError("no training windows")
     horizon = max(r["step"] for r in start)
     weights = np.zeros((horizon, len(taus), len(names)))
+    squares = np.full_like(weights, 1e-6)
     for r in start:
         weights[r["step"] - 1, taus.index(r["quantile"]), 0] = r["value"]
 
@@ -222,16 +226,17 @@ def fit_quantile_model(
     history = []
     try:
         for epoch in range(epochs + 1):
-            rate = learning_rate / (1.0 + epoch) ** 0.5
             last = epoch == epochs
             parts = data.mapInArrow(
-                _epoch(weights, taus, batch_size, rate, not last), _EPOCH_SCHEMA
+                _epoch(weights, squares, taus, batch_size, learning_rate, not last), _EPOCH_SCHEMA
             )
             sums = parts.select(
-                "train_rows", "held_rows", "train_loss", "held_loss", F.posexplode("w")
+                "train_rows", "held_rows", "train_loss", "held_loss",
+                F.posexplode(F.arrays_zip("w", "s")),
             )
             totals = sums.groupBy("pos").agg(
-                F.sum("col").alias("w"),
+                F.sum("col.w").alias("w"),
+                F.sum("col.s").alias("s"),
                 *[F.sum(c).alias(c) for c in ("train_rows", "held_rows", "train_loss", "held_loss")],
             ).collect()  # horizon x quantiles x inputs rows
             one = totals[0]
@@ -247,10 +252,10 @@ def fit_quantile_model(
                 waited += 1
             if last or waited > patience:
                 break
-            flat = np.zeros(weights.size)
+            flat = np.zeros((2, weights.size))
             for r in totals:
-                flat[r["pos"]] = r["w"]
-            weights = (flat / max(one["train_rows"], 1)).reshape(weights.shape)
+                flat[:, r["pos"]] = r["w"], r["s"]
+            weights, squares = (flat / max(one["train_rows"], 1)).reshape(2, *weights.shape)
     finally:
         data.unpersist()
 

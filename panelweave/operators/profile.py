@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.functions.timegrid import slot, time_type
+from panelweave.operators.series import PIECE, with_piece
 from panelweave.spec import PanelSpec
 
 
@@ -59,6 +61,37 @@ def duplicate_keys(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return row_count(df, [spec.id, spec.ts]).where("rows > 1")
 
 
+def gaps(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Entities that do not have exactly one row per grid step, with rows and steps."""
+    number = slot(F.col(spec.ts), time_type(df, spec.ts), spec)
+    spans = df.groupBy(spec.id).agg(
+        F.count(F.lit(1)).alias("rows"), (F.max(number) - F.min(number) + 1).alias("steps")
+    )
+    return spans.where("rows <> steps")
+
+
+def bounded_spec(df: DataFrame, spec: PanelSpec, max_rows: int = 100_000) -> PanelSpec:
+    """The spec with time pieces short enough that none holds more than ``max_rows`` rows.
+
+    For series with many rows per grid step.  Each try is one count per (entity, piece).  A piece
+    of a single second is not cut further.
+    """
+    while True:
+        pieces = with_piece(df, spec).groupBy(spec.id, PIECE).agg(F.count(F.lit(1)).alias("n"))
+        top = pieces.agg(F.max("n")).first()[0] or 0
+        if top <= max_rows:
+            return spec
+        steps = spec.chunk_steps * max_rows // top
+        if steps >= 1:
+            spec = spec.with_(chunk_steps=int(steps))
+        elif not spec.is_monthly and spec.step_seconds == 1:
+            return spec
+        else:
+            coarse = 30 * 86400 if spec.is_monthly else spec.step_seconds
+            seconds = max(1, spec.chunk_steps * coarse * max_rows // top)
+            spec = spec.with_(step=f"{seconds} seconds", chunk_steps=1)
+
+
 def short_series(df: DataFrame, spec: PanelSpec, length: int) -> DataFrame:
     """Entities too short for one window of ``length`` steps, with their row counts."""
     return row_count(df, [spec.id]).where(F.col("rows") < length)

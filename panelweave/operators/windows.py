@@ -32,7 +32,8 @@ def sliding_windows(
     History is cut into blocks of ``block_steps`` rows; a block also receives the first
     ``length - 1`` rows of the next one, so every window lies whole inside one block and no group
     exceeds ``block_steps + length`` rows.  ``dense=True`` is for panels without gaps (as from
-    ``fill_gaps``): the row number then follows from the time and no counting pass is needed.
+    ``fill_gaps``): the row number then follows from the time and no counting pass is needed;
+    a window over a gap raises, and ``profile.gaps`` lists the entities that have any.
     Without it the rows are counted first, so ``df`` is read twice and should be a stored table.
     Entities with fewer than ``length`` rows give no window, or an error with ``short="error"``.
     """
@@ -83,6 +84,11 @@ def sliding_windows(
     start = F.element_at("__rows", F.col("__i"))
     if by_time:
         is_first = (F.col("__i") == 1) & (F.col("__before") == 0)
+        end = F.element_at("__rows", F.col("__i") + F.lit(length - 1))
+        gap = F.concat(F.lit("dense=True on a series with a gap or a repeated time: "),
+                       F.col(spec.id).cast("string"))
+        whole = end["pos"] - start["pos"] == length - 1
+        steps = F.when(whole, steps).otherwise(F.raise_error(gap))
     else:
         is_first = start["pos"] == 0
     return starts.select(
