@@ -16,6 +16,7 @@ PYTHON = {"group_apply", "predict_external_model", "fit_quantile_model"}
 
 
 def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "2000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
