@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.operators.joins import BROADCAST_ROWS, SALTS, attach
+from panelweave.operators.joins import BROADCAST_ROWS, attach
 from panelweave.sources.staging import stage
 
 STATE_SCHEMA = "column string, value string, code int"
@@ -76,12 +76,11 @@ def encode_labels(
     columns: Sequence[str],
     unseen: str = "error",
     limit: int = BROADCAST_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Replace values by codes.  ``unseen`` values raise, drop the row or get the next free code.
 
     ``state`` is a stored vocabulary table.  Its small columns are broadcast, a column with a large
-    vocabulary is joined through a salted shuffle.  A null value counts as unseen.
+    vocabulary is joined through a shuffle that spreads hot values.  A null value counts as unseen.
     """
     if unseen not in ("error", "skip", "keep"):
         raise ValueError("unseen must be 'error', 'skip' or 'keep'")
@@ -91,7 +90,7 @@ def encode_labels(
             F.col("value").alias("__value"), F.col("code").alias("__code")
         )
         keyed = out.withColumn("__value", F.col(c).cast("string"))
-        joined = attach(keyed, codes, "__value", "left", limit, salts, sizes[c])
+        joined = attach(keyed, codes, "__value", "left", limit, sizes[c])
         code = F.col("__code")
         if unseen == "error":
             text = F.concat(

@@ -22,7 +22,7 @@ def sliding_windows(
     *,
     dense: bool = False,
     short: str = "skip",
-    block_steps: int = BLOCK_STEPS,
+    block_steps: int | None = None,
 ) -> DataFrame:
     """Every run of ``length`` consecutive rows of each entity; n rows give n - length + 1 windows.
 
@@ -41,7 +41,8 @@ def sliding_windows(
         raise ValueError("length must be positive")
     if short not in ("skip", "error"):
         raise ValueError("short must be 'skip' or 'error'")
-    size = max(block_steps, length)
+    # the default block repeats at most a quarter of the rows for its neighbour
+    size = max(block_steps or max(BLOCK_STEPS, 4 * length), length)
     by_time = dense and short == "skip"
     if by_time:
         rows = df.withColumn("pos", slot(F.col(spec.ts), time_type(df, spec.ts), spec))

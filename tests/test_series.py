@@ -13,7 +13,7 @@ from panelweave.spec import PanelSpec
 
 DAY = PanelSpec(step="1 day", chunk_steps=3)
 START = date(2024, 1, 1)
-few = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+few = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 def panel(spark, data):

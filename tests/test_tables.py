@@ -19,18 +19,24 @@ def rows(df, *columns):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_broadcast_join(spark, how):
-    # key 0 holds a third of all rows
-    fact = spark.range(600).select(
-        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("n")
-    )
+def test_skewed_join_equals_broadcast_join(spark, how):
+    # key 0 holds a third of all rows, a sixth has no key
+    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 6 != 1, F.col("id") % 50)
+    fact = spark.range(600).select(key.alias("k"), F.col("id").alias("n"))
     side = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     side = side.unionByName(spark.createDataFrame([(4, 999)], "k bigint, v bigint"))
     small = joins.attach(fact, side, "k", how)
-    salted = joins.attach(fact, side, "k", how, limit=3, salts=4)
-    assert "Broadcast" in small._jdf.queryExecution().toString()
-    assert "__salt" in salted._jdf.queryExecution().toString()
-    assert rows(small, *small.columns) == rows(salted, *small.columns)
+    large = joins.attach(fact, side, "k", how, limit=3)
+    assert "__salt" not in small._jdf.queryExecution().toString()
+    assert "__salt" in large._jdf.queryExecution().toString()
+    assert small.columns == large.columns
+    assert rows(small, *small.columns) == rows(large, *small.columns)
+
+
+def test_hot_keys_get_groups_by_their_share(spark):
+    fact = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    hot = joins.hot_keys(fact, ["k"], 30).collect()
+    assert [tuple(r) for r in hot] == [(-1, 10)]
 
 
 def test_holidays_multiply_rows_unless_deduped(spark):
@@ -109,7 +115,7 @@ def test_vocabulary_orders_numbers_as_numbers(spark):
         vocab.encode_labels(new, state, ["n", "t"]).collect()
     assert rows(vocab.encode_labels(new, state, ["n", "t"], "skip"), "n", "t") == [(2, 0)]
     assert rows(vocab.encode_labels(new, state, ["n", "t"], "keep"), "n", "t") == [(2, 0), (4, 1)]
-    salted = vocab.encode_labels(new, state, ["n", "t"], "keep", limit=1, salts=3)
+    salted = vocab.encode_labels(new, state, ["n", "t"], "keep", limit=1)
     assert rows(salted, "n", "t") == [(2, 0), (4, 1)]
 
 
