@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.operators.joins import BROADCAST_ROWS, attach
-from panelweave.sources.staging import stage
+from panelweave.sources.staging import stage, stage_counted
 
+# Distinct values that one task numbers at most.
+RANGE_ROWS = 500_000
 STATE_SCHEMA = "column string, value string, code int"
 
 
@@ -33,30 +35,31 @@ def _entry(df: DataFrame, name: str) -> Column:
 
 
 def fit_vocabulary(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
-    """Codes for every column from one scan, without sorting a vocabulary in a single task.
+    """Codes for every column from one scan, without sorting a large vocabulary in a single task.
 
-    The distinct values are range partitioned and staged with their range number.  A code is the
-    value's number inside its range plus the size of the column's earlier ranges; that size table
-    has one row per column and range.
+    The distinct values are staged and counted, then range partitioned into as many parts as
+    their number asks for and staged with the range number.  A code is the value's number inside
+    its range plus the size of the column's earlier ranges; that size table has at most one row
+    per column and range.
     """
     entries = df.select(F.inline(F.array(*[_entry(df, c) for c in columns])))
     distinct = entries.where(F.col("value").isNotNull()).distinct()
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["column", "whole", "real", "value"]
-    stored = stage(
-        distinct.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()),
-        "vocabulary",
-    )
-    sizes = stored.groupBy("column", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    stored, rows = stage_counted(distinct, "distinct-values")
+    order = ["whole", "real", "value"]
+    if (ranges or rows // RANGE_ROWS + 1) == 1:
+        number = F.row_number().over(Window.partitionBy("column").orderBy(*order)) - 1
+        return stored.select("column", "value", number.cast("int").alias("code"))
+    ranged = stored.repartitionByRange(ranges or rows // RANGE_ROWS + 1, "column", *order)
+    placed = stage(ranged.withColumn("__range", F.spark_partition_id()), "vocabulary")
+    sizes = placed.groupBy("column", "__range").agg(F.count(F.lit(1)).alias("__n"))
     earlier = (
         Window.partitionBy("column").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = sizes.select(
         "column", "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start")
     )
-    inside = Window.partitionBy("column", "__range").orderBy("whole", "real", "value")
-    # at most columns x ranges rows, whatever the vocabulary size
-    return stored.join(F.broadcast(starts), ["column", "__range"]).select(
+    inside = Window.partitionBy("column", "__range").orderBy(*order)
+    return placed.join(F.broadcast(starts), ["column", "__range"]).select(
         "column",
         "value",
         (F.col("__start") + F.row_number().over(inside) - 1).cast("int").alias("code"),
