@@ -264,10 +264,10 @@ check(
 check(
     "fit_scaler", PARTS,
     """
-    select cast(id as varchar) as scope_key, 'y' as "column", round(my, 6) as mean, round(sy, 6) as scale from g
-    union all select cast(id as varchar), 'year', round(myear, 6), round(syear, 6) from g
-    union all select '*', 'y', round(my, 6), round(sy, 6) from o
-    union all select '*', 'year', round(myear, 6), round(syear, 6) from o""",
+    select cast(id as varchar) as scope_key, 'y' as "column", round(my, 8) as mean, round(sy, 8) as scale from g
+    union all select cast(id as varchar), 'year', round(myear, 8), round(syear, 8) from g
+    union all select '*', 'y', round(my, 8), round(sy, 8) from o
+    union all select '*', 'year', round(myear, 8), round(syear, 8) from o""",
     g=GROUP_SCALER, o=GLOBAL_SCALER,
 )
 VOCAB = """select '{c}' as "column", cast({c} as varchar) as value,
@@ -475,12 +475,12 @@ BAND_LOSS = f"({pin(0.1, 'yhat_low')} + {pin(0.5, 'yhat')} + {pin(0.9, 'yhat_up'
 for key in ("pinball_loss", "pinball_loss_arrays"):
     check(
         key, ["daily"],
-        f"select id, window_ts, round(avg({pin(0.9, 'yhat')}), 6) as loss from fc group by 1, 2",
+        f"select id, window_ts, round(avg({pin(0.9, 'yhat')}), 8) as loss from fc group by 1, 2",
         **PERSIST,
     )
 check(
     "quantile_pinball_loss", ["daily"],
-    f"select id, window_ts, round(avg({BAND_LOSS}), 6) as loss from fc group by 1, 2", **PERSIST,
+    f"select id, window_ts, round(avg({BAND_LOSS}), 8) as loss from fc group by 1, 2", **PERSIST,
 )
 check(
     "evaluate_forecast", ["daily"],

@@ -41,8 +41,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def r6(name: str, out: str | None = None):
-    return F.round(F.col(name).cast("double"), 6).alias(out or name)
+def r6(name: str):
+    return F.round(F.col(name).cast("double"), 6).alias(name)
+
+
+def r8(name: str):
+    """For means of exact decimals, where a tie at the seventh place is likely."""
+    return F.round(F.col(name).cast("double"), 8).alias(name)
 
 
 # ---- sources and sinks -------------------------------------------------------------------------
@@ -335,7 +340,7 @@ def fit_scaler(spark, sf):
     both = scaling.fit_scaler(panel, ["y", "year"], "id").unionByName(
         scaling.fit_scaler(panel, ["y", "year"])
     )
-    return both.select("scope_key", "column", r6("mean"), r6("scale"))
+    return both.select("scope_key", "column", r8("mean"), r8("scale"))
 
 
 @query
@@ -679,7 +684,7 @@ def _forecast_rows(spark, sf):
 @query
 def pinball_loss(spark, sf):
     loss = evaluate.pinball_loss(_forecast_rows(spark, sf), ["id", "window_ts"], 0.9)
-    return loss.select("id", "window_ts", r6("loss"))
+    return loss.select("id", "window_ts", r8("loss"))
 
 
 @query
@@ -687,13 +692,13 @@ def pinball_loss_arrays(spark, sf):
     """The same loss from window rows, without a shuffle."""
     w = _persistence(spark, sf)
     y, yhat = F.col("steps")["y"], F.col("steps")["yhat"]
-    return w.select("id", "window_ts", F.round(pinball_arrays(y, yhat, 0.9), 6).alias("loss"))
+    return w.select("id", "window_ts", F.round(pinball_arrays(y, yhat, 0.9), 8).alias("loss"))
 
 
 @query
 def quantile_pinball_loss(spark, sf):
     loss = evaluate.quantile_pinball_loss(_forecast_rows(spark, sf), ["id", "window_ts"], BANDS)
-    return loss.select("id", "window_ts", r6("loss"))
+    return loss.select("id", "window_ts", r8("loss"))
 
 
 @query
@@ -702,7 +707,7 @@ def evaluate_forecast(spark, sf):
     scores = evaluate.evaluate_forecast(
         _forecast_rows(spark, sf), ["id", "window_ts"], BANDS, ["id", "step"]
     )
-    return scores.select("id", "step", F.round("loss", 8).alias("loss"), "windows")
+    return scores.select("id", "step", r8("loss"), "windows")
 
 
 def _design(spark, sf):

@@ -68,7 +68,7 @@ def train(spark: SparkSession, sf: str) -> DataFrame:
     signed = F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     flag = (
         F.when(iso_weekday(F.col("date")) == 3, None)
-        .when(F.max("l_linestatus") == "O", "True")
+        .when(F.max(F.col("l_linestatus") == "O"), "True")
         .otherwise("False")
     )
     return (
@@ -124,13 +124,13 @@ def transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def oil(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean order price per working day."""
+    """Order value per working day."""
     day = F.col("o_orderdate").cast("date")
     return (
         table(spark, sf, "orders")
         .where(iso_weekday(day) <= 5)
         .groupBy(day.alias("date"))
-        .agg(F.avg("o_totalprice").alias("dcoilwtico"))
+        .agg(F.round(F.sum("o_totalprice"), 2).alias("dcoilwtico"))
     )
 
 
@@ -229,7 +229,7 @@ SQL = {
         from lineitem join supplier on l_suppkey = s_suppkey
         where isodow(cast(l_shipdate as date)) <> 7 group by s_nationkey, cast(l_shipdate as date)""",
     "oil": """
-        select cast(o_orderdate as date) as date, avg(o_totalprice) as dcoilwtico
+        select cast(o_orderdate as date) as date, round(sum(o_totalprice), 2) as dcoilwtico
         from orders where isodow(cast(o_orderdate as date)) <= 5 group by 1""",
     "holidays": """
         select distinct cast(o_orderdate as date) as date,
