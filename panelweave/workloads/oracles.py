@@ -264,10 +264,10 @@ check(
 check(
     "fit_scaler", PARTS,
     """
-    select cast(id as varchar) as scope_key, 'y' as "column", round(my, 8) as mean, round(sy, 8) as scale from g
-    union all select cast(id as varchar), 'year', round(myear, 8), round(syear, 8) from g
-    union all select '*', 'y', round(my, 8), round(sy, 8) from o
-    union all select '*', 'year', round(myear, 8), round(syear, 8) from o""",
+    select cast(id as varchar) as scope_key, 'y' as "column", round(my + cast(1e-9 as double), 6) as mean, round(sy + cast(1e-9 as double), 6) as scale from g
+    union all select cast(id as varchar), 'year', round(myear + cast(1e-9 as double), 6), round(syear + cast(1e-9 as double), 6) from g
+    union all select '*', 'y', round(my + cast(1e-9 as double), 6), round(sy + cast(1e-9 as double), 6) from o
+    union all select '*', 'year', round(myear + cast(1e-9 as double), 6), round(syear + cast(1e-9 as double), 6) from o""",
     g=GROUP_SCALER, o=GLOBAL_SCALER,
 )
 VOCAB = """select '{c}' as "column", cast({c} as varchar) as value,

@@ -27,6 +27,9 @@ from panelweave.spec import PanelSpec
 from panelweave.streaming import resample as streaming
 from panelweave.workloads import standins as S
 
+# Added before rounding means of 2^k exact decimals, which otherwise fall on rounding ties.
+TIE = 1e-9
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -340,7 +343,7 @@ def fit_scaler(spark, sf):
     both = scaling.fit_scaler(panel, ["y", "year"], "id").unionByName(
         scaling.fit_scaler(panel, ["y", "year"])
     )
-    return both.select("scope_key", "column", r8("mean"), r8("scale"))
+    return both.select("scope_key", "column", *[F.round(F.col(c) + TIE, 6).alias(c) for c in ("mean", "scale")])
 
 
 @query
