@@ -33,6 +33,7 @@ def assign_batches(
 
     Rows are numbered inside hash buckets; a bucket's start is the prefix sum over the bucket
     counts, a table of at most ``buckets`` rows.  ``keys`` must identify a row.
+    ``df`` is read twice: stage one that is expensive to compute.
     """
     order = seeded_hash(keys, seed)
     rows = df.withColumn("__order", order).withColumn(

@@ -63,26 +63,30 @@ class InputRoles:
             names += [f"{c}_last", f"{c}_mean"]
         return names
 
-    def design(self, steps: Column, at: Column, encoder_steps: int) -> Column:
-        """``ARRAY<DOUBLE>`` of the inputs of one forecast step ``at``."""
-        first = F.element_at(steps, 1)
-        encoder = F.slice(steps, 1, encoder_steps)
+    def window_inputs(self, steps: Column, encoder_steps: int) -> Column:
+        """The inputs all forecast steps share: ``head`` before and ``tail`` after a step's own."""
+        first, encoder = F.element_at(steps, 1), F.slice(steps, 1, encoder_steps)
 
         def mean(name: str) -> Column:
             total = F.aggregate(encoder, F.lit(0.0), lambda s, e: s + e[name].cast("double"))
             return total / F.lit(float(encoder_steps))
 
-        parts = [F.array(F.lit(1.0), *[first[c].cast("double") for c in self.static_real])]
-        parts += [one_hot(first[c], n) for c, n in self.static_categorical.items()]
-        if self.known_real:
-            parts.append(F.array(*[at[c].cast("double") for c in self.known_real]))
-        parts += [one_hot(at[c], n) for c, n in self.known_categorical.items()]
-        if self.known_real:
-            parts.append(F.array(*[mean(c) for c in self.known_real]))
+        head = [F.array(F.lit(1.0), *[first[c].cast("double") for c in self.static_real])]
+        head += [one_hot(first[c], n) for c, n in self.static_categorical.items()]
+        tail = [mean(c) for c in self.known_real]
         for c in self._history:
-            last = F.element_at(encoder, -1)[c].cast("double")
-            parts.append(F.array(last, mean(c)))
-        return F.concat(*parts)
+            tail += [F.element_at(encoder, -1)[c].cast("double"), mean(c)]
+        no_tail = F.array().cast("array<double>")
+        return F.struct(
+            F.concat(*head).alias("head"), (F.array(*tail) if tail else no_tail).alias("tail")
+        )
+
+    def step_inputs(self, step: Column) -> list[Column]:
+        """The known inputs at one forecast step, as arrays."""
+        parts = [one_hot(step[c], n) for c, n in self.known_categorical.items()]
+        if self.known_real:
+            parts.insert(0, F.array(*[step[c].cast("double") for c in self.known_real]))
+        return parts
 
 
 def design_matrix(windows: DataFrame, roles: InputRoles, encoder_steps: int) -> DataFrame:
@@ -92,10 +96,15 @@ def design_matrix(windows: DataFrame, roles: InputRoles, encoder_steps: int) ->
     rest = [c for c in windows.columns if c != "steps"]
     steps = F.col("steps")
     future = F.slice(steps, encoder_steps + 1, F.size(steps) - encoder_steps)
+    # repeated as an array, the shared inputs are computed once per window and not once per step
+    shared = F.array_repeat(roles.window_inputs(steps, encoder_steps), F.size(future))
+    phi = F.zip_with(
+        future, shared, lambda s, w: F.concat(w["head"], *roles.step_inputs(s), w["tail"])
+    )
     return windows.select(
         *rest,
         F.transform(future, lambda s: s["ts"]).alias("ts"),
-        F.transform(future, lambda s: roles.design(steps, s, encoder_steps)).alias("phi"),
+        phi.alias("phi"),
         F.transform(future, lambda s: s[roles.target].cast("double")).alias("y"),
     )
 

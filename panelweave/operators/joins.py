@@ -64,7 +64,7 @@ def skewed_join(
 
     One count per key finds the hot keys.  Their fact rows are dealt to as many groups as the key
     has shares of 1 / ``parts``, and their side rows are repeated once per group; all other rows
-    are joined as usual.  Rows with a null key match nothing and are spread as well.
+    are joined as usual.  The count reads ``fact`` once more, its keys only.  Rows with a null key match nothing and are spread as well.
     """
     parts = parts or int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(fact, keys, parts))

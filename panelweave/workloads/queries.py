@@ -255,7 +255,7 @@ def left_join_series(spark, sf):
 
 @query
 def inner_join_dims(spark, sf):
-    stores = staging.stage(S.stores(spark, sf).where("store_nbr <> 3"), "stores")
+    stores = staging.stage(S.stores(spark, sf), "stores")
     items = staging.stage(S.items(spark, sf), "items")
     out = joins.inner_join_dims(S.train(spark, sf), [(stores, "store_nbr"), (items, "item_nbr")])
     return out.select("date", "store_nbr", "item_nbr", "unit_sales", "city", "state", "family", "class")
@@ -504,7 +504,8 @@ def shuffle_rows(spark, sf):
 @query
 def assign_batches(spark, sf):
     """Rows per batch: the numbers do not depend on which row lands where."""
-    rows = batches.assign_batches(S.hourly(spark, sf), ["id", "ts"], 64, seed=69)
+    panel = staging.stage(S.hourly(spark, sf), "hourly")
+    rows = batches.assign_batches(panel, ["id", "ts"], 64, seed=69)
     return profile.row_count(rows, ["batch"])
 
 
