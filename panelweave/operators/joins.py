@@ -6,21 +6,35 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelweave.functions.timegrid import time_literal, time_type
 from panelweave.operators.series import fill_gaps, forward_fill
-from panelweave.sources.staging import stage, stage_counted
+from panelweave.sources.staging import stage
 from panelweave.spec import PanelSpec
 
-# A side with at most this many (narrow) rows is copied to every executor.
+# A side within both limits is copied to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Rough size of a row: eight bytes per value, plus the length of text and nested values."""
+    fixed = F.lit(8 * len(df.columns)).cast("bigint")
+    for field in df.schema.fields:
+        if not isinstance(field.dataType, (T.NumericType, T.BooleanType, T.DatetimeType)):
+            text = F.col(f"`{field.name}`").cast("string")
+            fixed = fixed + F.coalesce(F.octet_length(text), F.lit(0))
+    return fixed
 
 
 def fits_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``side`` has at most ``limit`` rows; stops reading soon after the limit."""
-    return side.limit(limit + 1).count() <= limit
+    """Whether ``side`` is within the row and byte limits; stops reading soon after the limit."""
+    seen = side.select(row_bytes(side).alias("b")).limit(limit + 1)
+    n, size = seen.agg(F.count(F.lit(1)), F.sum("b")).first()
+    return n <= limit and (size or 0) <= BROADCAST_BYTES
 
 
 def hot_keys(fact: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
@@ -41,18 +55,18 @@ def attach(
     on: str | Sequence[str],
     how: str = "left",
     limit: int = BROADCAST_ROWS,
-    rows: int | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Equi-join of a large table with a side of unknown size.
 
-    ``side`` should be a stored table: its rows are counted first, unless the caller knows an upper
-    bound and passes it as ``rows``.  Within the limit it is broadcast.  Beyond it both sides are
-    shuffled by ``skewed_join``.  Only joins that keep or drop fact rows are offered.
+    ``side`` should be a stored table: its rows and bytes are counted first, unless the caller has
+    done so and passes the answer as ``fits``.  Within the limits it is broadcast.  Beyond them both
+    sides are shuffled by ``skewed_join``.  Only joins that keep or drop fact rows are offered.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"attach does not offer a {how} join")
-    if rows <= limit if rows is not None else fits_broadcast(side, limit):
+    if fits if fits is not None else fits_broadcast(side, limit):
         return fact.join(F.broadcast(side), keys, how)
     return skewed_join(fact, side, keys, how)
 
@@ -125,9 +139,9 @@ def holiday_join(
     Two holidays on one key give two rows unless ``dedupe`` picks the smaller name.
     """
     # a view is no larger than the calendar, so one bounded count serves all three
-    bound = holidays.limit(BROADCAST_ROWS + 1).count()
+    fits = fits_broadcast(holidays) or None
     for view, keys, name in holiday_views(holidays, date, dedupe):
-        fact = attach(fact, view, keys, "left", rows=bound)
+        fact = attach(fact, view, keys, "left", fits=fits)
         fact = fact.withColumn(name, F.coalesce(F.col(name), F.lit("")))
     return fact
 
@@ -169,8 +183,8 @@ def attach_filled_series(
         filled = fill_gaps(dated, spec, forward=kept)
     else:
         filled = forward_fill(dated, spec, [value, "__seen"])
-    filled, rows = stage_counted(filled.drop("__place"), "filled-series")
-    joined = attach(fact, filled, [date, place] if place else [date], how, rows=rows)
+    filled = stage(filled.drop("__place"), "filled-series")
+    joined = attach(fact, filled, [date, place] if place else [date], how)
     return joined.withColumn(
         value, F.when(F.col("__seen") >= F.col(since), F.col(value))
     ).drop("__seen")

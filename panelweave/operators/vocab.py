@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.operators.joins import BROADCAST_ROWS, attach
+from panelweave.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, attach, row_bytes
 from panelweave.sources.staging import stage, stage_counted
 
 # Distinct values that one task numbers at most.
@@ -66,11 +66,17 @@ def fit_vocabulary(df: DataFrame, columns: Sequence[str], ranges: int | None = N
     )
 
 
-def _sizes(state: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Vocabulary size per column, one small job for all of them."""
-    counts = state.where(F.col("column").isin(list(columns))).groupBy("column").count()
-    found = {r["column"]: r["count"] for r in counts.collect()}  # one row per column
-    return {c: found.get(c, 0) for c in columns}
+def _sizes(state: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """Rows and bytes of every column's vocabulary, one small job for all of them."""
+    sized = state.where(F.col("column").isin(list(columns))).groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row_bytes(state)).alias("b")
+    )
+    found = {r["column"]: (r["n"], r["b"]) for r in sized.collect()}  # one row per column
+    return {c: found.get(c, (0, 0)) for c in columns}
+
+
+def _fits(size: tuple[int, int], limit: int = BROADCAST_ROWS) -> bool:
+    return size[0] <= limit and size[1] <= BROADCAST_BYTES
 
 
 def encode_labels(
@@ -93,7 +99,7 @@ def encode_labels(
             F.col("value").alias("__value"), F.col("code").alias("__code")
         )
         keyed = out.withColumn("__value", F.col(c).cast("string"))
-        joined = attach(keyed, codes, "__value", "left", limit, sizes[c])
+        joined = attach(keyed, codes, "__value", "left", fits=_fits(sizes[c], limit))
         code = F.col("__code")
         if unseen == "error":
             text = F.concat(
@@ -103,7 +109,7 @@ def encode_labels(
         elif unseen == "skip":
             joined = joined.where(code.isNotNull())
         else:
-            code = F.coalesce(code, F.lit(sizes[c]))
+            code = F.coalesce(code, F.lit(sizes[c][0]))
         out = joined.withColumn(c, code.cast("int")).select(*df.columns)
     return out
 
@@ -117,7 +123,7 @@ def decode_labels(
         values = state.where(F.col("column") == c).select(
             F.col("code").alias("__code"), F.col("value").alias("__value")
         )
-        joined = attach(out.withColumn("__code", F.col(c).cast("int")), values, "__code", "left", rows=sizes[c])
+        joined = attach(out.withColumn("__code", F.col(c).cast("int")), values, "__code", "left", fits=_fits(sizes[c]))
         value = F.col("__value")
         if types and c in types:
             value = value.cast(types[c])

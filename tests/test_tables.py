@@ -33,6 +33,12 @@ def test_skewed_join_equals_broadcast_join(spark, how):
     assert rows(small, *small.columns) == rows(large, *small.columns)
 
 
+def test_wide_sides_are_not_broadcast(spark):
+    wide = spark.range(70).select("id", F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    assert joins.fits_broadcast(wide.select("id"))
+    assert not joins.fits_broadcast(wide)
+
+
 def test_hot_keys_get_groups_by_their_share(spark):
     fact = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     hot = joins.hot_keys(fact, ["k"], 30).collect()
