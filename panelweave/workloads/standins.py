@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -177,7 +178,10 @@ def retail_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "oil": oil,
         "holidays_events": holidays,
     }
-    return {name: stage(make(spark, sf), name) for name, make in makers.items()}
+    # independent writes, submitted together so that one's last tasks leave no idle executors
+    with ThreadPoolExecutor(len(makers)) as pool:
+        jobs = {name: pool.submit(stage, make(spark, sf), name) for name, make in makers.items()}
+        return {name: job.result() for name, job in jobs.items()}
 
 
 def months(spark: SparkSession, sf: str) -> DataFrame:
