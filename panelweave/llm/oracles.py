@@ -87,6 +87,19 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 LLM_ORACLES["op6_secret_scans"] = _secrets()
 
 
+LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LLM_ORACLES["op9_minhash_near_dedup"] = f"""
+with recursive d as (select doc_id, {WORDS.format(LOWER.format("text"))} w from documents),
+shingles as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') s from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) u(i) where len(w) > 0),
+sizes as (select doc_id, count(*) n from shingles group by doc_id),
+common as (select a.doc_id a, b.doc_id b, count(*) c from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from common join sizes x on a = x.doc_id join sizes y on b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select doc_id a, doc_id b from d union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a doc_id, min(b) component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept from d join least using (doc_id) left join sizes using (doc_id)"""
+
+
 def _mix() -> str:
     m = Mix()
     words = WORDS.format("coalesce(text, '')")

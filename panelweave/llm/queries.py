@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, mixing, quality_rules, secret_scan
+from panelweave.llm import chat_format, mixing, near_dedup, quality_rules, secret_scan
+from panelweave.llm.near_links import NearSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -47,6 +48,11 @@ def op6_secret_scans(spark, sf):
     )
 
 
+@query
+def op9_minhash_near_dedup(spark, sf):
+    return near_dedup.deduplicate(table(spark, sf, "documents"), NearSpec(percent=85))
+
+
 @query
 def op10_mixing_sources(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents")).drop("copies")
