@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, mixing, near_dedup, quality_rules, secret_scan
+from panelweave.llm import chat_format, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec
 from panelweave.llm.near_links import NearSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def model_path() -> str:
+    """The SentencePiece model of the public tokenizer files, where every executor has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query
 def op1_quality_rules(spark, sf):
     return quality_rules.judge_documents(table(spark, sf, "documents"))
@@ -36,6 +43,11 @@ def op3_chat_formatting(spark, sf):
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(more)))
 
 
+@query
+def op5_sentencepiece(spark, sf):
+    return sentencepiece_codec.encode_documents(table(spark, sf, "documents"), model_path())
+
+
 @query
 def op6_secret_scans(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
