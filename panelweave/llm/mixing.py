@@ -22,12 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.llm.attach import attach
 from panelweave.sources.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Source tables up to this many rows are broadcast to the documents; larger ones are joined on salted keys.
-BROADCAST_SOURCES = 50_000
-SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -87,12 +85,8 @@ def targets(sources: DataFrame, mix: Mix) -> DataFrame:
 
 
 def with_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Attach the columns of ``sources`` by null-safe ``source``; a hot source is salted when nothing is broadcast."""
-    if sources.count() <= BROADCAST_SOURCES:
-        return docs.join(F.broadcast(sources.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    spread = sources.withColumnRenamed("source", "_s").withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_t"))).drop("_s", "_t", "_salt")
+    """Attach the columns of ``sources``; one source may have most of the documents."""
+    return attach(docs, sources, "source", F.col("doc_id"), "inner")
 
 
 def _keyed(docs: DataFrame, mix: Mix, *kept: Column) -> DataFrame:

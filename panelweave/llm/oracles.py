@@ -5,6 +5,7 @@ from __future__ import annotations
 from panelweave.llm.mixing import Mix
 from panelweave.llm.quality_rules import BOILERPLATE, LineRules
 from panelweave.llm.secret_scan import RULES
+from panelweave.llm.url_filter import Spread
 
 LLM_ORACLES: dict[str, str] = {}
 
@@ -100,6 +101,39 @@ least as (select a doc_id, min(b) component_id from reach group by a)
 select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept from d join least using (doc_id) left join sizes using (doc_id)"""
 
 
+def _urls() -> str:
+    s = Spread()
+    host = r"translate(coalesce(regexp_extract({0}, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rules = sorted([("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")], key=lambda r: -len(r[1] + r[2]))
+    fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then " for _, h, p in rules]
+    rule = "case " + " ".join(f"{f}'{r[1]}{r[2]}'" for f, r in zip(fits, rules, strict=True)) + " end"
+    verdict = "case " + " ".join(f"{f}'{r[0]}'" for f, r in zip(fits, rules, strict=True)) + " end"
+    rounds = "".join(
+        f""",
+m{i + 1} as (select kind, host, sum(mass)::bigint mass from (
+  select f.kind, f.dest host, sum(m.mass // f.degree)::bigint * {s.passed} // 100 mass from m{i} m join flows f using (kind, host) group by f.kind, f.dest
+  union all select kind, host, mass * {100 - s.passed} // 100 from m0) group by kind, host)"""
+        for i in range(s.rounds)
+    )
+    return rf"""
+with u as (select page_id, html, {host.format("url")} host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') path from pages),
+judged as (select *, {rule} rule, {verdict} v from u),
+hosts as (select host, case v when 'allow' then 'trust' when 'block' then 'distrust' end kind, count(*) pages from judged where host <> '' group by all),
+labels as (select distinct host, string_split(host, '.') l from hosts),
+up as (select distinct array_to_string(l[i:], '.') src, array_to_string(l[i + 1:], '.') dst from labels, unnest(range(1, len(l) - 1)) t(i)),
+refs as (select host src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^\s"''<>]+)', 1)) href from judged),
+edges as (select src, dst from (select src, {host.format("href")} dst from refs union all select src, dst from up union all select dst, src from up) where src <> dst and src <> '' and dst <> '' group by src, dst),
+ways as (select 'trust' kind, src host, dst dest from edges union all select 'distrust', dst, src from edges),
+flows as (select *, count(*) over (partition by kind, host) degree from ways),
+m0 as (select kind, host, (pages::hugeint * {s.units} // sum(pages) over (partition by kind)::hugeint)::bigint mass from hosts where kind is not null){rounds},
+scores as (select host, coalesce(sum(mass) filter (kind = 'trust'), 0)::bigint trust, coalesce(sum(mass) filter (kind = 'distrust'), 0)::bigint distrust from m{s.rounds} group by host)
+select page_id, host, path, rule, coalesce(v, case when coalesce(distrust, 0) >= {s.least} and coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) verdict,
+  coalesce(trust, 0) trust, coalesce(distrust, 0) distrust from judged left join scores using (host)"""
+
+
+LLM_ORACLES["op7_url_filters"] = _urls()
+
+
 def _mix() -> str:
     m = Mix()
     words = WORDS.format("coalesce(text, '')")

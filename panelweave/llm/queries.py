@@ -7,9 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec
+from panelweave.llm import chat_format, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, url_filter
 from panelweave.llm.near_links import NearSpec
 
+URL_RULES = [
+    url_filter.UrlRule("allow", "org", "/"),
+    url_filter.UrlRule("block", "example.org", "/es/"),
+    url_filter.UrlRule("block", "example.org", "/en/1"),
+    url_filter.UrlRule("allow", "com", "/fr/"),
+    url_filter.UrlRule("block", "com", "/de/"),
+]
+
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
 
@@ -60,6 +68,11 @@ def op6_secret_scans(spark, sf):
     )
 
 
+@query
+def op7_url_filters(spark, sf):
+    return url_filter.judge_pages(table(spark, sf, "pages"), URL_RULES)
+
+
 @query
 def op9_minhash_near_dedup(spark, sf):
     return near_dedup.deduplicate(table(spark, sf, "documents"), NearSpec(percent=85))
