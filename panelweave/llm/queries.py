@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from panelweave.llm import chat_format, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, url_filter
 from panelweave.llm.near_links import NearSpec
 
 URL_RULES = [
@@ -43,6 +43,11 @@ def op1_quality_rules(spark, sf):
     return quality_rules.judge_documents(table(spark, sf, "documents"))
 
 
+@query
+def op2_lm_scoring(spark, sf):
+    return lm_scoring.score_documents(table(spark, sf, "documents"))
+
+
 @query
 def op3_chat_formatting(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
