@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from panelweave.llm import chat_format, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, url_filter
 from panelweave.llm.near_links import NearSpec
 
 URL_RULES = [
@@ -56,6 +56,11 @@ def op3_chat_formatting(spark, sf):
     return chat_format.read_back(chat_format.format_turns(rows.unionByName(more)))
 
 
+@query
+def op4_fingerprints(spark, sf):
+    return fingerprints.fingerprint_documents(table(spark, sf, "documents"))
+
+
 @query
 def op5_sentencepiece(spark, sf):
     return sentencepiece_codec.encode_documents(table(spark, sf, "documents"), model_path())
