@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from panelweave.llm import chat_format, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, url_filter
 from panelweave.llm.near_links import NearSpec
 
 URL_RULES = [
@@ -83,6 +83,11 @@ def op7_url_filters(spark, sf):
     return url_filter.judge_pages(table(spark, sf, "pages"), URL_RULES)
 
 
+@query
+def op8_suffix_array_dedup(spark, sf):
+    return suffix_dedup.deduplicate(table(spark, sf, "documents"))
+
+
 @query
 def op9_minhash_near_dedup(spark, sf):
     return near_dedup.deduplicate(table(spark, sf, "documents"), NearSpec(percent=85))
