@@ -33,6 +33,6 @@ def one_of_each(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     few = dropped.count() <= BROADCAST_DROPPED
     kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
     if repeated.isEmpty():
-        return kept
+        return kept.select(*docs.columns)
     again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)

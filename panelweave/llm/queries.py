@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +32,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def model_path() -> str:
-    """The SentencePiece model of the public tokenizer files, where every executor has it."""
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 @query
 def op1_quality_rules(spark, sf):
     return quality_rules.judge_documents(table(spark, sf, "documents"))
@@ -63,7 +57,7 @@ def op4_fingerprints(spark, sf):
 
 @query
 def op5_sentencepiece(spark, sf):
-    return sentencepiece_codec.encode_documents(table(spark, sf, "documents"), model_path())
+    return sentencepiece_codec.encode_documents(table(spark, sf, "documents"), sentencepiece_codec.public_model())
 
 
 @query
@@ -96,3 +90,6 @@ def op9_minhash_near_dedup(spark, sf):
 @query
 def op10_mixing_sources(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents")).drop("copies")
+
+
+LLM_QUERIES["pipeline"] = corpus_pipeline.run

@@ -260,20 +260,28 @@ class Codec:
         return data.decode(errors="replace")
 
 
+def public_model(name: str = "piece_bpe_32k.model") -> str:
+    """A model of the public tokenizer files, where every executor has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
     """The model at ``path``, read once per worker."""
     return Codec(path)
 
 
-def encode_documents(docs: DataFrame, model: str, with_pieces: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, ids: bool = False, borders: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, n_covered (source bytes under the pieces' spans).
 
-    ``with_pieces`` adds ``ids`` and ``borders``: piece i stands for the source bytes borders[i] to borders[i + 1].
+    ``ids`` adds the ids, ``borders`` their places: piece i stands for the source bytes borders[i] to borders[i + 1].
     """
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_covered", *(["ids", "borders"] if with_pieces else [])]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    fields = ["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string", "n_covered long"]
+    fields += ["ids array<int>"] * ids + ["borders array<bigint>"] * borders
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.list_(pa.int32())] * ids + [pa.list_(pa.int64())] * borders
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -282,15 +290,11 @@ def encode_documents(docs: DataFrame, model: str, with_pieces: bool = False) ->
                 part = batch.slice(lo, 200)
                 rows = []
                 for text in part.column(1):
-                    decimals, ids, borders = own.encode(text.as_py() or "")
-                    row = [
-                        len(ids), hashlib.sha256(decimals.encode()).hexdigest(),
-                        hashlib.sha256(own.decode(ids).encode()).hexdigest(), int(borders[-1] - borders[0]),
-                    ]
-                    rows.append([*row, ids, borders] if with_pieces else row)
-                columns = zip(*rows, strict=True)
-                arrays = [pa.array(list(c), t) for c, t in zip(columns, types[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=names)
-
-    fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_covered long"
-    return narrow.mapInArrow(run, fields + (", ids array<int>, borders array<bigint>" if with_pieces else ""))
+                    decimals, found, places = own.encode(text.as_py() or "")
+                    decoded = own.decode(found).encode()
+                    row = [len(found), hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), int(places[-1] - places[0])]
+                    rows.append(row + [found] * ids + [places] * borders)
+                arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[f.split()[0] for f in fields])
+
+    return narrow.mapInArrow(run, ", ".join(fields))
