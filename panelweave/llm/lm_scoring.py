@@ -207,18 +207,37 @@ def train(docs: DataFrame, spec: LmSpec) -> tuple[DataFrame, int]:
     return stage(dealt.mapInArrow(merge, "shard int, tokens long, distinct long, keys binary, counts binary, bits binary"), "lm-shards"), lead
 
 
-def as_filter(rows: list, lead: int, spec: LmSpec) -> Filter:
-    """A filter of the shards in ``rows`` (shard, bits); other shards are empty."""
+def _exact_counts(shards: DataFrame, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts of all unigrams, fetched a partition at a time into arrays of the known size."""
+    sizes = {r["shard"]: r["distinct"] for r in shards.select("shard", "distinct").collect()}
+    order = sorted(sizes)
+    first = dict(zip(order, np.cumsum([0, *(sizes[i] for i in order)]), strict=False))
+    keys, counts = np.zeros(distinct, np.uint64), np.zeros(distinct, np.int64)
+    for r in shards.select("shard", "keys", "counts").toLocalIterator():
+        at = slice(first[r["shard"]], first[r["shard"]] + sizes[r["shard"]])
+        keys[at], counts[at] = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)
+    return keys, counts
+
+
+def _whole_filter(shards: DataFrame, lead: int, spec: LmSpec) -> Filter:
+    """All shards in one array, fetched a partition at a time."""
     sizes = np.zeros(max(1, 1 << lead), np.int64)
-    for r in rows:
-        sizes[r["shard"]] = len(r["bits"])
+    for r in shards.select("shard", F.octet_length("bits").alias("n")).collect():
+        sizes[r["shard"]] = r["n"]
     first = np.concatenate([[0], np.cumsum(sizes)])
     bits = np.zeros(max(1, int(first[-1])), np.uint8)
-    for r in rows:
+    for r in shards.select("shard", "bits").toLocalIterator():
         bits[first[r["shard"]] : first[r["shard"] + 1]] = np.frombuffer(r["bits"], np.uint8)
     return Filter(bits, first[:-1].astype(np.uint64) * np.uint64(8), sizes.astype(np.uint64) * np.uint64(8), lead, spec.probes)
 
 
+def one_shard(shard: int, blob: bytes, lead: int, spec: LmSpec) -> Filter:
+    """A filter of one shard; the others are empty."""
+    size = np.zeros(max(1, 1 << lead), np.uint64)
+    size[shard] = 8 * len(blob)
+    return Filter(np.frombuffer(blob, np.uint8), np.zeros(len(size), np.uint64), size, lead, spec.probes)
+
+
 def score_documents(docs: DataFrame, spec: LmSpec = LmSpec()) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), held_out(docs["doc_id"]).alias("held_out"))
@@ -237,11 +256,8 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 def _score_broadcast(docs: DataFrame, shards: DataFrame, lead: int, total: int, distinct: int, spec: LmSpec) -> DataFrame:
     """Every worker has the whole model, whose size was checked."""
     context = docs.sparkSession.sparkContext
-    rows = shards.select("shard", "keys", "counts").orderBy("shard").collect()
-    keys = np.frombuffer(b"".join([r["keys"] for r in rows]), np.uint64)
-    counts = np.frombuffer(b"".join([r["counts"] for r in rows]), np.int64)
-    exact = context.broadcast((keys, counts))
-    grams = context.broadcast(as_filter(shards.select("shard", "bits").collect(), lead, spec))
+    exact = context.broadcast(_exact_counts(shards, distinct))
+    grams = context.broadcast(_whole_filter(shards, lead, spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, times), levels = exact.value, grams.value
@@ -304,7 +320,7 @@ def _score_dealt(docs: DataFrame, shards: DataFrame, lead: int, total: int, dist
                 if lo in loads:
                     row = {c: batch.column(c)[int(lo)].as_py() for c in ("shard", "keys", "counts", "bits")}
                     known, times = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
-                    levels, loaded, start = as_filter([row], lead, spec), row["shard"], lo + 1
+                    levels, loaded, start = one_shard(row["shard"], row["bits"], lead, spec), row["shard"], lo + 1
                 if start == hi:
                     continue
                 asked = key.slice(start, hi - start).to_numpy().view(np.uint64)
