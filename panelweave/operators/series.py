@@ -5,6 +5,9 @@ value, next observation, number of earlier rows) comes from a summary with one r
 with a map-side partial aggregate and joined back on the same (entity, piece) key the window uses.
 The facts are therefore shuffled once, on a key whose groups have a bounded size.
 
+A null id is an entity like any other: the key is a struct around the id, which is never null itself.
+A row without a time has no place in the order and raises an error.
+
 The input is read twice, for the summary (only the columns it needs) and for the rows.  Stage an
 input that is expensive to compute; a stored table is scanned twice, which is cheap.
 """
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.timegrid import shift, slot, steps_until, time_type
 from panelweave.spec import PanelSpec
 
+ENTITY = "__entity"
 PIECE = "__piece"
 NEXT = "__next_start"
 OFFSET = "__offset"
@@ -32,12 +36,15 @@ def carried(name: str) -> str:
 
 
 def in_piece(spec: PanelSpec) -> WindowSpec:
-    return Window.partitionBy(spec.id, PIECE).orderBy(spec.ts)
+    return Window.partitionBy(ENTITY, PIECE).orderBy(spec.ts)
 
 
 def with_piece(df: DataFrame, spec: PanelSpec) -> DataFrame:
-    number = slot(F.col(spec.ts), time_type(df, spec.ts), spec)
-    return df.withColumn(PIECE, F.floor(number / F.lit(spec.chunk_steps)))
+    ts = F.col(spec.ts)
+    number = slot(ts, time_type(df, spec.ts), spec)
+    missing = F.raise_error(F.lit(f"a row without a time in {spec.ts}"))
+    piece = F.when(ts.isNull(), missing).otherwise(F.floor(number / F.lit(spec.chunk_steps)))
+    return df.withColumns({ENTITY: F.struct(F.col(spec.id).alias("id")), PIECE: piece})
 
 
 def with_context(
@@ -62,9 +69,9 @@ def with_context(
     for c in carry:
         known = F.when(F.col(c).isNotNull(), F.col(spec.ts))
         aggs.append(F.max_by(F.col(c), known).alias(f"__last_{c}"))
-    pieces = pieced.groupBy(spec.id, PIECE).agg(*aggs)
+    pieces = pieced.groupBy(ENTITY, PIECE).agg(*aggs)
 
-    entity = Window.partitionBy(spec.id)
+    entity = Window.partitionBy(ENTITY)
     ordered = entity.orderBy(PIECE)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     facts: list[Column] = []
@@ -79,7 +86,7 @@ def with_context(
         facts.append(F.min("__low").over(entity).alias(LOWEST))
     for c in carry:
         facts.append(F.last(f"__last_{c}", ignorenulls=True).over(before).alias(carried(c)))
-    return pieced.join(pieces.select(spec.id, PIECE, *facts), [spec.id, PIECE], "left")
+    return pieced.join(pieces.select(ENTITY, PIECE, *facts), [ENTITY, PIECE], "left")
 
 
 def filled_forward(name: str, spec: PanelSpec) -> Column:

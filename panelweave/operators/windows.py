@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.timegrid import slot, time_type
-from panelweave.operators.series import OFFSET, TOTAL, in_piece, with_context
+from panelweave.operators.series import FIRST, NEXT, OFFSET, TOTAL, in_piece, with_context
 from panelweave.spec import PanelSpec
 
 BLOCK_STEPS = 512
@@ -32,9 +32,9 @@ def sliding_windows(
     History is cut into blocks of ``block_steps`` rows; a block also receives the first
     ``length - 1`` rows of the next one, so every window lies whole inside one block and no group
     exceeds ``block_steps + length`` rows.  ``dense=True`` is for panels without gaps (as from
-    ``fill_gaps``): the row number then follows from the time and no counting pass is needed;
-    a window over a gap raises, and ``profile.gaps`` lists the entities that have any.
-    Without it the rows are counted first, so ``df`` is read twice and should be a stored table.
+    ``fill_gaps``): the row number then follows from the time since the entity's first, and an entity
+    in which any row is not exactly one step before the next raises; ``profile.gaps`` lists them.
+    ``df`` is read twice, for the entity's facts and for its rows, and should be a stored table.
     Entities with fewer than ``length`` rows give no window, or an error with ``short="error"``.
     """
     if length < 1:
@@ -43,15 +43,21 @@ def sliding_windows(
         raise ValueError("short must be 'skip' or 'error'")
     # the default block repeats at most a quarter of the rows for its neighbour
     size = max(block_steps or max(BLOCK_STEPS, 4 * length), length)
-    by_time = dense and short == "skip"
-    if by_time:
-        rows = df.withColumn("pos", slot(F.col(spec.ts), time_type(df, spec.ts), spec))
+    if dense and short == "skip":
+        ctx = with_context(df, spec, first=True, next_start=True)
+        at = lambda c: slot(c, time_type(df, spec.ts), spec)
+        here, following = at(F.col(spec.ts)), F.coalesce(F.lead(spec.ts).over(in_piece(spec)), F.col(NEXT))
+        gap = F.concat(
+            F.lit("dense=True on a series with a gap or a repeated time: "), F.coalesce(F.col(spec.id).cast("string"), F.lit("null"))
+        )
+        number = F.when(at(following) - here != 1, F.raise_error(gap)).otherwise(here - at(F.col(FIRST)))
+        rows = ctx.withColumn("pos", number.cast("bigint"))
     else:
         ctx = with_context(df, spec, offset=True)
         number = (F.col(OFFSET) + F.row_number().over(in_piece(spec)) - 1).cast("bigint")
         if short == "error":
             too_short = F.concat(
-                F.lit("series shorter than the window: "), F.col(spec.id).cast("string")
+                F.lit("series shorter than the window: "), F.coalesce(F.col(spec.id).cast("string"), F.lit("null"))
             )
             number = F.when(F.col(TOTAL) < length, F.raise_error(too_short)).otherwise(number)
         rows = ctx.withColumn("pos", number)
@@ -60,40 +66,21 @@ def sliding_windows(
     block = F.floor(F.col("pos") / F.lit(size))
     rows = rows.select(spec.id, spec.ts, *named, "pos", block.alias("__own"))
     inside = F.col("pos") - F.col("__own") * F.lit(size)
-    # the previous block completes its last windows with these rows; the next block learns from
-    # the last row of this one that it does not hold the entity's first window
-    homes = F.array_compact(
-        F.array(
-            F.col("__own"),
-            F.when(inside < length - 1, F.col("__own") - 1),
-            F.when(inside == size - 1, F.col("__own") + 1) if by_time else F.lit(None),
-        )
-    )
+    # the previous block completes its last windows with these rows
+    homes = F.array_compact(F.array(F.col("__own"), F.when(inside < length - 1, F.col("__own") - 1)))
     rows = rows.withColumn("__block", F.explode(homes))
     step = F.struct("pos", F.col(spec.ts).alias("ts"), *named)
     groups = rows.groupBy(spec.id, "__block").agg(
         F.sort_array(F.collect_list(step)).alias("__rows"),
         F.count(F.lit(1)).cast("int").alias("__size"),
         F.count_if(F.col("__own") == F.col("__block")).cast("int").alias("__mine"),
-        F.count_if(F.col("__own") < F.col("__block")).cast("int").alias("__before"),
-    )
-    last = F.least(F.col("__before") + F.col("__mine"), F.col("__size") - F.lit(length - 1))
-    starts = groups.where(last > F.col("__before")).select(
-        spec.id, "__rows", "__before", F.explode(F.sequence(F.col("__before") + 1, last)).alias("__i")
     )
+    last = F.least(F.col("__mine"), F.col("__size") - F.lit(length - 1))
+    starts = groups.where(last > 0).select(spec.id, "__rows", F.explode(F.sequence(F.lit(1), last)).alias("__i"))
     steps = F.slice("__rows", F.col("__i"), length)
     start = F.element_at("__rows", F.col("__i"))
-    if by_time:
-        is_first = (F.col("__i") == 1) & (F.col("__before") == 0)
-        end = F.element_at("__rows", F.col("__i") + F.lit(length - 1))
-        gap = F.concat(F.lit("dense=True on a series with a gap or a repeated time: "),
-                       F.col(spec.id).cast("string"))
-        whole = end["pos"] - start["pos"] == length - 1
-        steps = F.when(whole, steps).otherwise(F.raise_error(gap))
-    else:
-        is_first = start["pos"] == 0
     return starts.select(
-        spec.id, start["ts"].alias("window_ts"), is_first.alias("is_first"), steps.alias("steps")
+        spec.id, start["ts"].alias("window_ts"), (start["pos"] == 0).alias("is_first"), steps.alias("steps")
     )
 
 
