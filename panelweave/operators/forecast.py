@@ -15,6 +15,8 @@ from panelweave.functions.losses import QUANTILES
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.sources.staging import stage
 
+#: Forecast columns of the usual three quantiles.
+NAMES = dict(zip(("yhat_low", "yhat", "yhat_up"), QUANTILES, strict=True))
 MODEL_SCHEMA = "step int, quantile double, position int, feature string, weight double"
 
 
@@ -305,14 +307,20 @@ def forecast_steps(design: DataFrame) -> DataFrame:
 def predict_quantiles(
     design: DataFrame,
     model: DataFrame,
-    names: Sequence[str] = ("yhat_low", "yhat", "yhat_up"),
+    names: Mapping[str, float] = NAMES,
     sort_quantiles: bool = False,
 ) -> DataFrame:
-    """Forecasts per (window, step) in ascending quantile order; dot products in the JVM.
+    """Forecasts per (window, step), one column per quantile; dot products in the JVM.
+
+    ``names`` maps a column to its quantile and must name exactly the quantiles of the model.
 
     The weight table has horizon x quantiles arrays and is broadcast.  Quantiles may cross unless
     ``sort_quantiles`` is set.
     """
+    held = sorted(r[0] for r in model.select("quantile").distinct().collect())
+    ordered = sorted(names, key=lambda n: names[n])
+    if held != [float(names[n]) for n in ordered]:
+        raise ValueError(f"the model has the quantiles {held}, the names stand for {dict(names)}")
     steps = forecast_steps(design)
     joined = steps.join(F.broadcast(_weights_by_step(model)), "step")
     yhat = F.transform("__weights", lambda w: dot(F.col("phi"), w))
@@ -320,7 +328,7 @@ def predict_quantiles(
         yhat = F.array_sort(yhat)
     keys = [c for c in steps.columns if c not in ("step", "phi", "y")]
     out = joined.select(*keys, "step", "y", yhat.alias("__yhat"))
-    picks = [F.element_at("__yhat", i + 1).alias(n) for i, n in enumerate(names)]
+    picks = [F.element_at("__yhat", i + 1).alias(n) for i, n in enumerate(ordered)]
     return out.select(*keys, "step", "y", *picks)
 
 

@@ -1,32 +1,56 @@
-"""User functions applied to pieces of entities."""
+"""User functions applied to entities, piece by piece."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.operators.series import PIECE, with_piece
+from panelweave.operators.joins import attach
+from panelweave.operators.series import ENTITY, PIECE, with_piece
+from panelweave.sources.staging import stage
 from panelweave.spec import PanelSpec
 
+PandasFn = Callable[[pd.DataFrame], pd.DataFrame]
 
-def group_apply(
-    df: DataFrame,
-    spec: PanelSpec,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: T.StructType | str,
+
+def piece_apply(
+    df: DataFrame, spec: PanelSpec, chunk_steps: int, fn: PandasFn, schema: T.StructType | str
 ) -> DataFrame:
     """Run a pandas function on every (entity, time piece), rows in time order.
 
-    A piece spans ``spec.chunk_steps`` grid steps, so a task never holds more of one entity than
-    that.  What the function needs to know about the whole entity is computed first (a scaler
-    state, ``with_position``, ``partition_min``) and arrives as columns.
+    The caller cuts the pieces: each spans ``chunk_steps`` grid steps, on borders that are the same
+    for all entities.  The function sees a piece at a time and nothing else of its entity.
     """
     ts = spec.ts
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
-        return fn(piece.drop(columns="__piece").sort_values(ts, ignore_index=True))
+        return fn(piece.drop(columns=[ENTITY, PIECE]).sort_values(ts, ignore_index=True))
+
+    return with_piece(df, spec.with_(chunk_steps=chunk_steps)).groupBy(ENTITY, PIECE).applyInPandas(run, schema)
+
 
-    return with_piece(df, spec).groupBy(spec.id, PIECE).applyInPandas(run, schema)
+def group_apply(
+    df: DataFrame,
+    spec: PanelSpec,
+    partial: PandasFn,
+    partial_schema: T.StructType | str,
+    merge: Sequence[Column],
+    fn: PandasFn,
+    schema: T.StructType | str,
+) -> DataFrame:
+    """A function of whole entities in two phases, without holding an entity in one task.
+
+    ``partial`` makes rows of partial results from a piece (it must return the id column), ``merge``
+    aggregates them per entity with Spark's own functions, and ``fn`` gets each piece with the merged
+    columns beside its rows.  When ``merge`` does not depend on how rows are grouped (sums, counts,
+    extremes), neither does the result, whatever ``spec.chunk_steps`` is.
+    """
+    parts = piece_apply(df, spec, spec.chunk_steps, partial, partial_schema)
+    merged = stage(parts.groupBy(F.struct(F.col(spec.id).alias("id")).alias(ENTITY)).agg(*merge), "merged")
+    keyed = df.withColumn(ENTITY, F.struct(F.col(spec.id).alias("id")))
+    whole = attach(keyed, merged, ENTITY, "left").drop(ENTITY)
+    return piece_apply(whole, spec, spec.chunk_steps, fn, schema)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,18 +36,6 @@ def fits_broadcast(side: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return n <= limit and (size or 0) <= BROADCAST_BYTES
 
 
-def hot_keys(fact: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
-    """Keys with more than 1 / ``parts`` of the rows and how many groups each needs.
-
-    There are fewer than ``parts`` of them and their groups add up to less than twice ``parts``.
-    """
-    counts = stage(fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "key-counts")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    share = max(total / parts, 1.0)
-    groups = F.ceil(F.col("__n") / F.lit(share)).cast("bigint").alias("__groups")
-    return counts.where(F.col("__n") > F.lit(share)).select(*keys, groups)
-
-
 def attach(
     fact: DataFrame,
     side: DataFrame,
@@ -60,38 +47,16 @@ def attach(
     """Equi-join of a large table with a side of unknown size.
 
     ``side`` should be a stored table: its rows and bytes are counted first, unless the caller has
-    done so and passes the answer as ``fits``.  Within the limits it is broadcast.  Beyond them both
-    sides are shuffled by ``skewed_join``.  Only joins that keep or drop fact rows are offered.
+    done so and passes the answer as ``fits``.  Within the limits it is broadcast.  Beyond them the
+    join is a shuffled one, whose large partitions adaptive execution splits on either side; no job
+    runs on ``fact`` while the plan is built.  Only joins that keep or drop fact rows are offered.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"attach does not offer a {how} join")
     if fits if fits is not None else fits_broadcast(side, limit):
-        return fact.join(F.broadcast(side), keys, how)
-    return skewed_join(fact, side, keys, how)
-
-
-def skewed_join(
-    fact: DataFrame, side: DataFrame, keys: Sequence[str], how: str, parts: int | None = None
-) -> DataFrame:
-    """Shuffled join in which no key's fact rows stay together beyond a task's fair share.
-
-    One count per key finds the hot keys.  Their fact rows are dealt to as many groups as the key
-    has shares of 1 / ``parts``, and their side rows are repeated once per group; all other rows
-    are joined as usual.  The count reads ``fact`` once more, its keys only.  Rows with a null key match nothing and are spread as well.
-    """
-    parts = parts or int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(fact, keys, parts))
-    dealt = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns], F.spark_partition_id())
-    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    groups = F.when(no_key, F.lit(parts).cast("bigint")).otherwise(F.col("__groups"))
-    salted = fact.join(hot, list(keys), "left").withColumn(
-        "__salt", F.coalesce(F.pmod(dealt, groups), F.lit(0).cast("bigint"))
-    ).drop("__groups")
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    copies = F.explode(F.sequence(zero, F.coalesce(F.col("__groups"), one) - one))
-    repeated = side.join(hot, list(keys), "left").withColumn("__salt", copies).drop("__groups")
-    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
+        side = F.broadcast(side)
+    return fact.join(side, keys, how)
 
 
 def left_join_series(fact: DataFrame, series: DataFrame, on: str | Sequence[str]) -> DataFrame:

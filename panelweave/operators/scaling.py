@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.joins import attach
+from panelweave.sources.staging import stage
 
 # Scope key of a scaler fitted over all entities.
 EVERYTHING = "*"
@@ -37,8 +38,11 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], by: str | None = None) ->
 
 
 def _with_state(
-    df: DataFrame, state: DataFrame, columns: Sequence[str], by: str | None
+    df: DataFrame, state: DataFrame, columns: Sequence[str], by: str | None, unseen: str
 ) -> DataFrame:
+    """``df`` with the state's columns; ``unseen`` says what becomes of rows without a state."""
+    if unseen not in ("error", "skip", "null"):
+        raise ValueError("unseen must be 'error', 'skip' or 'null'")
     pick = []
     for c in columns:
         mine = F.col("column") == c
@@ -48,7 +52,12 @@ def _with_state(
         ]
     wide = state.where(F.col("column").isin(list(columns))).groupBy("scope_key").agg(*pick)
     key = F.col(by).cast("string") if by else F.lit(EVERYTHING)
-    return attach(df.withColumn("scope_key", key), wide, "scope_key", "left").drop("scope_key")
+    wide = stage(wide.withColumn("__known", F.lit(True)), "scaler-state")
+    joined = attach(df.withColumn("scope_key", key), wide, "scope_key", "inner" if unseen == "skip" else "left")
+    if unseen == "error":
+        text = F.concat(F.lit("no scaler state for "), F.coalesce(F.col("scope_key"), F.lit("null")))
+        joined = joined.where(F.when(F.col("__known").isNull(), F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
+    return joined.drop("scope_key", "__known")
 
 
 def _scaled(c: str) -> Column:
@@ -56,14 +65,13 @@ def _scaled(c: str) -> Column:
 
 
 def scale(
-    df: DataFrame, state: DataFrame, columns: Sequence[str], by: str | None = None
+    df: DataFrame, state: DataFrame, columns: Sequence[str], by: str | None = None, unseen: str = "error"
 ) -> DataFrame:
     """Replace each column by its z-score; ``state`` is a stored scaler table.
 
-    A row whose entity has no state gets null: fit on data that covers the entities, or filter
-    them out first.
+    A row whose entity has no state raises, is dropped (``unseen="skip"``) or gets null (``"null"``).
     """
-    joined = _with_state(df, state, columns, by)
+    joined = _with_state(df, state, columns, by, unseen)
     return joined.withColumns({c: _scaled(c) for c in columns}).select(*df.columns)
 
 
@@ -72,9 +80,10 @@ def inverse_scale(
     state: DataFrame,
     columns: Mapping[str, str],
     by: str | None = None,
+    unseen: str = "error",
 ) -> DataFrame:
     """Back to original units; ``columns`` maps a column to the fitted column it was scaled like."""
-    joined = _with_state(df, state, sorted(set(columns.values())), by)
+    joined = _with_state(df, state, sorted(set(columns.values())), by, unseen)
     back = {
         c: F.col(c) * F.col(f"__scale_{like}") + F.col(f"__mean_{like}")
         for c, like in columns.items()

@@ -19,9 +19,11 @@ def _at(df: DataFrame, ts: str, boundary: Boundary, overlap: timedelta = timedel
     return time_literal(boundary - overlap, time_type(df, ts))
 
 
-def between(df: DataFrame, ts: str, first: Boundary, last: Boundary) -> DataFrame:
-    """Rows of a closed time range; both bounds are pushed into the Parquet scan."""
-    return df.where((F.col(ts) >= _at(df, ts, first)) & (F.col(ts) <= _at(df, ts, last)))
+def between(df: DataFrame, ts: str, first: Boundary | None, last: Boundary | None) -> DataFrame:
+    """Rows of a closed time range, open where a bound is None; bounds are pushed into the scan."""
+    if first is not None:
+        df = df.where(F.col(ts) >= _at(df, ts, first))
+    return df if last is None else df.where(F.col(ts) <= _at(df, ts, last))
 
 
 def split_two(

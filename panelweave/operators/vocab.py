@@ -115,9 +115,14 @@ def encode_labels(
 
 
 def decode_labels(
-    df: DataFrame, state: DataFrame, columns: Sequence[str], types: dict[str, str] | None = None
+    df: DataFrame, state: DataFrame, columns: Sequence[str], types: dict[str, str] | None = None, unseen: str = "error"
 ) -> DataFrame:
-    """Replace codes by the values they stand for, cast to ``types`` where given."""
+    """Replace codes by the values they stand for, cast to ``types`` where given.
+
+    A code the vocabulary does not have raises, or becomes null with ``unseen="null"``.
+    """
+    if unseen not in ("error", "null"):
+        raise ValueError("unseen must be 'error' or 'null'")
     out, sizes = df, _sizes(state, columns)
     for c in columns:
         values = state.where(F.col("column") == c).select(
@@ -125,6 +130,9 @@ def decode_labels(
         )
         joined = attach(out.withColumn("__code", F.col(c).cast("int")), values, "__code", "left", fits=_fits(sizes[c]))
         value = F.col("__value")
+        if unseen == "error":
+            text = F.concat(F.lit(f"unknown code in {c}: "), F.col("__code").cast("string"))
+            value = F.when(value.isNull() & F.col("__code").isNotNull(), F.raise_error(text)).otherwise(value)
         if types and c in types:
             value = value.cast(types[c])
         out = joined.withColumn(c, value).select(*df.columns)

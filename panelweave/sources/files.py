@@ -30,8 +30,11 @@ def read_csv_dates(
     schema: T.StructType | str,
     year_month: Sequence[str] = (),
 ) -> DataFrame:
-    """CSV with a header and a declared schema; ``YYYY-MM`` text columns become dates."""
-    df = spark.read.schema(schema).option("enforceSchema", "false").csv(path, header=True)
+    """CSV with a header and a declared schema; ``YYYY-MM`` text columns become dates.
+
+    Every file's header must name the schema's columns, and a value that is not of its type raises.
+    """
+    df = spark.read.schema(schema).option("enforceSchema", "false").option("mode", "FAILFAST").csv(path, header=True)
     return df.withColumns({c: parse_year_month(F.col(c)) for c in year_month}) if year_month else df
 
 
@@ -44,7 +47,11 @@ def read_decimal_comma(
     """``;``-separated text with decimal commas and a blank name over its time column.
 
     ``meters`` declares the value columns in file order, so no inference pass over the data runs.
+    All files must have that header, and a malformed time or number raises.
     """
+    found = header_names(spark, path)
+    if found != list(meters):
+        raise ValueError(f"the header names {found}, declared are {list(meters)}")
     schema = T.StructType(
         [T.StructField(timestamp, T.TimestampNTZType())]
         + [T.StructField(m, T.StringType()) for m in meters]
@@ -53,6 +60,7 @@ def read_decimal_comma(
         spark.read.schema(schema)
         .option("header", "true")
         .option("sep", ";")
+        .option("mode", "FAILFAST")
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
@@ -61,9 +69,15 @@ def read_decimal_comma(
 
 
 def header_names(spark: SparkSession, path: str, sep: str = ";") -> list[str]:
-    """Value column names of a wide text file, read from its first line only."""
-    first = spark.read.text(path).first()
-    names = first[0].split(sep)[1:] if first else []
+    """Value column names of the wide text files at ``path``; files with different headers raise.
+
+    A header line is one with a blank name over the time column.
+    """
+    blank = F.regexp_replace(F.substring_index("value", sep, 1), r'["\s]', "") == ""
+    lines = [r[0] for r in spark.read.text(path).where(blank & F.col("value").contains(sep)).distinct().limit(2).collect()]
+    if len(lines) > 1:
+        raise ValueError(f"files with different headers: {lines[0]!r} and {lines[1]!r}")
+    names = lines[0].split(sep)[1:] if lines else []
     return [n.strip().strip('"') for n in names]
 
 

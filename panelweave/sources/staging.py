@@ -10,7 +10,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +49,17 @@ def stage_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
     return stored, seen.get["rows"]
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer has committed the table at ``path``."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(marker)
+
+
 def materialize(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse the table stored at ``path``; compute and store it only when there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as err:
-        # Only a missing path, or one left without any data file, means "not stored yet".
-        if err.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    build().write.mode("overwrite").parquet(path)
+    """Reuse the table stored at ``path``; compute and store it when there is none, or only a part.
+
+    A complete table has the marker that Spark's writers leave when they commit.
+    """
+    if not is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
