@@ -23,11 +23,11 @@ TRAJECTORY = PanelSpec(id="traj_id", ts="date", target="log_sales", step="1 day"
 
 
 def trajectory_prep(
-    train: DataFrame, start: date, end: date, zero: str = "null", first: str | None = None
+    train: DataFrame, start: date | None = None, end: date | None = None, zero: str = "null", first: str | None = None
 ) -> DataFrame:
     """Gap-free daily trajectories with the log of sales.
 
-    Rows in the closed date range, without trajectories that ever had a return; days between a
+    Rows in the closed date range (None: no bound), without trajectories that ever had a return; days between a
     trajectory's first and last sale get ``open`` 0 and the last known key, promotion and log sales.
     ``zero`` says what the log of zero sales is: null (then filled) or minus infinity.
     ``first`` names an optional column with the trajectory's first date.
@@ -61,8 +61,8 @@ def trajectory_prep(
 
 def star_assembly(
     tables: Mapping[str, DataFrame],
-    start: date,
-    end: date,
+    start: date | None = None,
+    end: date | None = None,
     *,
     zero: str = "null",
     dedupe_holidays: bool = False,
@@ -74,9 +74,11 @@ def star_assembly(
     and the transactions are forward filled per trajectory on their own small tables.
     """
     panel = trajectory_prep(tables["train"], start, end, zero, "first_date")
+    # the oil price is carried on to the last day of the facts
+    until = end or tables["train"].agg(F.max("date")).first()[0]
     oil = tables["oil"].withColumnRenamed("dcoilwtico", "oil_price")
     panel = attach_filled_series(
-        panel, downcast(oil), date="date", value="oil_price", since="first_date", until=end
+        panel, downcast(oil), date="date", value="oil_price", since="first_date", until=until
     ).where(F.col("oil_price").isNotNull())
     panel = inner_join_dims(
         panel,

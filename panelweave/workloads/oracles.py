@@ -117,11 +117,11 @@ check("locale_filter", ["holidays"],
 check("not_null_filter", ["transactions"], "select * from transactions where transactions is not null")
 check("year_filter", [], "select o_orderkey, o_orderdate from orders where year(o_orderdate) >= 1998")
 
-RANGE = "date between date '1995-01-01' and date '1996-06-01'"
-SALES = f"select {TRAJ} as traj_id, * from train where {RANGE}"
+SALES = f"select {TRAJ} as traj_id, * from train"
+NAMELESS = f"select nullif({TRAJ}, '3_2') as traj_id, * from train"
 KEPT = "select *, min(unit_sales) over (partition by traj_id) as lowest from sales"
 check("drop_negative_groups", ["train"],
-      "select traj_id, date, unit_sales from kept where lowest >= 0", sales=SALES, kept=KEPT)
+      "select traj_id, date, unit_sales from kept where lowest >= 0", sales=NAMELESS, kept=KEPT)
 check(
     "partition_min", ["train"],
     f"""select {TRAJ} as traj_id, date, unit_sales,
@@ -167,7 +167,7 @@ PREP = {
     "sales": f"""
         select {TRAJ} as traj_id, date, cast(store_nbr as smallint) as store_nbr, item_nbr,
                cast(unit_sales as float) as unit_sales,
-               cast(onpromotion = 'True' as smallint) as onpromotion from train where {RANGE}""",
+               cast(onpromotion = 'True' as smallint) as onpromotion from train""",
     "kept": """
         select * exclude (lowest) from
             (select *, min(unit_sales) over (partition by traj_id) as lowest from sales)
@@ -234,11 +234,21 @@ check(
            cast(dense_rank() over (order by regional_hol) - 1 as integer) as regional_hol,
            cast(dense_rank() over (order by local_hol) - 1 as integer) as local_hol,
            cast(dense_rank() over (order by coalesce(onpromotion, 0)) - 1 as integer) as onpromotion,
-           cast(dense_rank() over (order by open) - 1 as integer) as open, city, family
+           cast(dense_rank() over (order by open) - 1 as integer) as open, city, family,
+           cast(dense_rank() over (order by state) - 1 as integer) as state,
+           cast(dense_rank() over (order by type) - 1 as integer) as type,
+           cast(dense_rank() over (order by cluster) - 1 as integer) as cluster,
+           cast(dense_rank() over (order by class) - 1 as integer) as class,
+           cast(dense_rank() over (order by perishable) - 1 as integer) as perishable,
+           cast(dense_rank() over (order by month) - 1 as integer) as month,
+           cast(dense_rank() over (order by day_of_month) - 1 as integer) as day_of_month,
+           cast(dense_rank() over (order by day_of_week) - 1 as integer) as day_of_week,
+           round((year - my) / sy, 4) as year, round((oil_price - mo) / so, 4) as oil_price
     from star, scaler""",
     **STAR,
     scaler="""select avg(log_sales) as ml, stddev_pop(log_sales) as sl, avg(transactions) as mt,
-                     stddev_pop(transactions) as st from star""",
+                     stddev_pop(transactions) as st, avg(year) as my, stddev_pop(year) as sy,
+                     avg(cast(oil_price as double)) as mo, stddev_pop(cast(oil_price as double)) as so from star""",
 )
 check(
     "cold_start_filter", ["daily"],
@@ -301,7 +311,7 @@ check("batch_mean", [],
 LONG = " union all ".join(f"""select '{m}' as id, "timestamp", "{m}" as y from meters""" for m in METERS)
 check(
     "forward_fill", ["meters"],
-    """select id, "timestamp" as ts, round(last_value(y ignore nulls) over
+    """select nullif(id, 'click') as id, "timestamp" as ts, round(last_value(y ignore nulls) over
            (partition by id order by "timestamp" rows between unbounded preceding and current row), 6) as y
        from long""",
     long=LONG,
@@ -321,7 +331,7 @@ check(
 )
 check(
     "panel_windows", ["daily"],
-    "select * replace (round(y, 6) as y) from (" + WINDOWS.format(t=7) + ")",
+    "select * replace (nullif(id, 7) as id, round(y, 6) as y) from (" + WINDOWS.format(t=7) + ")",
     numbered=NUMBERED.format(t="daily"),
 )
 DENSE = {
@@ -522,15 +532,20 @@ check(
       on s.step = b.step""",
     **BASELINE,
 )
+# Inputs of the stated model whose weight is zero.
+REST_OF_MODEL = ", ".join(
+    f"round(avg(1 / t), 6) as {n}_importance" for n in ("id_code", "y_mean", *(f"weekday_{i}" for i in range(8) if i != 3))
+)
 check(
     "model_importance", ["daily"],
-    """
-    select ts, round(avg(exp(a) / (exp(a) + exp(b))), 6) as bias_importance,
-           round(avg(exp(b) / (exp(a) + exp(b))), 6) as y_last_importance
-    from (select w.ts, abs(m.value) as a, abs(0.5 * e.y) as b
+    f"""
+    select ts, round(avg(exp(a) / t), 6) as bias_importance, round(avg(exp(b) / t), 6) as y_last_importance,
+           round(avg(exp(c) / t), 6) as weekday_3_importance, {REST_OF_MODEL}
+    from (select *, exp(a) + exp(b) + exp(c) + 9 as t from (select w.ts, abs(m.value) as a, abs(0.5 * e.y) as b,
+                 case when isodow(w.ts) = 3 then 0.25 else 0 end as c
           from w join w e on w.id = e.id and w.window_ts = e.window_ts and e.step = 4
                join baseline m on m.step = w.step - 4 and m.quantile = 0.5
-          where w.step >= 5) group by ts""",
+          where w.step >= 5)) group by ts""",
     **BASELINE,
 )
 check(

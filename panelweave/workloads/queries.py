@@ -240,7 +240,8 @@ TRAIN_SPEC = retail.TRAJECTORY.with_(target="unit_sales")
 @query
 def drop_negative_groups(spark, sf):
     df = _trajectories(spark, sf).select("traj_id", "date", "unit_sales")
-    return series.drop_negative_groups(splits.between(df, "date", S.START, S.END), TRAIN_SPEC)
+    nameless = F.when(F.col("traj_id") != "3_2", F.col("traj_id")).alias("traj_id")
+    return series.drop_negative_groups(df.select(nameless, "date", "unit_sales"), TRAIN_SPEC)
 
 
 # ---- joins -------------------------------------------------------------------------------------
@@ -283,11 +284,11 @@ def holiday_join(spark, sf):
 @query
 def trajectory_prep(spark, sf):
     train = staging.stage(S.train(spark, sf), "train")
-    return retail.trajectory_prep(train, S.START, S.END).withColumn("log_sales", r6("log_sales"))
+    return retail.trajectory_prep(train).withColumn("log_sales", r6("log_sales"))
 
 
 def _star(spark, sf):
-    return retail.star_assembly(S.retail_tables(spark, sf), S.START, S.END)
+    return retail.star_assembly(S.retail_tables(spark, sf))
 
 
 @query
@@ -322,18 +323,24 @@ def resample_mean(spark, sf):
 
 @query
 def group_apply(spark, sf):
-    """A pandas function that scales with the entity's own state, joined as columns beforehand."""
+    """A pandas function that scales with the entity's own moments; pieces of one day."""
     panel = staging.stage(S.hourly(spark, sf), "hourly")
-    state = staging.stage(scaling.fit_scaler(panel, ["y"], "id"), "scalers")
-    wide = state.select(F.col("scope_key").cast("bigint").alias("id"), "mean", "scale")
+
+    def moments(piece):
+        import pandas as pd
+
+        y = piece["y"]
+        return pd.DataFrame({"id": piece["id"].iloc[:1], "n": [len(y)], "s": [y.sum()], "q": [(y**2).sum()]})
 
     def scaled(piece):
-        return piece.assign(z=((piece["y"] - piece["mean"]) / piece["scale"]).round(6))[
-            ["id", "ts", "z"]
-        ]
+        mean = piece["s"] / piece["n"]
+        sd = (piece["q"] / piece["n"] - mean**2).clip(lower=0) ** 0.5
+        z = ((piece["y"] - mean) / sd.where(piece["n"] > 1, 1.0)).round(6)
+        return piece.assign(z=z)[["id", "ts", "z"]]
 
     return groups.group_apply(
-        joins.attach(panel, wide, "id"), S.HOURLY, scaled, "id bigint, ts timestamp_ntz, z double"
+        panel, S.HOURLY.with_(chunk_steps=24), moments, "id bigint, n bigint, s double, q double",
+        [F.sum(c).alias(c) for c in ("n", "s", "q")], scaled, "id bigint, ts timestamp_ntz, z double",
     )
 
 
@@ -390,6 +397,8 @@ def batch_mean(spark, sf):
 def forward_fill(spark, sf):
     wide = staging.stage(S.meters(spark, sf), "meters")
     long = resample.wide_to_long(wide.withColumnRenamed("timestamp", "ts"), "ts")
+    # one meter without a name is a series of its own
+    long = long.withColumn("id", F.when(F.col("id") != "click", F.col("id")))
     # pieces of one day, so that values are carried over many piece borders
     spec = S.HOURLY.with_(step="15 minutes", chunk_steps=96)
     return series.forward_fill(long, spec, ["y"]).select("id", "ts", r6("y"))
@@ -428,7 +437,8 @@ def sliding_windows(spark, sf):
 @query
 def panel_windows(spark, sf):
     daily = staging.stage(S.daily(spark, sf), "daily")
-    return _exploded(windows.sliding_windows(daily, S.DAILY, WINDOW, ["y"]))
+    nameless = daily.withColumn("id", F.when(F.col("id") != 7, F.col("id")))
+    return _exploded(windows.sliding_windows(nameless, S.DAILY, WINDOW, ["y"]))
 
 
 def _dense_daily(spark, sf):
@@ -473,9 +483,8 @@ def flatten_windows(spark, sf):
 @query
 def upsample_daily(spark, sf):
     df = _trajectories(spark, sf).select("traj_id", "date", "store_nbr", "unit_sales")
-    kept = splits.between(df, "date", S.START, S.END)
     # pieces of 30 days, so that gaps cross many piece borders
-    return resample.upsample(kept, TRAIN_SPEC.with_(chunk_steps=30), ["store_nbr"], made="made")
+    return resample.upsample(df, TRAIN_SPEC.with_(chunk_steps=30), ["store_nbr"], made="made")
 
 
 @query
@@ -646,7 +655,9 @@ def retail_transform(spark, sf):
     return back.select(
         "traj_id", "date", F.round("log_sales", 4).alias("log_sales"),
         F.round("transactions", 4).alias("transactions"), "item_nbr", "store_nbr", "national_hol",
-        "regional_hol", "local_hol", "onpromotion", "open", "city", "family",
+        "regional_hol", "local_hol", "onpromotion", "open", "city", "family", "state", "type", "cluster", "class",
+        "perishable", "month", "day_of_month", "day_of_week", F.round("year", 4).alias("year"),
+        F.round("oil_price", 4).alias("oil_price"),
     )
 
 
@@ -880,16 +891,19 @@ def importance_table(spark, sf):
     return out.select("part", "ts", *[r6(f"{n}_importance") for n in names])
 
 
+def _plain(feature: str) -> str:
+    return feature.replace("=", "_") + "_importance"
+
+
 @query
 def model_importance(spark, sf):
     """Importance weights of a linear model's own inputs, by forecast time."""
     design, roles, model = _stated_model(spark, sf)
     parts = forecast.contributions(design, model, roles.features)
     keys = ["id", "window_ts", "step", "ts"]
-    names = ["bias", "y_last"]
-    weights = importance.feature_importance(parts, keys, names)
-    out = importance.importance_table(weights, names, ["ts"])
-    return out.select("ts", *[r6(f"{n}_importance") for n in names])
+    weights = importance.feature_importance(parts, keys, roles.features)
+    out = importance.importance_table(weights, roles.features, ["ts"])
+    return out.select("ts", *[F.round(F.col(f"`{n}_importance`"), 6).alias(_plain(n)) for n in roles.features])
 
 
 @query

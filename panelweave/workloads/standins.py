@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +15,6 @@ from panelweave.spec import PanelSpec
 HOURLY = PanelSpec(step="1 hour")
 DAILY = PanelSpec(step="1 day")
 METERS = ["view", "signup", "error", "click", "purchase"]
-START, END = date(1995, 1, 1), date(1996, 6, 1)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -136,7 +134,7 @@ def oil(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def holidays(spark: SparkSession, sf: str) -> DataFrame:
-    """Order days by priority as national, regional and local holidays; some keys occur twice."""
+    """Order days by priority as national, regional and local holidays; on some days keys occur twice."""
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("date")
     )
@@ -147,10 +145,9 @@ def holidays(spark: SparkSession, sf: str) -> DataFrame:
         stores(spark, sf).select("store_nbr", "city", "state"), "store_nbr"
     )
     day, priority = F.dayofmonth("date"), F.col("o_orderpriority")
-    odd = (F.col("o_orderkey") % 2).cast("string")
-    national = (priority == "1-URGENT") & (day == 1)
-    regional = (priority == "2-HIGH") & day.isin(5, 6)
-    local = (priority == "3-MEDIUM") & (day == 15)
+    twice = F.when(priority == "1-URGENT", day == 1).when(priority == "2-HIGH", day.isin(5, 6)).otherwise(day == 15)
+    odd = F.when(twice, (F.col("o_orderkey") % 2).cast("string")).otherwise("0")
+    national, regional, local = (priority == p for p in ("1-URGENT", "2-HIGH", "3-MEDIUM"))
     return (
         placed.where(national | regional | local)
         .select(
@@ -242,11 +239,12 @@ SQL = {
                case o_orderpriority when '1-URGENT' then 'Everywhere' when '2-HIGH' then state
                     else city end as locale_name,
                case o_orderpriority when '1-URGENT' then 'N' when '2-HIGH' then 'R' else 'L' end
-                   || cast(o_orderkey % 2 as varchar) as description
+                   || case when (o_orderpriority = '1-URGENT' and day(o_orderdate) = 1)
+                             or (o_orderpriority = '2-HIGH' and day(o_orderdate) in (5, 6))
+                             or (o_orderpriority = '3-MEDIUM' and day(o_orderdate) = 15)
+                           then cast(o_orderkey % 2 as varchar) else '0' end as description
         from orders join customer on o_custkey = c_custkey join stores on c_nationkey = store_nbr
-        where (o_orderpriority = '1-URGENT' and day(o_orderdate) = 1)
-           or (o_orderpriority = '2-HIGH' and day(o_orderdate) in (5, 6))
-           or (o_orderpriority = '3-MEDIUM' and day(o_orderdate) = 15)""",
+        where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
     "months": """
         select strftime(o_orderdate, '%Y-%m') as Month, round(sum(o_totalprice), 2) as Passengers
         from orders group by 1 having strftime(o_orderdate, '%Y-%m') not in ('1996-02', '1998-07')""",

@@ -45,7 +45,7 @@ def test_facts_are_shuffled_once(spark, sf):
     train = stage(S.train(spark, sf), "train")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(retail.trajectory_prep(train, S.START, S.END))
+        text = plan(retail.trajectory_prep(train))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from panelweave.workloads.oracles import ORACLES
+from panelweave.workloads.queries import QUERIES
 from tests.compare import connect, differences
 
 ROWS_ONLY = {"fit_quantile_model"}
@@ -13,14 +15,14 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, sf, con, name):
-    assert differences(queries()[name](spark, sf), con, oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, sf), con, ORACLES[name]) == []
 
 
 def test_every_query_is_checked():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
@@ -30,7 +32,7 @@ def test_entry(spark):
 
 
 def test_fitted_model_is_no_worse_than_the_baseline(spark, sf):
-    rows = queries()["fit_quantile_model"](spark, sf).collect()
+    rows = QUERIES["fit_quantile_model"](spark, sf).collect()
     assert len(rows) == 2
     loss = sum(r["loss"] * r["windows"] for r in rows)
     assert loss <= sum(r["baseline_loss"] * r["windows"] for r in rows) * 1.02
