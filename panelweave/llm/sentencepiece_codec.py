@@ -11,8 +11,11 @@ Null text is the empty text and has no pieces.  Rows are independent: repeats, o
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+import string
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Words whose pieces a worker remembers (two generations of this many, about 300 bytes each).
-CACHE = 150_000
+#: Words whose ids a worker remembers (two generations of this many, about 250 bytes each).
+CACHE = 200_000
 # Piece types of the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
+LETTER = r"[^\W\d_]"
+#: Greater than the rank of every piece.
+NO_RANK = 1 << 40
 
 
 class CharacterMap:
@@ -132,52 +138,63 @@ class Codec:
             raise ValueError("only BPE models with a leading word mark are supported")
         spec, pieces = model.normalizer_spec, model.pieces
         user = tuple(p.piece.encode() for p in pieces if p.type == USER_DEFINED)
-        if user or any(p.type == UNUSED for p in pieces):
-            raise ValueError("models with user-defined or unused pieces are not supported")
+        if user or any(p.type == UNUSED for p in pieces) or not model.trainer_spec.byte_fallback:
+            raise ValueError("models with user-defined or unused pieces, or without byte pieces, are not supported")
         self.normalize = Normalizer(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         self.dummy_prefix = spec.add_dummy_prefix or spec.remove_extra_whitespaces
         self.names = [p.piece for p in pieces]
         self.types = [p.type for p in pieces]
         self.unknown = self.types.index(UNKNOWN)
         self.unknown_text = model.trainer_spec.unk_surface
-        self.fallback = model.trainer_spec.byte_fallback
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(pieces) if p.type == BYTE}
         self.ids = {p.piece: i for i, p in enumerate(pieces) if p.type == NORMAL}
-        self.scores = {p.piece: p.score for p in pieces if p.type == NORMAL}
-        inner = {a for name in self.ids if len(name) > 1 for a in name}
-        spans_mark = any(a != SPACE and b == SPACE for name in self.ids for a, b in zip(name, name[1:], strict=False))
-        lone = "".join(c for c in "\n\t\r" if c not in inner)
-        # Words begin at a mark; a character that no longer piece holds is a word of its own.
-        mark = "" if spans_mark else SPACE
-        self.words = None if spans_mark else re.compile(f"[{lone}]|{mark}+[^{mark}{lone}]*|[^{mark}{lone}]+" if lone else f"{mark}+[^{mark}]*|[^{mark}]+")
+        levels = {s: i for i, s in enumerate(sorted({p.score for p in pieces if p.type == NORMAL}, reverse=True))}
+        self.rank = {p.piece: levels[p.score] for p in pieces if p.type == NORMAL}
+        self.decimal = [str(i) for i in range(len(pieces))]
+        self.piece_bytes = np.array([-1 if t == BYTE else len(n.encode()) for n, t in zip(self.names, self.types, strict=True)], np.int64)
+        self.byte_of = np.zeros(len(pieces), np.int64)
+        for byte, id in self.byte_ids.items():
+            self.byte_of[id] = byte
+        self.words = self._borders()
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
+    def _borders(self) -> re.Pattern | None:
+        """Words that can be merged apart: no piece spans a border between two of them.
+
+        Words begin at a mark, a character that is inside no longer piece is a word of its own, and letters end before
+        a punctuation character that no piece has behind a letter.
+        """
+        neighbours = {(a, b) for name in self.ids for a, b in zip(name, name[1:], strict=False)}
+        if any(b == SPACE and a != SPACE for a, b in neighbours):
+            return None
+        held = {c for pair in neighbours for c in pair}
+        lone = "".join(c for c in "\n\t\r" if c not in held)
+        behind = {b for a, b in neighbours if re.match(LETTER, a)}
+        cut = re.escape("".join(c for c in string.punctuation if c not in behind))
+        return re.compile(
+            (f"[{lone}]|" if lone else "") + (f"{SPACE}*{LETTER}+(?=[{cut}])|" if cut else "") + f"{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+"
+        )
+
     def merged(self, word: str) -> list[str]:
-        """The pieces of ``word``: the best-scored adjacent pair is joined, leftmost first, until none is left."""
-        parts, scores = list(word), self.scores
-        pairs = [scores.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for i, s in enumerate(pairs):
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """The pieces of ``word``: the best-ranked adjacent pair is joined, leftmost first, until none is left."""
+        parts, rank = list(word), self.rank
+        pairs = [rank.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) < NO_RANK:
+            at = pairs.index(best)
+            parts[at] += parts.pop(at + 1)
             del pairs[at]
             if at < len(pairs):
-                pairs[at] = scores.get(parts[at] + parts[at + 1])
+                pairs[at] = rank.get(parts[at] + parts[at + 1], NO_RANK)
             if at:
-                pairs[at - 1] = scores.get(parts[at - 1] + parts[at])
+                pairs[at - 1] = rank.get(parts[at - 1] + parts[at], NO_RANK)
+        return parts
 
     def long_merged(self, word: str) -> list[str]:
         """``merged`` with a heap of pairs and linked neighbours, for words of many characters."""
-        import heapq
-
-        parts, scores, n = list(word), self.scores, len(word)
+        parts, rank, n = list(word), self.rank, len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(-s, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (s := scores.get(parts[i] + parts[i + 1])) is not None]
+        heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := rank.get(parts[i] + parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, text = heapq.heappop(heap)
@@ -191,49 +208,57 @@ class Codec:
             for left in (before[i], i):
                 if left >= 0 and after[left] < n:
                     pair = parts[left] + parts[after[left]]
-                    if (s := scores.get(pair)) is not None:
-                        heapq.heappush(heap, (-s, left, pair))
+                    if (r := rank.get(pair)) is not None:
+                        heapq.heappush(heap, (r, left, pair))
         return [p for p in parts if p]
 
-    def word(self, word: str) -> tuple[str, bytes, bytes]:
-        """Ids as decimals joined by commas, ids as int32, and each id's normalised byte length as int32."""
-        hit = self.young.get(word)
+    def word(self, word: str) -> bytes:
+        """The ids of ``word`` as 32-bit integers."""
+        hit = self.young.get(word) or self.old.get(word)
         if hit is None:
-            hit = self.old.get(word)
-            if hit is None:
-                ids, widths = [], []
-                for part in self.merged(word) if len(word) < 40 else self.long_merged(word):
-                    data = part.encode()
-                    if part in self.ids:
-                        ids.append(self.ids[part])
-                        widths.append(len(data))
-                    elif self.fallback:
-                        ids += [self.byte_ids[b] for b in data]
-                        widths += [0] * (len(data) - 1) + [len(data)]
-                    else:
-                        ids.append(self.unknown)
-                        widths.append(len(data))
-                hit = ",".join(map(str, ids)), np.array(ids, np.int32).tobytes(), np.array(widths, np.int32).tobytes()
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            if len(word) < 200:
-                self.young[word] = hit
+            ids = []
+            for part in self.merged(word) if len(word) < 40 else self.long_merged(word):
+                id = self.ids.get(part)
+                if id is not None:
+                    ids.append(id)
+                else:
+                    ids += [self.byte_ids[b] for b in part.encode()]
+            hit = array("i", ids).tobytes()
+        if len(self.young) >= CACHE:
+            self.old, self.young = self.young, {}
+        if len(word) < 100:
+            self.young[word] = hit
         return hit
 
-    def encode(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
-        """Decimal ids, ids, and per id the borders of its source bytes: piece i spans borders[i] to borders[i + 1].
+    def widths(self, ids: np.ndarray) -> np.ndarray:
+        """Normalised bytes that each id stands for; of a character in byte pieces the last has all."""
+        out = self.piece_bytes[ids]
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            byte = self.byte_of[ids[at]]
+            size = np.where(byte < 0x80, 1, np.where(byte < 0xC0, 0, np.where(byte < 0xE0, 2, np.where(byte < 0xF0, 3, 4))))
+            out[at] = 0
+            heads = size > 0
+            out[at[heads] + size[heads] - 1] = size[heads]
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and the borders of their source bytes: piece i spans borders[i] to borders[i + 1].
 
         A character without a piece becomes one id per byte: all but the last have an empty span before it.
         """
         shown, source = self.normalize(text)
         parts = [shown] if self.words is None and shown else self.words.findall(shown) if shown else []
-        hits = list(map(self.word, parts))
-        decimals = ",".join([h[0] for h in hits])
-        ids = np.frombuffer(b"".join([h[1] for h in hits]), np.int32)
-        widths = np.frombuffer(b"".join([h[2] for h in hits]), np.int32)
+        young, miss = self.young, self.word
+        ids = np.frombuffer(b"".join([young.get(p) or miss(p) for p in parts]), np.int32)
         borders = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(widths, out=borders[1:])
-        return decimals, ids, source[borders]
+        np.cumsum(self.widths(ids), out=borders[1:])
+        return ids, source[borders]
+
+    def listed(self, ids: np.ndarray) -> str:
+        """Decimal ids joined by commas."""
+        decimal = self.decimal
+        return ",".join([decimal[i] for i in ids.tolist()])
 
     @property
     def surfaces(self) -> list[bytes]:
@@ -290,9 +315,9 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = False, borders: bo
                 part = batch.slice(lo, 200)
                 rows = []
                 for text in part.column(1):
-                    decimals, found, places = own.encode(text.as_py() or "")
-                    decoded = own.decode(found).encode()
-                    row = [len(found), hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), int(places[-1] - places[0])]
+                    found, places = own.encode(text.as_py() or "")
+                    digests = [hashlib.sha256(x.encode()).hexdigest() for x in (own.listed(found), own.decode(found))]
+                    row = [len(found), *digests, int(places[-1] - places[0])]
                     rows.append(row + [found] * ids + [places] * borders)
                 arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[f.split()[0] for f in fields])
