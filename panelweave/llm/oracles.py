@@ -88,6 +88,21 @@ select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, c
 LLM_ORACLES["op6_secret_scans"] = _secrets()
 
 
+LLM_ORACLES["op8_suffix_array_dedup"] = r"""
+with d as (select doc_id, coalesce(doc_id, 9223372036854775807) m, row_number() over () k, hex(encode(coalesce(text, ''))) h from documents),
+blocks as (select k, m, 1000 * c o, substr(h, 2000 * c + 1, 2098) b from d, unnest(range(0, length(h) // 2000 + 1)) u(c)),
+windows as (select k, m, o + i p, hash(substr(b, 2 * i + 1, 100)) s from blocks, unnest(range(0, least(1000, length(b) // 2 - 49))) u(i)),
+firsts as (select s, min(m) least from windows group by s having count(*) > 1),
+covered as (select k, p from windows join firsts using (s) where least < m),
+marked as (select k, p, coalesce(p > lag(p) over w + 50, true) head from covered window w as (partition by k order by p)),
+numbered as (select k, p, sum(head::int) over (partition by k order by p) g from marked),
+spans as (select k, g, min(p) a, max(p) + 50 b from numbered group by k, g),
+pieces as (select k, a, b, coalesce(lag(b) over (partition by k order by a), 0) before from spans),
+kept as (select k, sum(b - a)::bigint n_removed, count(*) n_spans, max(b) last,
+  string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) front from pieces join d using (k) group by k)
+select doc_id, (length(h) // 2)::bigint n_bytes, coalesce(n_removed, 0)::bigint n_removed, coalesce(n_spans, 0)::bigint n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256 from d left join kept using (k)"""
+
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 LLM_ORACLES["op9_minhash_near_dedup"] = f"""
