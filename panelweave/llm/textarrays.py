@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 SPACE = np.zeros(256, bool)
