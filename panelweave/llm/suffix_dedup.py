@@ -21,6 +21,7 @@ doc_id never cost each other bytes; a null doc_id is after all others.  An empty
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import textarrays as T
@@ -82,7 +83,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, spec: RepeatSpec) -> tuple[np.nd
 
 
 def shared_anchors(classes: DataFrame, size: int, spec: RepeatSpec) -> DataFrame:
-    """(m, anchor) for every anchor that documents ``classes`` (m, text) with different ids have."""
+    """(m, anchor) for every anchor that documents ``classes`` (m, text) with different ids have; pairs may repeat."""
     lead = max(0, (size // spec.range_bytes).bit_length())
     press = {"level": 1}
 
@@ -166,7 +167,7 @@ def shared_anchors(classes: DataFrame, size: int, spec: RepeatSpec) -> DataFrame
             yield close()
 
     sent = classes.select("m", "text").mapInArrow(find, "part int, known int, pairs binary")
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(tell, "m long, anchor long").distinct()
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(tell, "m long, anchor long")
 
 
 # ---- segments ----------------------------------------------------------------------------------
@@ -359,6 +360,23 @@ def only(docs: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, "m", "left_semi")
 
 
+def release(spark: SparkSession) -> None:
+    """Drop what refers to finished phases, so that Spark's cleaner deletes their shuffle files now.
+
+    Their results are stored, so nothing reads those files again.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, and the shuffle files of the phase released."""
+    spark, out = df.sparkSession, stage(df, name)
+    del df
+    release(spark)
+    return out
+
+
 def deduplicate(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), with_text: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
@@ -375,28 +393,26 @@ def deduplicate(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), with_text: boo
     leaders = rows.select("m", "u", "text").join(F.broadcast(again) if few else again, ["m", "u"], "left_anti")
     size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
 
-    shared = shared_anchors(leaders, size, spec).groupBy("m").agg(F.collect_list("anchor").alias("anchors"))
-    shared = stage(shared, "repeat-anchors")
-    asked = only(leaders, shared.select("m"), spec.broadcast_ids).join(shared, "m")
-    members = stage(segments(asked, spec), "repeat-segments")
+    shared = stored(shared_anchors(leaders, size, spec).groupBy("m").agg(F.collect_set("anchor").alias("anchors")), "repeat-anchors")
+    members = stored(segments(only(leaders, shared.select("m"), spec.broadcast_ids).join(shared, "m"), spec), "repeat-segments")
 
     unique = members.groupBy("seg").agg(F.min("m").alias("least"), F.first("anchor").alias("group"), F.max("bytes").alias("bytes"))
-    unique = stage(unique.withColumn("offset", F.lit(0).cast("long")), "repeat-unique")
+    unique = stored(unique.withColumn("offset", F.lit(0).cast("long")), "repeat-unique")
+    least = unique.select("seg", "least")
     crowded = unique.groupBy("group").count().filter(F.col("count") > spec.hot).select("group")
     if not crowded.isEmpty():
         crowded = stage(crowded, "repeat-crowded")
         apart = single_windows(unique.join(crowded, "group", "left_semi"), spec)
         unique = unique.join(crowded, "group", "left_anti").unionByName(apart)
-    early = stage(earlier_windows(unique, spec), "repeat-early").groupBy("seg").agg(F.collect_list(F.struct("offset", "n")).alias("early"))
+    early = stored(earlier_windows(unique, spec), "repeat-early").groupBy("seg").agg(F.collect_list(F.struct("offset", "n")).alias("early"))
 
-    least = members.groupBy("seg").agg(F.min("m").alias("least"))
     found = members.select("seg", "m", "u", "start", "n").join(least, "seg").join(early, "seg", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("offset"), F.col("n").alias("n")))
     runs_of = F.explode(F.when(F.col("m") > F.col("least"), whole).otherwise(F.col("early")))
     covered = found.select("m", "u", "start", runs_of.alias("w"))
     begin = F.col("start") + F.col("w.offset")
     covered = covered.select("m", "u", F.struct(begin.alias("start"), (begin + F.col("w.n") + (spec.length - 1)).alias("end")).alias("span"))
-    spans = stage(covered.groupBy("m", "u").agg(F.collect_list("span").alias("spans")), "repeat-spans")
+    spans = stored(covered.groupBy("m", "u").agg(F.collect_list("span").alias("spans")), "repeat-spans")
 
     hit = only(leaders, spans.select("m").distinct(), spec.broadcast_ids).join(spans, ["m", "u"])
     done = removed_bytes(hit)
