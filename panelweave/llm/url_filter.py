@@ -3,11 +3,14 @@
 A rule (verdict, host, path) fits a url when the url's host is the rule's host or below it and the url's path begins
 with the rule's path; the longest fitting rule decides.  Other urls are decided by their host: hosts with allowed pages
 send out trust along links (personalised PageRank), hosts with blocked pages send distrust against the links, and a
-host is blocked when its distrust is at least ``least`` and exceeds its trust.
+host is blocked when its distrust is at least ``least / units`` of what one seed page sends out and its share of all
+distrust exceeds its share of all trust.  Both are relative, so a graph and many copies of it get the same verdicts.
 
 Edges lead from a page's host to the hosts of the absolute links in its html, and both ways between a host and the
 domain above it (down to two labels), since a domain answers for its subdomains.  Mass is counted in whole units with
-whole-number division, so results do not depend on the order of additions.
+whole-number division, so results do not depend on the order of additions.  It is counted twice: the verdict takes
+``weight``, where every seed page sends out ``units``; the reported trust and distrust are parts of ``units`` that all
+seed pages of the table share, so they shrink as the table grows and may be 0 for a blocked host.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed.  Repeated rows are judged
 alike and count as pages of their own for the seeds.  An empty table gives no rows; without any seed, all is allowed.
@@ -40,7 +43,10 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Spread:
-    """Units of mass sent out, share passed on in percent, rounds, and the least distrust that blocks."""
+    """Units of mass sent out, share passed on in percent, rounds, and the least distrust that blocks.
+
+    A seed page sends out ``units`` for the verdict, and ``least`` is counted in these.
+    """
 
     units: int = 10**12
     passed: int = 85
@@ -79,26 +85,38 @@ def host_edges(hosts: DataFrame, links: DataFrame) -> DataFrame:
     return links.select("src", "dst").unionByName(up).unionByName(down).filter("src <> dst and src <> '' and dst <> ''").distinct()
 
 
+#: Weights: whole numbers for up to 10**16 seed pages of 10**12 units.
+WEIGHT = "decimal(28,0)"
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, spread: Spread) -> DataFrame:
-    """(host, trust, distrust) after ``spread.rounds`` rounds from ``seeds`` (host, kind, pages)."""
+    """(host, trust, distrust, blocked) after ``spread.rounds`` rounds from ``seeds`` (host, kind, pages)."""
     flows = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"))
     flows = flows.unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
     degree = flows.groupBy("kind", "host").agg(F.count(F.lit(1)).alias("degree"))
     flows = stage(flows.join(degree, ["kind", "host"]), "host-flows")
     total = seeds.groupBy("kind").agg(F.sum("pages").alias("all"))
     sent = F.expr(f"cast((cast(pages as decimal(20,0)) * {spread.units}) div all as bigint)")
-    start = stage(seeds.join(F.broadcast(total), "kind").select("kind", "host", sent.alias("mass")), "host-seeds")
-    base = start.select("kind", "host", F.expr(f"mass * {100 - spread.passed} div 100").alias("mass"))
+    weight = F.expr(f"cast(cast(pages as decimal(20,0)) * {spread.units} as {WEIGHT})")
+    start = stage(seeds.join(F.broadcast(total), "kind").select("kind", "host", sent.alias("mass"), weight.alias("weight")), "host-seeds")
+    part = lambda percent: [F.expr(f"mass * {percent} div 100").alias("mass"), F.expr(f"cast(floor(weight * {percent} / 100) as {WEIGHT})").alias("weight")]
+    sums = [F.sum("mass").alias("mass"), F.sum("weight").cast(WEIGHT).alias("weight")]
+    split = [F.expr("mass div degree").alias("mass"), F.expr(f"cast(floor(weight / degree) as {WEIGHT})").alias("weight")]
+    base = start.select("kind", "host", *part(100 - spread.passed))
     mass = start
     for i in range(spread.rounds):
-        moved = mass.join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.expr("mass div degree").alias("mass"))
-        moved = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        moved = moved.select("kind", "host", F.expr(f"mass * {spread.passed} div 100").alias("mass"))
-        mass = moved.unionByName(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        moved = mass.join(flows, ["kind", "host"]).select("kind", F.col("to").alias("host"), *split)
+        moved = moved.groupBy("kind", "host").agg(*sums)
+        moved = moved.select("kind", "host", *part(spread.passed))
+        mass = moved.unionByName(base).groupBy("kind", "host").agg(*sums)
         if i % 5 == 4 or i == spread.rounds - 1:
             mass = stage(mass, "host-mass")
-    both = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0)).alias(k) for k in ("trust", "distrust")]
-    return mass.groupBy("host").agg(*both)
+    # Shares of the two kinds compare like weights times the pages of the other kind.
+    other = total.select(F.when(F.col("kind") == "trust", "distrust").otherwise("trust").alias("kind"), F.col("all").cast("decimal(19,0)").alias("other"))
+    mass = mass.join(F.broadcast(other), "kind", "left").withColumn("against", F.col("weight") * F.coalesce("other", F.lit(1).cast("decimal(19,0)")))
+    of = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(name))), F.lit(0))
+    blocked = (of("distrust", "weight") >= spread.least) & (of("distrust", "against") > of("trust", "against"))
+    return mass.groupBy("host").agg(of("trust", "mass").alias("trust"), of("distrust", "mass").alias("distrust"), blocked.alias("blocked"))
 
 
 def judge_pages(pages: DataFrame, rules: list[UrlRule], spread: Spread = Spread()) -> DataFrame:
@@ -115,5 +133,5 @@ def judge_pages(pages: DataFrame, rules: list[UrlRule], spread: Spread = Spread(
     scores = stage(scores, "host-scores")
     out = attach(judged.drop("html"), scores, "host", F.col("page_id"))
     trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    by_host = F.when((distrust >= spread.least) & (distrust > trust), "block").otherwise("allow")
+    by_host = F.when(F.col("blocked"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

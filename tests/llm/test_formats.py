@@ -179,6 +179,32 @@ def test_rules_and_propagation(spark):
     assert {r.verdict for r in url_filter.judge_pages(pages, []).collect()} == {"allow"}
 
 
+def test_copies_of_a_host_graph_are_judged_alike(spark):
+    rules = [url_filter.UrlRule("block", "com", "/bad/"), url_filter.UrlRule("allow", "com", "/good/")]
+    spread = url_filter.Spread(units=10**4, least=10**2)
+    pages = [("a.evil", "/bad/"), ("b.evil", "/"), ("c.x.evil", "/"), ("a.fine", "/good/"), ("b.fine", "/"), ("a.both", "/bad/"), ("b.both", "/good/"), ("b.both", "/good/"), ("c.both", "/")]
+
+    def verdicts(copies):
+        rows = [(k, f"http://{host}{k}.com{path}", None) for k in range(copies) for host, path in pages]
+        out = {}
+        for r in url_filter.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), rules, spread).collect():
+            out.setdefault(r.page_id, set()).add((r.host.replace(f"{r.page_id}.com", ""), r.path, r.verdict))
+        return out
+
+    one = verdicts(1)[0]
+    assert one >= {("b.evil", "/", "block"), ("c.x.evil", "/", "block"), ("b.fine", "/", "allow"), ("c.both", "/", "allow")}
+    many = verdicts(500)
+    assert len(many) == 500 and all(found == one for found in many.values())
+
+
+def test_a_large_domain_is_judged_like_a_small_one(spark):
+    rules = [url_filter.UrlRule("block", "com", "/bad/")]
+    for n in (60, 3000):
+        rows = [(i, f"http://h{i}.farm.com/{'bad/' if i % 10 < 3 else ''}", None) for i in range(n)]
+        out = url_filter.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), rules, url_filter.Spread(units=10**4, least=10**2))
+        assert {r.verdict for r in out.collect()} == {"block"}
+
+
 def test_url_filter_stays_in_the_jvm(spark, sf):
     from panelweave.llm.queries import LLM_QUERIES
 
