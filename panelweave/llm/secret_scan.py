@@ -49,15 +49,21 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+# A private key runs to its END line, or without one to its last base64 line, which may be short; lines may be escaped,
+# quoted or prefixed.
+_BREAK = r"""(?:\\+[nrt]|<br ?/?>|[\x20\t\r\n"'`,;>#|*-])*"""
+_HEADER = r"[A-Z][A-Za-z-]{0,40}:[^\n\\]*(?:\n|\\+[nr])"
+_LAST = r"""[A-Za-z0-9+/]{1,19}(?:={1,2}|(?m:$)|[\r\\"'`<])"""
+_LINES = rf"(?:(?:{_BREAK}{_HEADER})*(?:{_BREAK}[A-Za-z0-9+/]{{20,}}={{0,2}})+(?:{_BREAK}{_LAST})?)?"
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:[^-]*(?:-{{1,4}}[^-]+)*-{{5,}}END [A-Z ]{{0,40}}PRIVATE KEY-----|{_LINES})"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("login", r"[a-z]{2,10}://[^\s/:@]{1,64}:([^\s/:@]{6,64})@", 1, 6),
+    Rule("login", r"[a-z]{2,10}://[^\s/:@]+:([^\s/:@]{6,})@", 1, 6),
 )
 RULES = BASE + ADDED
-VERSION = "rules-1"
+VERSION = "rules-3"
 # A run of hexadecimal digits that is too short can be skipped: the next match starts after it either way.
 _FAST = {"hex": r"(?<![0-9a-f])[0-9a-f]{24,}"}
 

@@ -204,6 +204,35 @@ def test_redaction(spark):
     assert sorted(map(tuple, out.collect())) [:2] == [(1, "é [SECRET] end", 14), (2, "clean", 5)]
 
 
+def test_whole_secrets_are_found_and_redacted(spark):
+    import duckdb
+
+    from panelweave.llm.oracles import LLM_ORACLES
+
+    rng = random.Random(9)
+    made = lambda n, more="+/": "".join(rng.choice("ABCXYZabcxyz0189" + more) for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [made(64) for _ in range(12)] + [made(9) + "=="]
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n"
+    token, long = "github_pat_" + made(22, "") + "_" + made(59, ""), made(93, "-._~")
+    texts = [f"a {begin}\n{head}" + sep.join(lines) + sep + tail + " b" for head in ("", headers) for sep in ("\n", "\r\n", "\\n", "\n> ", "\n-") for tail in (end, "")]
+    texts += [f"a {begin}\n" + "\n".join(lines[:-1]) + "\n\nplain words stay b", f"a {begin} b", f"a {begin}\n{lines[0][:30]}... b"]
+    texts += [f"a https://oauth2:{long}@host b", f"a ftp://{long}:{long}@host b", f"a {token} b"]
+    rows = list(enumerate(texts))
+    ledger = secret_scan.BlobLedger(spark)
+    out = dict(map(tuple, secret_scan.redacted(spark.createDataFrame(rows, "doc_id long, text string"), ledger).collect()))
+    for i, text in rows:
+        assert out[i].startswith("a [SECRET]") and out[i].endswith(" b"), text
+        assert not any(part in out[i] for part in [*(x[:12] for x in lines), lines[-1][:8], "BEGIN", "END", long[:9], token[-20:]]), text
+    assert out[len(rows) - 6].endswith("]\n\nplain words stay b")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    patterns = secret_scan.compile_rules(secret_scan.RULES)
+    want = {i: ",".join(f"{k}:{a}:{b}" for k, a, b in secret_scan.find_spans(t, patterns)) for i, t in rows}
+    assert dict(con.execute(f"select doc_id, spans from ({LLM_ORACLES['op6_secret_scans']})").fetchall()) == want
+
+
 @pytest.mark.parametrize("spec", [suffix_dedup.RepeatSpec(), suffix_dedup.RepeatSpec(flush=2_000, range_bytes=10_000, block=3_000, hot=2, broadcast_ids=0)])
 def test_repeats(docs, rows, spec):
     rng = random.Random(8)
