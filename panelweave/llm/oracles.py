@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from panelweave.llm.centroids import Clustering
+from panelweave.llm.manifest import FAN, FIELDS
 from panelweave.llm.mixing import Mix
 from panelweave.llm.quality_rules import BOILERPLATE, LineRules
 from panelweave.llm.secret_scan import RULES
@@ -174,3 +176,73 @@ select doc_id, size, source_size, target, ((e + case when 2 * upto - size <= 2 *
 
 
 LLM_ORACLES["op10_mixing_sources"] = _mix()
+
+
+def _clusters() -> str:
+    """Plain Lloyd rounds: every vector is measured against every centroid in every round."""
+    c = Clustering()
+    rounds = "".join(
+        f""",
+a{i} as materialized (select r, v, arg_min(g, (d, g)) g, min(d) d from (
+  select r, x.v, g, list_sum(list_transform(range(1, {c.dim + 1}), lambda j: (x.v[j] - y.v[j]) * (x.v[j] - y.v[j])))::bigint d from kept x, c{i} y) group by r, v),
+s{i} as (select g, j, sum(v[j])::bigint s, count(*) n from a{i}, unnest(range(1, {c.dim + 1})) u(j) group by g, j),
+m{i} as (select g, list((s - ((s % n) + n) % n) // n order by j) v from s{i} group by g),
+c{i + 1} as materialized (select c{i}.g, coalesce(m{i}.v, c{i}.v) v from c{i} left join m{i} using (g))"""
+        for i in range(c.rounds + 1)
+    )
+    last = c.rounds
+    return f"""
+with kept as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor({c.scale} * x::double)::bigint) v from embeddings
+  where len(embedding) = {c.dim} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {c.dim}),
+c0 as materialized (select row_number() over (order by sha256('{c.seed}:' || vec_id) nulls last, v) - 1 g, v from kept qualify g < {c.clusters}){rounds},
+sums as (select g, sum(d)::bigint cluster_inertia, (sum(sum(d)) over ())::bigint inertia from a{last} group by g)
+select vec_id, g::int cluster, d distance, cluster_inertia, inertia, sha256(array_to_string(c{last}.v, ',')) centroid_sha256
+from a{last} join kept using (r) join sums using (g) join c{last} using (g)"""
+
+
+LLM_ORACLES["op11_centroid_clustering"] = _clusters()
+
+
+def _manifest(depth: int = 8) -> str:
+    """Every level of both trees spelled out, up to 16**8 leaves a source and 16**8 sources."""
+    fields = " || ".join(f"case when {{{c}}} is null then '-' else strlen({{{c}}}::varchar) || ':' || {{{c}}} end" for c in FIELDS)
+    names = {c: c for c in FIELDS}
+    leaf = f"sha256({fields.format(**names)})"
+    low = f"sha256({fields.format(**{**names, 'text': "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"})})"
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)), "
+        "lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)), 4294967295::bigint)"
+    )
+
+    def tree(p: str) -> str:
+        """Levels of the trees whose leaves are ``{p}0`` (t, n, r, d): the node's siblings {p}s and the tops {p}top."""
+        out = ""
+        for i in range(depth):
+            run = f"partition by t, r // {FAN} order by r rows between"
+            out += f"""
+{p}s{i} as (select t, r, m, coalesce(string_agg(d, '') over ({run} unbounded preceding and 1 preceding), '') a,
+  coalesce(string_agg(d, '') over ({run} 1 following and unbounded following), '') b from {p}{i}),
+{p}{i + 1} as (select t, r // {FAN} r, (m + {FAN - 1}) // {FAN} m, case when any_value(m) = 1 then any_value(d) else sha256(string_agg(d, '' order by r)) end d from {p}{i} group by t, r // {FAN}, m),"""
+        return out
+
+    def climb(p: str, start: str, tree: str, rank: str) -> str:
+        out = ""
+        for i in range(depth):
+            src = start if i == 0 else f"{p}f{i - 1}"
+            out += f"""
+{p}f{i} as (select f.* exclude (proof, cur), proof || s.a || s.b proof, case when s.m = 1 then cur else sha256(s.a || cur || s.b) end cur
+  from {src} f join {p}s{i} s on f.{tree} = s.t and f.{rank} // {FAN**i} = s.r),"""
+        return out
+
+    return f"""
+with d as (select *, {leaf} leaf, coalesce({crc} % 5 = 0, false) hit, {low} low from documents),
+numbered as (select *, dense_rank() over (order by source nulls first) - 1 t, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 r,
+  count(*) over (partition by source) m from d),
+l0 as (select t, r, m, leaf d from numbered),{tree("l")}
+g0 as (select 0 t, t r, count(*) over () m, d from l{depth}),{tree("g")}
+start as (select doc_id, leaf, t, r, 0 z, '' proof, case when hit then low else leaf end cur from numbered),{climb("l", "start", "t", "r")}{climb("g", f"lf{depth - 1}", "z", "t")}
+done as (select f.*, l.d subroot, g.d root from gf{depth - 1} f join l{depth} l on l.t = f.t join g{depth} g on true)
+select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, cur folded_root, cur = root verified from done"""
+
+
+LLM_ORACLES["op13_merkle_manifest"] = _manifest()

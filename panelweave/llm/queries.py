@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import chat_format, fingerprints, lm_scoring, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, url_filter
+from panelweave.llm import centroids, chat_format, fingerprints, language_id, lm_scoring, manifest, mixing, near_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, url_filter
 from panelweave.llm.near_links import NearSpec
 
 URL_RULES = [
@@ -92,4 +92,19 @@ def op10_mixing_sources(spark, sf):
     return mixing.mix_documents(table(spark, sf, "documents")).drop("copies")
 
 
+@query
+def op11_centroid_clustering(spark, sf):
+    return centroids.cluster_embeddings(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_language_id(spark, sf):
+    return language_id.identify_documents(table(spark, sf, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark, sf):
+    return manifest.manifest(table(spark, sf, "documents"))
+
+
 LLM_QUERIES["pipeline"] = corpus_pipeline.run
