@@ -8,10 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def softmax(columns: Sequence[Column]) -> list[Column]:
     """Softmax across columns of one row, shifted by the maximum for stability."""
     top = F.greatest(*columns) if len(columns) > 1 else columns[0]
@@ -21,9 +17,3 @@ def softmax(columns: Sequence[Column]) -> list[Column]:
         total = total + w
     return [w / total for w in weights]
 
-
-def one_hot(code: Column, size: int) -> Column:
-    """``ARRAY<DOUBLE>`` with a one at ``code``; a code outside the range gives only zeros."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (i == code).cast("double")
-    )

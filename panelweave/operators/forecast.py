@@ -1,16 +1,18 @@
-"""Linear multi-horizon quantile forecasts: design arrays, training, prediction."""
+"""Linear multi-horizon quantile forecasts on sparse inputs: design rows, training, prediction.
+
+A design row holds one window.  Its inputs are lists of (position, value): a category is one entry, whatever the size of its
+vocabulary.  Inputs that all forecast steps share are stored once per window.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.functions.arrays import dot, one_hot
 from panelweave.functions.losses import QUANTILES
 from panelweave.operators.quantiles import exact_quantiles
 from panelweave.sources.staging import stage
@@ -18,6 +20,41 @@ from panelweave.sources.staging import stage
 #: Forecast columns of the usual three quantiles.
 NAMES = dict(zip(("yhat_low", "yhat", "yhat_up"), QUANTILES, strict=True))
 MODEL_SCHEMA = "step int, quantile double, position int, feature string, weight double"
+PAIRS = "array<struct<position: int, value: double>>"
+#: Weight tables of up to this many bytes are broadcast as arrays; wider ones are joined by position.
+BROADCAST_BYTES = 8 << 20
+#: Copies of a wide weight table, so that a position that all windows have is no task's share.
+SALTS = 16
+#: Training counts inputs and targets in whole units of 1 / UNITS.
+UNITS = float(1 << 24)
+#: Sum of squared gradients that a weight starts with.
+FIRST_SQUARE = 1e-12
+
+
+@dataclass(frozen=True)
+class Input:
+    """``size`` positions from ``first`` on; ``kind`` says at which step ``column`` is read."""
+
+    name: str
+    column: str
+    kind: str
+    coded: bool
+    first: int
+    size: int
+
+    def pair(self, value: Column) -> Column:
+        """(position, value); an unknown category and a value that is null or NaN raise."""
+        if self.coded:
+            code = value.cast("int")
+            bad = F.concat(F.lit(f"{self.column} has no category "), F.coalesce(value.cast("string"), F.lit("null")))
+            place = F.when(code.between(0, self.size - 1), code + F.lit(self.first)).otherwise(F.raise_error(bad).cast("int"))
+            return F.struct(place.alias("position"), F.lit(1.0).alias("value"))
+        x, bad = value.cast("double"), F.lit(f"null or NaN among the model inputs: {self.column}")
+        fine = F.when(x.isNotNull() & ~F.isnan(x), x).otherwise(F.raise_error(bad).cast("double"))
+        return F.struct(F.lit(self.first).alias("position"), fine.alias("value"))
+
+    def holds(self, position: Column) -> Column:
+        return position.between(self.first, self.first + self.size - 1)
 
 
 @dataclass(frozen=True)
@@ -48,69 +85,99 @@ class InputRoles:
         return list(dict.fromkeys(names))
 
     @property
-    def _history(self) -> list[str]:
-        return [*self.observed, *([self.target] if self.use_target_history else [])]
+    def inputs(self) -> list[Input]:
+        """The model's inputs in the order of their positions."""
+        out: list[Input] = []
 
-    @property
-    def features(self) -> list[str]:
-        """Names of the design array's positions."""
-        names = ["bias", *self.static_real]
+        def add(name: str, column: str, kind: str, size: int | None = None) -> None:
+            first = out[-1].first + out[-1].size if out else 0
+            out.append(Input(name, column, kind, size is not None, first, 1 if size is None else size))
+
+        add("bias", "", "bias")
+        for c in self.static_real:
+            add(c, c, "static")
         for c, n in self.static_categorical.items():
-            names += [f"{c}={i}" for i in range(n)]
-        names += list(self.known_real)
+            add(c, c, "static", n)
+        for c in self.known_real:
+            add(c, c, "known")
         for c, n in self.known_categorical.items():
-            names += [f"{c}={i}" for i in range(n)]
-        names += [f"{c}_encoder_mean" for c in self.known_real]
-        for c in self._history:
-            names += [f"{c}_last", f"{c}_mean"]
-        return names
+            add(c, c, "known", n)
+        for c in self.known_real:
+            add(f"{c}_encoder_mean", c, "mean")
+        for c in [*self.observed, *([self.target] if self.use_target_history else [])]:
+            add(f"{c}_last", c, "last")
+            add(f"{c}_mean", c, "mean")
+        return out
+
+    @property
+    def width(self) -> int:
+        return self.inputs[-1].first + self.inputs[-1].size
+
+    @property
+    def features(self) -> list[str]:
+        """Names of the positions."""
+        return [n for i in self.inputs for n in ([f"{i.name}={k}" for k in range(i.size)] if i.coded else [i.name])]
+
+    def feature_name(self, position: Column) -> Column:
+        """The name of a position, without a list of all names."""
+        out = F.lit(None).cast("string")
+        for i in self.inputs:
+            name = F.concat(F.lit(f"{i.name}="), (position - i.first).cast("string")) if i.coded else F.lit(i.name)
+            out = F.when(i.holds(position), name).otherwise(out)
+        return out
 
     def window_inputs(self, steps: Column, encoder_steps: int) -> Column:
-        """The inputs all forecast steps share: ``head`` before and ``tail`` after a step's own."""
-        first, encoder = F.element_at(steps, 1), F.slice(steps, 1, encoder_steps)
-
-        def mean(name: str) -> Column:
-            total = F.aggregate(encoder, F.lit(0.0), lambda s, e: s + e[name].cast("double"))
-            return total / F.lit(float(encoder_steps))
-
-        head = [F.array(F.lit(1.0), *[first[c].cast("double") for c in self.static_real])]
-        head += [one_hot(first[c], n) for c, n in self.static_categorical.items()]
-        tail = [mean(c) for c in self.known_real]
-        for c in self._history:
-            tail += [F.element_at(encoder, -1)[c].cast("double"), mean(c)]
-        no_tail = F.array().cast("array<double>")
-        return F.struct(
-            F.concat(*head).alias("head"), (F.array(*tail) if tail else no_tail).alias("tail")
-        )
+        """The pairs that all forecast steps share."""
+        encoder = F.slice(steps, 1, encoder_steps)
 
-    def step_inputs(self, step: Column) -> list[Column]:
-        """The known inputs at one forecast step, as arrays."""
-        parts = [one_hot(step[c], n) for c, n in self.known_categorical.items()]
-        if self.known_real:
-            parts.insert(0, F.array(*[step[c].cast("double") for c in self.known_real]))
-        return parts
+        def value(i: Input) -> Column:
+            if i.kind == "bias":
+                return F.lit(1.0)
+            if i.kind == "static":
+                return F.element_at(steps, 1)[i.column]
+            if i.kind == "last":
+                return F.element_at(encoder, -1)[i.column]
+            return F.aggregate(encoder, F.lit(0.0), lambda s, e: s + e[i.column].cast("double")) / F.lit(float(encoder_steps))
+
+        return F.array(*[i.pair(value(i)) for i in self.inputs if i.kind != "known"]).cast(PAIRS)
+
+    def step_inputs(self, step: Column) -> Column:
+        """The pairs of the known inputs at one forecast step."""
+        return F.array(*[i.pair(step[i.column]) for i in self.inputs if i.kind == "known"]).cast(PAIRS)
 
 
 def design_matrix(windows: DataFrame, roles: InputRoles, encoder_steps: int) -> DataFrame:
-    """Window rows to (keys, ts, phi, y): per forecast step its time, inputs and target."""
+    """Window rows to (keys, ts, shared, own, y): inputs of the window and, per forecast step, time, own inputs and target.
+
+    The target may be null at times that are still to come.  Any other input that is null or NaN raises, and so does
+    a code without a category.
+    """
     if not roles.static_real and not roles.static_categorical:
         raise ValueError("at least one static input is needed, for example the entity code")
     rest = [c for c in windows.columns if c != "steps"]
     steps = F.col("steps")
     future = F.slice(steps, encoder_steps + 1, F.size(steps) - encoder_steps)
-    # repeated as an array, the shared inputs are computed once per window and not once per step
-    shared = F.array_repeat(roles.window_inputs(steps, encoder_steps), F.size(future))
-    phi = F.zip_with(
-        future, shared, lambda s, w: F.concat(w["head"], *roles.step_inputs(s), w["tail"])
-    )
     return windows.select(
         *rest,
         F.transform(future, lambda s: s["ts"]).alias("ts"),
-        phi.alias("phi"),
+        roles.window_inputs(steps, encoder_steps).alias("shared"),
+        F.transform(future, roles.step_inputs).alias("own"),
         F.transform(future, lambda s: s[roles.target].cast("double")).alias("y"),
     )
 
 
+INPUTS = ("ts", "shared", "own", "y")
+
+
+def forecast_steps(design: DataFrame) -> DataFrame:
+    """Design rows to one row per forecast step: keys, step (from 1), ts, pairs, y."""
+    keys = [c for c in design.columns if c not in INPUTS]
+    zipped = F.posexplode(F.arrays_zip("ts", "own", "y")).alias("__p", "__s")
+    return design.select(*keys, "shared", zipped).select(
+        *keys, (F.col("__p") + 1).alias("step"), "__s.ts", F.concat("shared", "__s.own").alias("pairs"), "__s.y"
+    )
+
+
 def quantile_baseline(design: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """Empirical quantiles of the target per forecast step: (step, quantile, value)."""
     long = design.select(F.posexplode("y").alias("__p", "y")).select(
@@ -119,67 +186,38 @@ def quantile_baseline(design: DataFrame, quantiles: Sequence[float] = QUANTILES)
     return exact_quantiles(long, ["step"], "y", quantiles)
 
 
-def _epoch(weights, squares, taus, batch_size: int, rate: float, train: bool) -> Callable:
-    """One pass over a partition: losses of the incoming weights, then minibatch steps.
-
-    The step of a weight shrinks with the sum of its squared gradients.  Yields one row: rows and
-    loss of both parts, and the partition's weights and squares times its rows.
-    Imports stay inside, so that executors need nothing but numpy and pyarrow.
-    """
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        start = np.asarray(weights, dtype=np.float64)
-        horizon, n_taus, width = start.shape
-        tau = np.asarray(taus)[None, None, :]
-        w = start.copy()
-        seen = np.asarray(squares, dtype=np.float64).copy()
-        rows, losses = [0, 0], [0.0, 0.0]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            phi = batch.column("phi").flatten().flatten().to_numpy(zero_copy_only=False)
-            y = batch.column("y").flatten().to_numpy(zero_copy_only=False)
-            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            phi = phi.reshape(batch.num_rows, horizon, width)
-            y = y.reshape(batch.num_rows, horizon)
-            if np.isnan(phi).any() or np.isnan(y).any():
-                raise ValueError("null or NaN among the model inputs")
-            error = y[:, :, None] - np.einsum("nhp,hqp->nhq", phi, start)
-            loss = np.maximum(tau * error, (tau - 1.0) * error).mean(axis=(1, 2))
-            for part, mask in enumerate((~held, held)):
-                rows[part] += int(mask.sum())
-                losses[part] += float(loss[mask].sum())
-            if not train:
-                continue
-            phi, y = phi[~held], y[~held]
-            for at in range(0, len(y), batch_size):
-                p, t = phi[at : at + batch_size], y[at : at + batch_size]
-                e = t[:, :, None] - np.einsum("nhp,hqp->nhq", p, w)
-                slope = np.where(e >= 0, -tau, 1.0 - tau)
-                grad = np.einsum("nhq,nhp->hqp", slope, p) / len(t)
-                seen += grad * grad
-                w -= rate * grad / np.sqrt(seen)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "train_rows": pa.array([rows[0]], pa.int64()),
-                "held_rows": pa.array([rows[1]], pa.int64()),
-                "train_loss": pa.array([losses[0]], pa.float64()),
-                "held_loss": pa.array([losses[1]], pa.float64()),
-                "w": pa.array([(w * rows[0]).ravel().tolist()], pa.list_(pa.float64())),
-                "s": pa.array([(seen * rows[0]).ravel().tolist()], pa.list_(pa.float64())),
-            }
-        )
+def _by_position(model: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """(step, position, w): one array of weights in the order of ``quantiles``; a missing one is zero."""
+    picks = [F.coalesce(F.max(F.when(F.col("quantile") == q, F.col("weight"))), F.lit(0.0)) for q in quantiles]
+    return model.groupBy("step", "position").agg(F.array(*picks).alias("w"))
 
-    return run
 
+def _weighted(steps: DataFrame, keys: Sequence[str], weights: DataFrame, quantiles: int, width: int, narrow: bool) -> DataFrame:
+    """``steps`` with ``parts``: every pair with its weights, (position, value, w), in the order of positions.
 
-_EPOCH_SCHEMA = (
-    "train_rows bigint, held_rows bigint, train_loss double, held_loss double, w array<double>, "
-    "s array<double>"
-)
+    A narrow table is broadcast as one array of all positions per step.  A wide one is joined by (step, position), in
+    salted copies, and the pairs are put together again; ``keys`` must then identify a row of a stored table.
+    """
+    none = F.array(*[F.lit(0.0)] * quantiles)
+    if narrow:
+        every = weights.select("step").distinct().select("step", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("position"))
+        filled = every.join(weights.select("step", "position", "w"), ["step", "position"], "left").withColumn("w", F.coalesce("w", none))
+        dense = filled.groupBy("step").agg(F.sort_array(F.collect_list(F.struct("position", "w"))).alias("__w"))
+        dense = dense.select("step", F.col("__w.w").alias("__w"))
+        joined = steps.join(F.broadcast(dense), "step", "left")  # steps x width x quantiles numbers, within the limit
+        part = lambda p: F.struct(p["position"], p["value"], F.coalesce(F.get("__w", p["position"]), none).alias("w"))
+        return joined.withColumn("parts", F.transform(F.array_sort("pairs"), part)).drop("__w")
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS))
+    pairs = steps.select(*keys, "step", F.explode("pairs").alias("__p")).select(*keys, "step", "__p.*", salt.alias("__salt"))
+    copies = weights.select("step", "position", "w", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("__salt"))
+    joined = pairs.join(copies, ["step", "position", "__salt"], "left")
+    part = F.struct("position", "value", F.coalesce("w", none).alias("w"))
+    parts = joined.groupBy(*keys, "step").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    return steps.join(parts, [*keys, "step"])
+
+
+def _units(x: Column) -> Column:
+    return F.floor(x * F.lit(UNITS) + F.lit(0.5))
 
 
 @dataclass(frozen=True)
@@ -190,6 +228,58 @@ class FittedQuantiles:
     history: DataFrame
 
 
+# Positions of the sums that are no gradients: losses of training and of held-out rows.
+_LOSS = {False: (-1, -2), True: (-3, -4)}
+
+
+def _training_rows(train: DataFrame, held_out: DataFrame | None) -> DataFrame:
+    """(row, held_out, ts, shared, own, y) in whole units, stored."""
+    both = train.select(*INPUTS, F.lit(False).alias("held_out"))
+    if held_out is not None:
+        both = both.unionByName(held_out.select(*INPUTS, F.lit(True).alias("held_out")))
+
+    def whole(pairs: Column) -> Column:
+        return F.transform(pairs, lambda p: F.struct(p["position"].alias("position"), _units(p["value"]).alias("value")))
+
+    bad = F.raise_error(F.lit("null or NaN among the targets")).cast("bigint")
+    y = F.transform("y", lambda v: F.when(v.isNotNull() & ~F.isnan(v), _units(v)).otherwise(bad))
+    rows = both.select(
+        F.monotonically_increasing_id().alias("row"), "held_out", "ts", whole(F.col("shared")).alias("shared"),
+        F.transform("own", whole).alias("own"), y.alias("y"),
+    )
+    return stage(rows, "training-rows")
+
+
+def _epoch_sums(steps: DataFrame, weights: DataFrame, quantiles: int, width: int, narrow: bool) -> DataFrame:
+    """(step, position, a, s) with whole sums over all rows, whatever their partitions.
+
+    ``a`` adds up a position's values, ``s`` those of the rows whose forecast is above the target, per quantile; the
+    subgradient of the pinball loss is s - tau a.  Positions below zero hold counts and errors of the losses.
+    """
+    rows = _weighted(steps, ["row"], weights, quantiles, width, narrow)
+    zero = F.lit(0).cast("bigint")
+
+    def forecast(q: int) -> Column:
+        return F.aggregate("parts", zero, lambda t, p: t + F.floor(F.get(p["w"], F.lit(q)) * p["value"] + F.lit(0.5)))
+
+    rows = rows.withColumn("e", F.array(*[F.col("y") - forecast(q) for q in range(quantiles)]))
+
+    def entry(position: Column, a: Column, s: Column) -> Column:
+        return F.struct(position.cast("int").alias("position"), a.cast("bigint").alias("a"), s.alias("s"))
+
+    def losses(held: bool) -> Column:
+        below, error = _LOSS[held]
+        over = F.transform("e", lambda x: F.greatest(-x, zero))
+        return F.array(entry(F.lit(below), F.lit(1), over), entry(F.lit(error), F.lit(0), F.col("e")))
+
+    gradient = F.transform("parts", lambda p: entry(p["position"], p["value"], F.transform("e", lambda x: F.when(x < 0, p["value"]).otherwise(zero))))
+    entries = F.when(F.col("held_out"), losses(True)).otherwise(F.concat(gradient, losses(False)))
+    long = rows.select("step", F.explode(entries).alias("g")).select("step", "g.*")
+    picks = [F.sum(F.get("s", F.lit(q))).alias(f"s{q}") for q in range(quantiles)]
+    sums = long.groupBy("step", "position").agg(F.sum("a").alias("a"), *picks)
+    return sums.select("step", "position", "a", F.array(*[f"s{q}" for q in range(quantiles)]).alias("s"))
+
+
 def fit_quantile_model(
     train: DataFrame,
     roles: InputRoles,
@@ -197,111 +287,92 @@ def fit_quantile_model(
     held_out: DataFrame | None = None,
     quantiles: Sequence[float] = QUANTILES,
     epochs: int = 20,
-    batch_size: int = 64,
     learning_rate: float = 0.1,
     min_delta: float = 0.1,
     patience: int = 0,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> FittedQuantiles:
     """A linear model per (step, quantile) that minimises the quantile pinball loss.
 
-    ``train`` and ``held_out`` are design tables; they are staged once.  An epoch is one job: every
-    partition takes minibatch subgradient steps from the common weights, and the new weights are
-    the row-weighted average over partitions, summed in a distributed aggregation.  Only the summed
-    weights, horizon x quantiles x inputs numbers, reach the driver.  The same pass scores the
-    incoming weights on training and held-out rows, the best scored weights are returned, and the
-    start is the quantile baseline, so the result is never worse than that.  Training stops once
-    the held-out (or training) loss has not fallen by ``min_delta`` for more than ``patience``
-    epochs.
+    ``train`` and ``held_out`` are design tables.  Inputs and targets are taken in units of 2**-24, so forecasts, losses and
+    subgradients are sums of whole numbers: the same rows give the same weights however they are partitioned.  An epoch is
+    one aggregation over all rows by (step, position); the step of a weight shrinks with the sum of its squared gradients.
+    Weights and gradients stay tables, only the losses per forecast step reach the driver.  The same pass scores the
+    incoming weights on training and held-out rows; the best scored weights are returned, and the start is the quantile
+    baseline of the training rows, so the held-out (or training) loss is never above that of the start.  Training stops once it has
+    not fallen by ``min_delta`` for more than ``patience`` epochs.
     """
-    import numpy as np
-
     spark = train.sparkSession
-    columns = ["phi", "y"]
-    both = train.select(*columns, F.lit(False).alias("held_out"))
-    if held_out is not None:
-        both = both.unionByName(held_out.select(*columns, F.lit(True).alias("held_out")))
-    data = stage(both, "design")
-    names, taus = roles.features, [float(q) for q in quantiles]
-
-    start = quantile_baseline(data.where(~F.col("held_out")), taus).collect()  # steps x quantiles
-    if not start:
+    taus, n_taus, width = [float(q) for q in quantiles], len(quantiles), roles.width
+    data = _training_rows(train, held_out)
+    own = data.where(~F.col("held_out")).select(F.transform("y", lambda v: v / F.lit(UNITS)).alias("y"))
+    start = quantile_baseline(own, taus).select("step", "quantile", (_units(F.col("value")) / F.lit(UNITS)).alias("weight"))
+    bias = _by_position(start.withColumn("position", F.lit(0)), taus)
+    weights = stage(bias.withColumn("seen", F.array(*[F.lit(FIRST_SQUARE)] * n_taus)), "weights")
+    horizon = weights.agg(F.max("step")).first()[0]
+    if not horizon:
         raise ValueError("no training windows")
-    horizon = max(r["step"] for r in start)
-    weights = np.zeros((horizon, len(taus), len(names)))
-    squares = np.full_like(weights, 1e-6)
-    for r in start:
-        weights[r["step"] - 1, taus.index(r["quantile"]), 0] = r["value"]
-
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # the stored table stays behind it
-    best, best_loss, reference, waited = weights, float("inf"), float("inf"), 0
-    history = []
-    try:
-        for epoch in range(epochs + 1):
-            last = epoch == epochs
-            parts = data.mapInArrow(
-                _epoch(weights, squares, taus, batch_size, learning_rate, not last), _EPOCH_SCHEMA
-            )
-            sums = parts.select(
-                "train_rows", "held_rows", "train_loss", "held_loss",
-                F.posexplode(F.arrays_zip("w", "s")),
-            )
-            totals = sums.groupBy("pos").agg(
-                F.sum("col.w").alias("w"),
-                F.sum("col.s").alias("s"),
-                *[F.sum(c).alias(c) for c in ("train_rows", "held_rows", "train_loss", "held_loss")],
-            ).collect()  # horizon x quantiles x inputs rows
-            one = totals[0]
-            train_loss = one["train_loss"] / max(one["train_rows"], 1)
-            held_loss = one["held_loss"] / one["held_rows"] if one["held_rows"] else None
-            score = train_loss if held_loss is None else held_loss
-            history.append((epoch, float(train_loss), None if held_loss is None else float(held_loss)))
-            if score < best_loss:
-                best, best_loss = weights, score
-            if reference - score > min_delta:
-                reference, waited = score, 0
-            else:
-                waited += 1
-            if last or waited > patience:
-                break
-            flat = np.zeros((2, weights.size))
-            for r in totals:
-                flat[:, r["pos"]] = r["w"], r["s"]
-            weights, squares = (flat / max(one["train_rows"], 1)).reshape(2, *weights.shape)
-    finally:
-        data.unpersist()
-
-    rows = [
-        (h + 1, taus[q], p, names[p], float(best[h, q, p]))
-        for h in range(best.shape[0])
-        for q in range(best.shape[1])
-        for p in range(best.shape[2])
-    ]
-    return FittedQuantiles(
-        stage(spark.createDataFrame(rows, MODEL_SCHEMA), "quantile-model"),
-        spark.createDataFrame(history, "epoch int, train_loss double, held_out_loss double"),
-    )
-
-
-def _weights_by_step(model: DataFrame) -> DataFrame:
-    """One row per step: weights as quantile x input array; groups have a fixed size."""
-    by_tau = model.groupBy("step", "quantile").agg(
-        F.sort_array(F.collect_list(F.struct("position", "weight"))).alias("__w")
-    )
-    return by_tau.groupBy("step").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("quantile", F.col("__w.weight").alias("w")))),
-            lambda s: s["w"],
-        ).alias("__weights")
-    )
-
-
-def forecast_steps(design: DataFrame) -> DataFrame:
-    """Design rows to one row per forecast step: keys, step (from 1), ts, phi, y."""
-    keys = [c for c in design.columns if c not in ("ts", "phi", "y")]
-    zipped = F.posexplode(F.arrays_zip("ts", "phi", "y")).alias("__p", "__s")
-    return design.select(*keys, zipped).select(
-        *keys, (F.col("__p") + 1).alias("step"), "__s.ts", "__s.phi", "__s.y"
-    )
+    narrow = 8 * horizon * width * n_taus <= broadcast_bytes
+    steps = forecast_steps(data)
+
+    best, best_loss, reference, waited, history = weights, float("inf"), float("inf"), 0, []
+    for epoch in range(epochs + 1):
+        sums = stage(_epoch_sums(steps, weights, n_taus, width, narrow), "gradients")
+        scored = sums.where("position < 0").groupBy("position").agg(
+            F.sum("a").alias("a"), F.array(*[F.sum(F.get("s", F.lit(q))) for q in range(n_taus)]).alias("s")
+        )
+        total = {r["position"]: (r["a"], r["s"]) for r in scored.collect()}  # four rows
+
+        def loss(held: bool) -> float | None:
+            below, error = _LOSS[held]
+            if below not in total:
+                return None
+            n, over = total[below]
+            return sum(tau * e + o for tau, o, e in zip(taus, over, total[error][1], strict=True)) / UNITS / (n * n_taus)
+
+        train_loss, held_loss = loss(False), loss(True)
+        score = train_loss if held_loss is None else held_loss
+        history.append((epoch, train_loss, held_loss))
+        if score < best_loss:
+            best, best_loss = weights, score
+        if reference - score > min_delta:
+            reference, waited = score, 0
+        else:
+            waited += 1
+        if epoch == epochs or waited > patience:
+            break
+        rows = total[_LOSS[False][0]][0] // horizon
+        weights = stage(_stepped(weights, sums, taus, UNITS * rows, learning_rate), "weights")
+
+    cell = F.inline(F.array(*[F.struct(F.lit(t).alias("quantile"), F.get("w", F.lit(q)).alias("weight")) for q, t in enumerate(taus)]))
+    model = best.select("step", "position", cell)
+    model = model.select("step", "quantile", "position", roles.feature_name(F.col("position")).alias("feature"), "weight")
+    return FittedQuantiles(stage(model, "quantile-model"), spark.createDataFrame(history, "epoch int, train_loss double, held_out_loss double"))
+
+
+def _stepped(weights: DataFrame, sums: DataFrame, taus: Sequence[float], scale: float, rate: float) -> DataFrame:
+    """The weights after one step against the gradients; a position without a weight starts at zero."""
+    grads = sums.where("position >= 0")
+    joined = weights.join(grads, ["step", "position"], "full")
+    w, seen = [], []
+    for q, tau in enumerate(taus):
+        at = F.lit(q)
+        grad = F.coalesce((F.get("s", at).cast("double") - F.lit(tau) * F.col("a").cast("double")) / F.lit(scale), F.lit(0.0))
+        square = F.coalesce(F.get("seen", at), F.lit(FIRST_SQUARE)) + grad * grad
+        seen.append(square)
+        w.append(F.coalesce(F.get("w", at), F.lit(0.0)) - F.lit(rate) * grad / F.sqrt(square))
+    return joined.select("step", "position", F.array(*w).alias("w"), F.array(*seen).alias("seen"))
+
+
+def _with_parts(design: DataFrame, model: DataFrame, quantiles: Sequence[float], broadcast_bytes: int) -> DataFrame:
+    """Forecast steps with their weighted pairs."""
+    weights = _by_position(model, quantiles)
+    steps, last = model.agg(F.countDistinct("step"), F.max("position")).first()
+    width = (last or 0) + 1
+    narrow = 8 * steps * width * len(quantiles) <= broadcast_bytes
+    if not narrow:
+        design = stage(design.withColumn("__row", F.monotonically_increasing_id()), "design")
+    return _weighted(forecast_steps(design), [] if narrow else ["__row"], weights, len(quantiles), width, narrow)
 
 
 def predict_quantiles(
@@ -309,42 +380,57 @@ def predict_quantiles(
     model: DataFrame,
     names: Mapping[str, float] = NAMES,
     sort_quantiles: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Forecasts per (window, step), one column per quantile; dot products in the JVM.
 
     ``names`` maps a column to its quantile and must name exactly the quantiles of the model.
 
-    The weight table has horizon x quantiles arrays and is broadcast.  Quantiles may cross unless
-    ``sort_quantiles`` is set.
+    The weight table is broadcast within ``broadcast_bytes`` and joined by position beyond; both add up in the order of the
+    positions and give the same numbers.  Quantiles may cross unless ``sort_quantiles`` is set.
     """
     held = sorted(r[0] for r in model.select("quantile").distinct().collect())
     ordered = sorted(names, key=lambda n: names[n])
     if held != [float(names[n]) for n in ordered]:
         raise ValueError(f"the model has the quantiles {held}, the names stand for {dict(names)}")
-    steps = forecast_steps(design)
-    joined = steps.join(F.broadcast(_weights_by_step(model)), "step")
-    yhat = F.transform("__weights", lambda w: dot(F.col("phi"), w))
-    if sort_quantiles:
-        yhat = F.array_sort(yhat)
-    keys = [c for c in steps.columns if c not in ("step", "phi", "y")]
-    out = joined.select(*keys, "step", "y", yhat.alias("__yhat"))
+    rows = _with_parts(design, model, held, broadcast_bytes)
+
+    def dot(q: int) -> Column:
+        return F.aggregate("parts", F.lit(0.0), lambda t, p: t + F.get(p["w"], F.lit(q)) * p["value"])
+
+    yhat = F.array(*map(dot, range(len(held))))
+    yhat = F.array_sort(yhat) if sort_quantiles else yhat
+    keys = [c for c in design.columns if c not in INPUTS]
+    out = rows.select(*keys, "ts", "step", "y", yhat.alias("__yhat"))
     picks = [F.element_at("__yhat", i + 1).alias(n) for i, n in enumerate(ordered)]
-    return out.select(*keys, "step", "y", *picks)
+    return out.select(*keys, "ts", "step", "y", *picks)
 
 
 def contributions(
     design: DataFrame, model: DataFrame, features: Sequence[str], quantile: float = 0.5
 ) -> DataFrame:
-    """Absolute contribution of every input to one quantile's forecast, one column per input."""
+    """Absolute contribution of every position to one quantile's forecast, one column per position.
+
+    For models with few positions; ``input_contributions`` has one column per input.
+    """
+    return _contributions(design, model, {f: F.lit(i).eqNullSafe for i, f in enumerate(features)}, quantile)
+
+
+def input_contributions(design: DataFrame, model: DataFrame, roles: InputRoles, quantile: float = 0.5) -> DataFrame:
+    """Absolute contribution of every input to one quantile's forecast, one column per input, categories as one."""
+    return _contributions(design, model, {i.name: i.holds for i in roles.inputs}, quantile)
+
+
+def _contributions(design: DataFrame, model: DataFrame, named: Mapping[str, Callable], quantile: float) -> DataFrame:
     one = model.where(F.col("quantile") == F.lit(float(quantile)))
-    steps = forecast_steps(design)
-    joined = steps.join(F.broadcast(_weights_by_step(one)), "step")
-    part = F.zip_with(F.col("phi"), F.element_at("__weights", 1), lambda x, w: F.abs(x * w))
-    keys = [c for c in steps.columns if c not in ("phi", "y")]
-    rows = joined.select(*keys, part.alias("__part"))
-    return rows.select(
-        *keys, *[F.element_at("__part", i + 1).alias(f) for i, f in enumerate(features)]
-    )
+    rows = _with_parts(design, one, [float(quantile)], BROADCAST_BYTES)
+    keys = [c for c in design.columns if c not in INPUTS]
+
+    def total(mine: Callable) -> Column:
+        parts = F.filter("parts", lambda p: mine(p["position"]))
+        return F.aggregate(parts, F.lit(0.0), lambda t, p: t + F.abs(p["value"] * F.get(p["w"], F.lit(0))))
+
+    return rows.select(*keys, "step", "ts", *[total(mine).alias(n) for n, mine in named.items()])
 
 
 def predict_external_model(

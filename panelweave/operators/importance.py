@@ -26,6 +26,15 @@ def feature_importance(
     return contributions.select(*keys, F.inline(F.array(*rows)))
 
 
+def static_importance(contributions: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Weights per window that sum to one, for inputs that all its steps share: keys, feature, weight.
+
+    A window's absolute contributions are averaged over its steps before the softmax; ``keys`` identify a window.
+    """
+    mean = contributions.groupBy(*keys).agg(*[F.avg(F.abs(F.col(n)).cast("double")).alias(n) for n in names])
+    return feature_importance(mean, keys, names)
+
+
 def importance_table(
     weights: DataFrame, names: Sequence[str], by: Sequence[str] = ("part", "ts")
 ) -> DataFrame:

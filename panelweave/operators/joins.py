@@ -43,8 +43,9 @@ def attach(
     how: str = "left",
     limit: int = BROADCAST_ROWS,
     fits: bool | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join of a large table with a side of unknown size.
+    """Equi-join of a large table with a side of unknown size; null keys match nothing unless ``null_safe``.
 
     ``side`` should be a stored table: its rows and bytes are counted first, unless the caller has
     done so and passes the answer as ``fits``.  Within the limits it is broadcast.  Beyond them the
@@ -56,7 +57,14 @@ def attach(
         raise ValueError(f"attach does not offer a {how} join")
     if fits if fits is not None else fits_broadcast(side, limit):
         side = F.broadcast(side)
-    return fact.join(side, keys, how)
+    if not null_safe:
+        return fact.join(side, keys, how)
+    same = F.lit(True)
+    for k in keys:
+        side = side.withColumnRenamed(k, f"__side_{k}")
+        same = same & F.col(k).eqNullSafe(F.col(f"__side_{k}"))
+    joined = fact.join(side, same, how)
+    return joined.drop(*[f"__side_{k}" for k in keys])
 
 
 def left_join_series(fact: DataFrame, series: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -156,12 +164,14 @@ def attach_filled_series(
 
 
 def cold_start_filter(frame: DataFrame, train_ids: DataFrame, id: str) -> DataFrame:
-    """Rows whose entity occurs in the stored table of training ids."""
-    return attach(frame, train_ids, id, "left_semi")
+    """Rows whose entity occurs in the stored table of training ids; a null id is an entity too."""
+    return attach(frame, train_ids, id, "left_semi", null_safe=True)
 
 
 def actual_vs_forecast(
     actual: DataFrame, forecast: DataFrame, id: str = "id", ts: str = "ts"
 ) -> DataFrame:
-    """Left join of forecasts on actual rows; both keyed by (id, ts), so no key is hot."""
-    return actual.join(forecast, [id, ts], "left")
+    """Left join of forecasts on actual rows; both keyed by (id, ts), so no key is hot.  A null id is an entity too."""
+    renamed = forecast.withColumnsRenamed({id: "__id", ts: "__ts"})
+    same = F.col(id).eqNullSafe(F.col("__id")) & (F.col(ts) == F.col("__ts"))
+    return actual.join(renamed, same, "left").select(id, ts, *[c for c in [*actual.columns, *forecast.columns] if c not in (id, ts)])

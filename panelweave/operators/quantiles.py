@@ -12,6 +12,50 @@ from panelweave.sources.staging import stage
 
 # Rank error of the sketch is at most rows / ACCURACY.
 ACCURACY = 100_000
+# Distinct values that one task ranks at most, except where a bracket cannot be narrowed.
+RANKED_VALUES = 50_000
+# Cells that a narrowing pass cuts a bracket into, and the rank error of its sketch in cells.
+CELLS, CELL_ERROR = 256, 0.3
+PASSES = 8
+
+
+def _with_brackets(rows: DataFrame, stored: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every row once per quantile of its group, with that quantile's bracket."""
+    if by:
+        placed = attach(rows, stored, list(by), "inner", null_safe=True)
+    else:
+        placed = rows.join(F.broadcast(stored))  # one row
+    return placed.select(*by, "__n", "__v", F.inline("__brackets"))
+
+
+def _narrowed(rows: DataFrame, stored: DataFrame, by: Sequence[str], limit: int) -> DataFrame | None:
+    """The brackets after one counting pass, or None when each holds at most ``limit`` distinct values.
+
+    The values inside a bracket are sketched into cells of equal rank; the cells that can hold the wanted rank are the new
+    bracket, about a hundredth of the old one.
+    """
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    inside = v.between(lo, hi)
+    grid = [i / CELLS for i in range(CELLS + 1)]
+    seen = _with_brackets(rows, stored, by).where(v <= hi).groupBy(*by, "quantile", "__n", "__lo", "__hi").agg(
+        F.count_if(v < lo).alias("__below"),
+        F.count_if(inside).alias("__inside"),
+        F.approx_count_distinct(F.when(inside, v)).alias("__values"),
+        F.percentile_approx(F.when(inside, v), grid, 4 * CELLS).alias("__grid"),
+    )
+    seen = stage(seen, "narrowing")
+    if (seen.agg(F.max("__values")).first()[0] or 0) <= limit:
+        return None
+    place = ((F.col("__n") - 1) * F.col("quantile") - F.col("__below")) / F.col("__inside") * CELLS
+    first = F.greatest(F.floor(place - CELL_ERROR) - 1, F.lit(0)).cast("int")
+    last = F.least(F.ceil(place + CELL_ERROR) + 1, F.lit(CELLS)).cast("int")
+    wide = F.col("__values") > limit
+    bracket = F.struct(
+        "quantile",
+        F.when(wide, F.get("__grid", first)).otherwise(lo).alias("__lo"),
+        F.when(wide, F.get("__grid", last)).otherwise(hi).alias("__hi"),
+    )
+    return stage(seen.groupBy(*by, "__n").agg(F.collect_list(bracket).alias("__brackets")), "brackets")
 
 
 def exact_quantiles(
@@ -20,13 +64,14 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     accuracy: int = ACCURACY,
+    ranked_values: int = RANKED_VALUES,
 ) -> DataFrame:
     """Linearly interpolated quantiles: columns ``by``, quantile, value.
 
     A mergeable sketch brackets every quantile between two values; its rank error is bounded, so
-    the bracket is certain to hold the rank.  One more aggregation counts the rows below, inside
-    (per distinct value) and above the bracket.  Only the inside, about 4 / accuracy of the rows,
-    is ranked.
+    the bracket is certain to hold the rank.  While a bracket has more than ``ranked_values`` distinct values, a counting pass
+    narrows it.  One more aggregation counts the rows below, inside (per distinct value) and above the
+    bracket, and the distinct values inside are ranked: a bounded number however many rows there are.
     """
     margin = 2.0 / accuracy
     low = [max(0.0, p - margin) for p in probs]
@@ -46,11 +91,14 @@ def exact_quantiles(
         for i, p in enumerate(probs)
     ]
     stored = stage(sketch.select(*by, "__n", F.array(*brackets).alias("__brackets")), "brackets")
-    if by:
-        placed = attach(rows, stored, list(by), "inner")
-    else:
-        placed = rows.join(F.broadcast(stored))  # one row
-    placed = placed.select(*by, "__n", "__v", F.inline("__brackets"))
+    # a bracket has about 4 / accuracy of a group's rows, so small groups need no counting pass
+    most = stored.agg(F.max("__n")).first()[0] or 0
+    for _ in range(PASSES if 8 * most / accuracy > ranked_values else 0):
+        narrower = _narrowed(rows, stored, by, ranked_values)
+        if narrower is None:
+            break
+        stored = narrower
+    placed = _with_brackets(rows, stored, by)
     v = F.col("__v")
     side = F.when(v < F.col("__lo"), 0).when(v <= F.col("__hi"), 1).otherwise(2)
     counted = (

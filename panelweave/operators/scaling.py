@@ -53,7 +53,7 @@ def _with_state(
     wide = state.where(F.col("column").isin(list(columns))).groupBy("scope_key").agg(*pick)
     key = F.col(by).cast("string") if by else F.lit(EVERYTHING)
     wide = stage(wide.withColumn("__known", F.lit(True)), "scaler-state")
-    joined = attach(df.withColumn("scope_key", key), wide, "scope_key", "inner" if unseen == "skip" else "left")
+    joined = attach(df.withColumn("scope_key", key), wide, "scope_key", "inner" if unseen == "skip" else "left", null_safe=True)
     if unseen == "error":
         text = F.concat(F.lit("no scaler state for "), F.coalesce(F.col("scope_key"), F.lit("null")))
         joined = joined.where(F.when(F.col("__known").isNull(), F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
@@ -67,7 +67,7 @@ def _scaled(c: str) -> Column:
 def scale(
     df: DataFrame, state: DataFrame, columns: Sequence[str], by: str | None = None, unseen: str = "error"
 ) -> DataFrame:
-    """Replace each column by its z-score; ``state`` is a stored scaler table.
+    """Replace each column by its z-score; ``state`` is a stored scaler table.  A null entity has a state of its own.
 
     A row whose entity has no state raises, is dropped (``unseen="skip"``) or gets null (``"null"``).
     """

@@ -391,8 +391,9 @@ check("head", ["hourly"], f"select id, ts, {r6('y')} from hourly order by id, ts
 check("shuffle_rows", ["hourly"], f"select id, ts, {r6('y')} from hourly")
 check(
     "assign_batches", ["hourly"],
-    "select cast(n // 64 as bigint) as batch, count(*) as rows from numbered group by 1",
-    numbered="select row_number() over () - 1 as n from hourly",
+    "select id, ts, cast((row_number() over (order by place, id, ts) - 1) // 64 as bigint) as batch from placed",
+    placed="""select id, ts, ('0x' || substr(md5(coalesce(id::varchar, chr(0)) || chr(31) || ts::varchar || chr(31) || '69'), 1, 15))::bigint as place
+              from hourly""",
 )
 
 # ---- reshaping and splits ----------------------------------------------------------------------
@@ -532,6 +533,87 @@ check(
       on s.step = b.step""",
     **BASELINE,
 )
+# Two steps of the full subgradient on inputs and targets in units of 2^-24, in whole numbers; the weights are doubles.
+UNIT = "16777216.0::double"
+
+
+def unit(x: str) -> str:
+    return f"floor(({x}) * {UNIT} + 0.5::double)::bigint"
+
+
+TAUS = "(values (0.1::double), (0.5::double), (0.9::double)) u(tau)"
+TRAINED = {
+    **SCALED,
+    "w": WINDOWS.format(t=7),
+    "codes": "select id, dense_rank() over (order by id) - 1 as code, dense_rank() over (order by id % 5) - 1 as cohort from (select distinct id from dense)",
+    "sizes": "select count(*) as n, count(distinct cohort) as m from codes",
+    "rows": f"""select id, window_ts, step - 4 as step, ts, {unit("y")} as y, isodow(ts) as weekday, window_ts >= date '2024-01-20' as held
+                from w where step >= 5""",
+    "encoder": "select id, window_ts, max(y) filter (step = 4) as last, sum(y) / 5 as mean from w where step < 5 group by 1, 2",
+    "pairs": """
+        select id, window_ts, step, unnest([0, 1 + code, 1 + n + cohort, 1 + n + m + weekday, 9 + n + m, 10 + n + m]) as position,
+               unnest([16777216, 16777216, 16777216, 16777216, """ + unit("last") + ", " + unit("mean") + """]) as v
+        from rows join encoder using (id, window_ts) join codes using (id) cross join sizes""",
+    "w0": f"""select step, 0 as position, tau, {unit("value")} / {UNIT} as weight, 1e-12::double as seen from (
+                 select step, unnest([0.1::double, 0.5::double, 0.9::double]) as tau, unnest(quantile_cont(y / {UNIT}, [0.1, 0.5, 0.9])) as value
+                 from rows where not held group by step)""",
+}
+for k in range(3):
+    TRAINED[f"e{k}"] = f"""
+        select id, window_ts, step, tau, held, any_value(r.y) - sum(floor(coalesce(weight, 0) * v + 0.5::double)::bigint) as e
+        from rows r join pairs using (id, window_ts, step) cross join {TAUS} left join w{k} using (step, position, tau) group by all"""
+    TRAINED[f"g{k}"] = f"""
+        select step, position, tau, (sum(case when e < 0 then v else 0 end)::double - tau * sum(v)::double)
+               / ({UNIT} * (select count(*) from rows where not held and step = 1)) as g
+        from e{k} join pairs using (id, window_ts, step) where not held group by step, position, tau"""
+    TRAINED[f"w{k + 1}"] = f"""
+        select step, position, tau, coalesce(weight, 0) - 0.02::double * g / sqrt(coalesce(seen, 1e-12::double) + g * g) as weight,
+               coalesce(seen, 1e-12::double) + g * g as seen from g{k} left join w{k} using (step, position, tau)"""
+TRAINED["losses"] = " union all ".join(
+    f"""select {k} as epoch, avg(loss) filter (not held) as train_loss, avg(loss) filter (held) as held_out_loss
+        from (select held, (tau * e + greatest(-e, 0)) / {UNIT} as loss from e{k})"""
+    for k in range(3)
+)
+TRAINED["best"] = " union all ".join(
+    f"select step, position, tau, weight from w{k} where {k} = (select arg_min(epoch, train_loss) from losses)" for k in range(3)
+)
+check(
+    "fit_quantile_model", ["daily"],
+    """select step::int as step, tau as quantile, position::int as position, case when position = 0 then 'bias'
+              when position <= n then 'entity=' || (position - 1) when position <= n + m then 'cohort=' || (position - 1 - n)
+              when position <= n + m + 8 then 'weekday=' || (position - 1 - n - m)
+              when position = n + m + 9 then 'y_last' else 'y_mean' end as feature, round(weight, 6) as weight from best, sizes""",
+    **TRAINED,
+)
+check("fit_history", ["daily"], f"select epoch, {r6('train_loss', 'held_out_loss')} from losses", **TRAINED)
+AHEAD = {
+    **TRAINED,
+    "ends": """select id, max(ts) as last_ts, max_by(y, ts) as last, sum(y) filter (back < 5) / 5 as mean
+               from (select *, row_number() over (partition by id order by ts desc) - 1 as back from scaled) group by id having count(*) >= 5""",
+    "ahead": """select id, step, last_ts + step::int as ts, last, mean from ends, (values (1), (2)) s(step)""",
+    "reach": """select id, step, ts, unnest([0, 1 + code, 1 + n + cohort, 1 + n + m + isodow(ts), 9 + n + m, 10 + n + m]) as position,
+                       unnest([1, 1, 1, 1, last, mean]) as v from ahead join codes using (id) cross join sizes""",
+    "told": "select id, step, ts, tau, sum(v * coalesce(weight, 0)) as yhat from reach join best using (step, position) group by all",
+}
+check(
+    "forecast_flow", ["daily"],
+    """select id, step::int as step, ts::date as ts, round(max(yhat * s + m) filter (tau = 0.1), 6) as yhat_low,
+              round(max(yhat * s + m) filter (tau = 0.5), 6) as yhat, round(max(yhat * s + m) filter (tau = 0.9), 6) as yhat_up
+       from told join scaler using (id) group by id, step, ts""",
+    **AHEAD,
+)
+check(
+    "static_importance", ["daily"],
+    """select id, window_ts, unnest(['bias', 'entity', 'cohort', 'y_last', 'y_mean']) as feature,
+              unnest([round(x / (a + b + c + d + e), 6) for x in [a, b, c, d, e]]) as weight
+       from (select id, window_ts, exp(avg(a)) as a, exp(avg(b)) as b, exp(avg(c)) as c, exp(avg(d)) as d, exp(avg(e)) as e from parts group by 1, 2)""",
+    **TRAINED,
+    inputs="""select r.id, window_ts, step, [1, 1, 1, last, mean] as v, [0, 1 + code, 1 + n + cohort, 9 + n + m, 10 + n + m] as p
+              from rows r join encoder using (id, window_ts) join codes using (id) cross join sizes""",
+    used="select id, window_ts, inputs.step, i, abs(v[i] * coalesce(weight, 0)) as x from inputs cross join range(1, 6) t(i) left join best b on b.step = inputs.step and b.position = p[i] and tau = 0.5",
+    parts="""select id, window_ts, step, max(x) filter (i = 1) as a, max(x) filter (i = 2) as b, max(x) filter (i = 3) as c,
+                    max(x) filter (i = 4) as d, max(x) filter (i = 5) as e from used group by 1, 2, 3""",
+)
 # Inputs of the stated model whose weight is zero.
 REST_OF_MODEL = ", ".join(
     f"round(avg(1 / t), 6) as {n}_importance" for n in ("id_code", "y_mean", *(f"weekday_{i}" for i in range(8) if i != 3))

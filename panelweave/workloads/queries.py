@@ -21,7 +21,7 @@ from panelweave.operators.preprocess import (
     retail_preprocessor,
 )
 from panelweave.plans import hourly as hourly_plan
-from panelweave.plans import monthly, retail
+from panelweave.plans import forecasting, monthly, retail
 from panelweave.sources import files, staging
 from panelweave.spec import PanelSpec
 from panelweave.streaming import resample as streaming
@@ -512,10 +512,10 @@ def shuffle_rows(spark, sf):
 
 @query
 def assign_batches(spark, sf):
-    """Rows per batch: the numbers do not depend on which row lands where."""
+    """The batch of every row, in ranges of a few hundred rows."""
     panel = staging.stage(S.hourly(spark, sf), "hourly")
-    rows = batches.assign_batches(panel, ["id", "ts"], 64, seed=69)
-    return profile.row_count(rows, ["batch"])
+    rows = batches.assign_batches(panel, ["id", "ts"], 64, seed=69, group_rows=500)
+    return rows.select("id", "ts", "batch")
 
 
 # ---- reshaping and splits ----------------------------------------------------------------------
@@ -747,35 +747,54 @@ def quantile_baseline(spark, sf):
     return forecast.quantile_baseline(design).select("step", "quantile", r6("value"))
 
 
-def _fitted(spark, sf):
-    design, roles = _design(spark, sf)
-    train, held = splits.split_two(design, date(2024, 1, 20), "window_ts")
+def _calendar(rows):
+    return rows.withColumn("weekday", TG.iso_weekday(F.col("ts")))
+
+
+def _category_panel(spark, sf):
+    """The scaled daily panel with entity and group codes, its scalers, and the roles of a model on them."""
+    panel = _dense_daily(spark, sf)
+    state = staging.stage(scaling.fit_scaler(panel, ["y"], "id"), "scalers")
+    coded = panel.withColumns({"entity": F.col("id"), "cohort": F.pmod("id", F.lit(5))})
+    words = staging.stage(vocab.fit_vocabulary(coded, ["entity", "cohort"]), "vocabulary")
+    coded = vocab.encode_labels(coded, words, ["entity", "cohort"])
+    sizes = {r["column"]: r["n"] for r in words.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    static = {c: sizes.get(c, 1) for c in ("entity", "cohort")}
+    roles = forecast.InputRoles(static_categorical=static, known_categorical={"weekday": 8}, use_target_history=True)
+    return staging.stage(_calendar(scaling.scale(coded, state, ["y"], "id")), "category-panel"), state, roles
+
+
+def _category_fit(spark, sf, score: bool = False):
+    """Two steps of a model with a category for every entity on the windows before ``TEST``; the later ones score it if asked."""
+    panel, state, roles = _category_panel(spark, sf)
+    w = windows.sliding_windows(panel, S.DAILY, WINDOW, roles.columns, dense=True)
+    design = staging.stage(forecast.design_matrix(w, roles, ENCODER), "design")
+    train, held = splits.split_two(design, TEST, "window_ts")
     fit = forecast.fit_quantile_model(
-        train, roles, held_out=held, epochs=8, batch_size=64, learning_rate=0.1,
-        min_delta=0.0005, patience=2,
+        train, roles, held_out=held if score else None, epochs=2, learning_rate=0.02, min_delta=0.0, patience=9
     )
-    return design, roles, fit
+    return panel, state, roles, design, fit
 
 
 @query
 def fit_quantile_model(spark, sf):
-    """Loss and coverage per step of the fitted model next to the quantile baseline."""
-    design, roles, fit = _fitted(spark, sf)
-    rows = forecast.predict_quantiles(design, fit.model)
-    base = forecast.quantile_baseline(design).groupBy("step").agg(
-        *[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(f"base_{n}") for n, q in BANDS.items()]
-    )
-    rows = rows.join(F.broadcast(base), "step")  # one row per forecast step
-    y = F.col("y")
-    fitted = sum(pinball(y, F.col(n), q) for n, q in BANDS.items()) / len(BANDS)
-    start = sum(pinball(y, F.col(f"base_{n}"), q) for n, q in BANDS.items()) / len(BANDS)
-    return rows.groupBy("step").agg(
-        F.avg(fitted).alias("loss"),
-        F.avg(start).alias("baseline_loss"),
-        F.avg((y <= F.col("yhat_up")).cast("double")).alias("below_upper"),
-        F.avg((y <= F.col("yhat_low")).cast("double")).alias("below_lower"),
-        F.count(F.lit(1)).alias("windows"),
-    )
+    """The weights with the least training loss of two full steps."""
+    fit = _category_fit(spark, sf)[-1]
+    return fit.model.select("step", "quantile", "position", "feature", r6("weight"))
+
+
+@query
+def fit_history(spark, sf):
+    """Losses of both parts before, between and after the two steps."""
+    return _category_fit(spark, sf, score=True)[-1].history.select("epoch", r6("train_loss"), r6("held_out_loss"))
+
+
+@query
+def forecast_flow(spark, sf):
+    """Forecasts of a fitted model for the days after every entity's last one, in original units."""
+    panel, state, roles, _, fit = _category_fit(spark, sf)
+    out = forecasting.forecast_beyond(panel, S.DAILY, fit, roles, ENCODER, WINDOW - ENCODER, _calendar, state)
+    return out.select("id", "step", "ts", r6("yhat_low"), r6("yhat"), r6("yhat_up"))
 
 
 def _stated_model(spark, sf):
@@ -891,6 +910,16 @@ def importance_table(spark, sf):
     return out.select("part", "ts", *[r6(f"{n}_importance") for n in names])
 
 
+@query
+def static_importance(spark, sf):
+    """Importance weights of the inputs that a window has once, for the model with a category per entity."""
+    _, _, roles, design, fit = _category_fit(spark, sf)
+    names = [i.name for i in roles.inputs if i.kind != "known"]
+    parts = forecast.input_contributions(design, fit.model, roles)
+    weights = importance.static_importance(parts, ["id", "window_ts"], names)
+    return weights.select("id", "window_ts", "feature", r6("weight"))
+
+
 def _plain(feature: str) -> str:
     return feature.replace("=", "_") + "_importance"
 

@@ -97,7 +97,9 @@ def test_unknown_codes(spark):
 def test_five_quantiles_need_five_names(spark):
     quantiles = [0.05, 0.1, 0.5, 0.9, 0.95]
     model = spark.createDataFrame([(1, q, 0, "bias", 10 * q) for q in quantiles], forecast.MODEL_SCHEMA)
-    design = spark.createDataFrame([("a", [START], [[1.0]], [1.0])], "id string, ts array<timestamp_ntz>, phi array<array<double>>, y array<double>")
+    design = spark.createDataFrame(
+        [("a", [START], [(0, 1.0)], [[]], [1.0])], f"id string, ts array<timestamp_ntz>, shared {forecast.PAIRS}, own array<{forecast.PAIRS}>, y array<double>"
+    )
     with pytest.raises(ValueError, match="quantiles"):
         forecast.predict_quantiles(design, model)
     (row,) = forecast.predict_quantiles(design, model, {f"q{int(100 * q)}": q for q in reversed(quantiles)}).collect()

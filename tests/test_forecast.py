@@ -1,11 +1,13 @@
 """Losses, training, prediction and importance."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import evaluate, forecast, importance, windows
+from panelweave.operators import evaluate, forecast, importance, scaling, windows
+from panelweave.plans import forecasting
+from panelweave.sources.staging import stage
 from panelweave.spec import PanelSpec
 
 BANDS = {"yhat_low": 0.1, "yhat": 0.5, "yhat_up": 0.9}
@@ -71,32 +73,72 @@ def design(spark):
     return forecast.design_matrix(w, ROLES, 6)
 
 
-def test_design_names_match_the_arrays(design):
-    (n,) = design.select(F.size(F.col("phi")[0]), F.size("phi"), F.size("y")).distinct().collect()
-    assert tuple(n) == (len(ROLES.features), 2, 2)
+def test_design_names_match_the_positions(design):
+    row = design.first()
+    assert len(row["own"]) == len(row["y"]) == len(row["ts"]) == 2
+    used = [p["position"] for p in row["shared"]] + [p["position"] for p in row["own"][0]]
+    assert len(set(used)) == len(used) == len(ROLES.inputs) and max(used) < ROLES.width == len(ROLES.features)
+    names = [i.name for i in ROLES.inputs]
+    assert names == ["bias", "size", "known", "phase", "known_encoder_mean", "y_last", "y_mean"]
+    named = design.sparkSession.range(ROLES.width).select(ROLES.feature_name(F.col("id").cast("int"))).collect()
+    assert [r[0] for r in named] == ROLES.features
     with pytest.raises(ValueError, match="static"):
         forecast.design_matrix(design, forecast.InputRoles(), 2)
 
 
+def test_design_does_not_grow_with_the_vocabulary(spark):
+    panel = signal(spark, 10, 20).withColumn("code", F.col("id").cast("int"))
+    w = windows.sliding_windows(panel, PanelSpec(step="1 day"), 8, ["code", "y"], dense=True)
+    rows = []
+    for size in (10, 1_000_000):
+        roles = forecast.InputRoles(static_categorical={"code": size}, use_target_history=True)
+        rows.append(forecast.design_matrix(w, roles, 6).select(F.size("shared"), F.size(F.flatten("own"))).distinct().collect())
+    assert rows[0] == rows[1] and len(rows[0]) == 1
+
+
+def test_codes_without_a_category_raise(spark):
+    panel = signal(spark, 3, 10).withColumn("code", F.col("id").cast("int"))
+    w = windows.sliding_windows(panel, PanelSpec(step="1 day"), 8, ["code", "y"], dense=True)
+    with pytest.raises(Exception, match="no category"):
+        forecast.design_matrix(w, forecast.InputRoles(static_categorical={"code": 2}), 6).collect()
+
+
 @pytest.fixture(scope="module")
 def fitted(design):
-    return forecast.fit_quantile_model(
-        design, ROLES, epochs=25, batch_size=16, learning_rate=0.2, min_delta=0.0, patience=25
-    )
+    return forecast.fit_quantile_model(design, ROLES, epochs=25, learning_rate=0.3, min_delta=0.0, patience=25)
 
 
 def test_training_beats_the_baseline(fitted):
     losses = [r["train_loss"] for r in fitted.history.orderBy("epoch").collect()]
-    print(losses)
     assert len(losses) == 26
-    assert min(losses) < 0.5 * losses[0]
+    assert min(losses) < 0.6 * losses[0]
+
+
+def weights(fit):
+    return sorted((r["step"], r["quantile"], r["position"], r["feature"], r["weight"]) for r in fit.model.collect())
+
+
+def test_weights_do_not_follow_the_partitions(design):
+    """Whole sums: the same bits from 1, 8 and 64 partitions, and with a weight table that is joined, not broadcast."""
+    fit = lambda df, **more: forecast.fit_quantile_model(df, ROLES, epochs=3, min_delta=0.0, patience=9, **more)
+    one = fit(design.repartition(1))
+    wide = fit(design, broadcast_bytes=0)
+    for other in (fit(design.repartition(8)), fit(design.repartition(64)), wide):
+        assert weights(other) == weights(one)
+        assert other.history.collect() == one.history.collect()
+
+
+def test_wide_models_predict_alike(design, fitted):
+    narrow = forecast.predict_quantiles(design, fitted.model)
+    wide = forecast.predict_quantiles(design, fitted.model, broadcast_bytes=0)
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, wide.select(*narrow.columns).collect()))
 
 
 def test_predictions_score_what_training_saw(design, fitted):
     rows = forecast.predict_quantiles(design, fitted.model)
     score = evaluate.evaluate_forecast(rows, ["id", "window_ts"], BANDS).first()["loss"]
     best = fitted.history.agg(F.min("train_loss")).first()[0]
-    assert score == pytest.approx(best, rel=1e-6)
+    assert score == pytest.approx(best, rel=1e-4)
     sorted_rows = forecast.predict_quantiles(design, fitted.model, sort_quantiles=True)
     assert sorted_rows.where("yhat_low > yhat or yhat > yhat_up").isEmpty()
     cover = rows.agg(
@@ -121,10 +163,76 @@ def test_held_out_rows_do_not_train(spark, design):
     )
     rows = forecast.forecast_steps(held).join(F.broadcast(base), "step")
     want = evaluate.evaluate_forecast(rows, ["id", "window_ts"], BANDS).first()["loss"]
-    assert first["held_out_loss"] == pytest.approx(want)
+    assert first["held_out_loss"] == pytest.approx(want, rel=1e-4)
+    alone = forecast.fit_quantile_model(train, ROLES, epochs=3, min_delta=0.0, patience=9)
+    assert [r["train_loss"] for r in alone.history.orderBy("epoch").collect()] == [r["train_loss"] for r in out.history.orderBy("epoch").collect()]
 
 
 def test_missing_inputs_are_refused(spark, design):
     broken = design.withColumn("y", F.transform("y", lambda v: F.when(v > 0, v)))
     with pytest.raises(Exception, match="null or NaN"):
         forecast.fit_quantile_model(broken, ROLES, epochs=1)
+    panel = signal(spark, 3, 10).withColumn("known", F.nullif(F.col("phase"), F.lit(2)).cast("double"))
+    w = windows.sliding_windows(panel, PanelSpec(step="1 day"), 8, ROLES.columns, dense=True)
+    with pytest.raises(Exception, match="null or NaN"):
+        forecast.design_matrix(w, ROLES, 6).collect()
+    with pytest.raises(ValueError, match="no training windows"):
+        forecast.fit_quantile_model(design.limit(0), ROLES)
+
+
+def test_inputs_share_the_importance(spark, design, fitted):
+    parts = forecast.input_contributions(design, fitted.model, ROLES)
+    flat = forecast.contributions(design, fitted.model, ROLES.features)
+    phases = sum(F.col(f"`phase={i}`") for i in range(3))
+    one = {(r["id"], r["window_ts"], r["step"]): r["phase"] for r in parts.collect()}
+    two = {(r["id"], r["window_ts"], r["step"]): r["p"] for r in flat.select("id", "window_ts", "step", phases.alias("p")).collect()}
+    assert one == pytest.approx(two)
+    static = importance.static_importance(parts, ["id", "window_ts"], ["size", "y_last", "y_mean"])
+    sums = static.groupBy("id", "window_ts").agg(F.sum("weight").alias("s"), F.count("*").alias("n")).collect()
+    assert len(sums) == design.count() and all(r["s"] == pytest.approx(1.0) and r["n"] == 3 for r in sums)
+
+
+# ---- beyond the data ---------------------------------------------------------------------------
+
+
+def test_future_windows(spark):
+    d = date(2024, 3, 1)
+    rows = [(i, d + timedelta(k), float(10 * (i or 0) + k), i) for i in (1, 2, None) for k in range(6)]
+    rows += [(3, d, 1.0, 3), (4, d, 1.0, 4), (4, d + timedelta(2), 1.0, 4), (4, d + timedelta(3), 1.0, 4)]  # too short; with a gap
+    panel = spark.createDataFrame(rows, "id int, ts date, y double, code int")
+    known = lambda df: df.withColumn("day", F.dayofmonth("ts"))
+    out = forecasting.future_windows(panel, PanelSpec(step="1 day"), 3, 2, known, ["code", "day", "y"], ["code"])
+    got = {r["id"]: r for r in out.collect()}
+    assert set(got) == {1, 2, None}
+    for i in (1, 2, None):
+        steps = got[i]["steps"]
+        assert [s["ts"] for s in steps] == [d + timedelta(k) for k in range(3, 8)] and got[i]["window_ts"] == d + timedelta(3)
+        assert [s["y"] for s in steps] == [10.0 * (i or 0) + 3, 10.0 * (i or 0) + 4, 10.0 * (i or 0) + 5, None, None]
+        assert [s["code"] for s in steps] == [i] * 5 and [s["day"] for s in steps] == [4, 5, 6, 7, 8]
+
+
+def test_future_windows_on_a_monthly_grid(spark):
+    panel = spark.createDataFrame([("a", date(2024, m, 28), float(m)) for m in range(1, 13)], "id string, ts date, y double")
+    panel = panel.withColumn("ts", F.last_day("ts"))
+    out = forecasting.future_windows(panel, PanelSpec(step="1 month"), 9, 3, lambda df: df, ["y"]).first()
+    assert [s["ts"] for s in out["steps"]][-3:] == [date(2025, 1, 31), date(2025, 2, 28), date(2025, 3, 31)]
+
+
+def test_forecasts_beyond_the_data_use_the_model(spark):
+    panel = signal(spark, 8, 30)
+    spec = PanelSpec(step="1 day")
+    roles = forecast.InputRoles(static_real=("size",), use_target_history=True)
+    scalers = scaling.fit_scaler(panel, ["y"], "id")
+    scaled = stage(scaling.scale(panel, stage(scalers, "s"), ["y"], "id"), "p")
+    design = forecast.design_matrix(windows.sliding_windows(scaled, spec, 8, roles.columns, dense=True), roles, 6)
+    fit = forecast.fit_quantile_model(design, roles, epochs=2, min_delta=0.0, patience=5)
+    out = forecasting.forecast_beyond(scaled, spec, fit, roles, 6, 2, lambda df: df, scalers)
+    assert out.count() == 16 and out.agg(F.min("ts"), F.max("ts")).first() == (date(2024, 1, 31), date(2024, 2, 1))
+    # by hand, for one entity
+    last = [r["y"] for r in scaled.where("id = 3").orderBy(F.desc("ts")).limit(6).collect()]
+    state = scalers.where("scope_key = '3'").first()
+    w = {(r["step"], r["feature"]): r["weight"] for r in fit.model.where("quantile = 0.5").collect()}
+    for r in out.where("id = 3").collect():
+        s = r["step"]
+        z = w[s, "bias"] + w[s, "size"] * 0.1 + w[s, "y_last"] * last[0] + w[s, "y_mean"] * sum(last) / 6
+        assert r["yhat"] == pytest.approx(z * state["scale"] + state["mean"])

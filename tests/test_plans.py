@@ -12,7 +12,7 @@ from panelweave.sources.staging import stage
 from panelweave.workloads import standins as S
 from panelweave.workloads.queries import QUERIES
 
-PYTHON = {"group_apply", "predict_external_model", "fit_quantile_model"}
+PYTHON = {"group_apply", "predict_external_model"}
 
 
 def plan(df):

@@ -153,14 +153,35 @@ def test_preprocessor_round_trip_and_state(spark, tmp_path):
 @pytest.mark.parametrize("drop", [False, True])
 def test_batches_cover_every_row_once(spark, drop):
     df = spark.range(1003).withColumnRenamed("id", "k")
-    out = batches.assign_batches(df, ["k"], 64, seed=3, drop_remainder=drop, buckets=8)
+    out = batches.assign_batches(df, ["k"], 64, seed=3, drop_remainder=drop, group_rows=100)
     sizes = [r["count"] for r in out.groupBy("batch").count().orderBy("batch").collect()]
     assert sizes == [64] * 15 + ([] if drop else [43])
     assert out.select("k").distinct().count() == sum(sizes)
-    other = batches.assign_batches(df.repartition(5), ["k"], 64, seed=3, drop_remainder=drop, buckets=8)
+    other = batches.assign_batches(df.repartition(5), ["k"], 64, seed=3, drop_remainder=drop, group_rows=100)
     assert rows(out, "k", "batch") == rows(other, "k", "batch")
 
 
+def test_batches_follow_the_shuffled_order(spark):
+    df = spark.range(700).withColumnRenamed("id", "k")
+    order = [r["k"] for r in batches.shuffle_rows(df, ["k"], 5).collect()]
+    out = {r["k"]: r["batch"] for r in batches.assign_batches(df, ["k"], 32, seed=5, group_rows=40).collect()}
+    assert [out[k] for k in order] == [i // 32 for i in range(700)]
+
+
+def test_numbered_groups_stay_bounded(spark):
+    """A hundred times the rows makes more ranges, not larger ones."""
+    for n in (1_000, 100_000):
+        bits = ((n - 1) // 200).bit_length()
+        keys = spark.range(n).select(F.shiftright(batches.seeded_hash(["id"], 1), batches.BITS - bits).alias("r"))
+        assert keys.groupBy("r").count().agg(F.max("count")).first()[0] <= 400
+        out = batches.assign_batches(spark.range(n), ["id"], 64, seed=1, group_rows=200)
+        assert out.groupBy("batch").count().where("count <> 64").count() <= 1
+
+
+def test_batches_of_no_rows(spark):
+    assert batches.assign_batches(spark.range(0), ["id"], 8).count() == 0
+
+
 def test_shuffles_are_seeded_permutations(spark):
     df = spark.range(200).withColumnRenamed("id", "k")
 
