@@ -29,7 +29,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its least node.
 
-    Order, direction and repeats of the edges do not matter; loops and edges with a null end are left out.
+    Nodes may be of any ordered type.  Order, direction and repeats of the edges do not matter; loops and edges with a null end are left out.
     """
     spark = edges.sparkSession
     greater, lesser = F.greatest("a", "b"), F.least("a", "b")
@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
         table.observe(seen, F.count(F.lit(1)).alias("n"), mark.alias("h")).write.parquet(path)
         now = (seen.get["n"], seen.get["h"])
-        table = spark.read.schema("a long, b long").parquet(path)
+        table = spark.read.schema(table.schema).parquet(path)
         if now == before or not now[0]:
             break
         before = now

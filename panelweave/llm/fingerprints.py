@@ -86,7 +86,7 @@ def fingerprint_documents(docs: DataFrame, spec: FingerprintSpec = FingerprintSp
     """Per row: doc_id, n_chars, digest of the edited text, both fingerprints, their likeness, the likeness to the
     next document, and the least id among the document's verified near copies."""
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    groups = stage(near_components(narrow, spec.near).filter("component_id <> doc_id").select("doc_id", "component_id").distinct(), "near-groups")
+    groups = stage(near_components(narrow, spec.near).filter("component_id <> doc_id").select("doc_id", "tie", "component_id").distinct(), "near-groups")
     heads = id_ranges(narrow, spec)
     last = len(heads) - 1
 
@@ -118,7 +118,7 @@ def fingerprint_documents(docs: DataFrame, spec: FingerprintSpec = FingerprintSp
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(place(batch.column(0).to_numpy()), pa.int64()), pa.array(np.zeros(n), pa.int32()), batch.column(0),
-                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), batch.column(1),
+                    batch.column(1), pa.nulls(n, pa.binary()), batch.column(2),
                 ],
                 names=["part", "beyond", "doc_id", "tie", "blob", "component_id"],
             )
@@ -126,7 +126,7 @@ def fingerprint_documents(docs: DataFrame, spec: FingerprintSpec = FingerprintSp
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         waiting: list[tuple[int, str, int | None]] = []
-        part, group = None, (None, None)
+        part, group = None, (None, None, None)
 
         def rows(more: bool) -> pa.RecordBatch:
             """All that wait but the last, which stays to precede what follows."""
@@ -145,17 +145,17 @@ def fingerprint_documents(docs: DataFrame, spec: FingerprintSpec = FingerprintSp
 
         size, closed = 0, False
         for batch in batches:
-            for at, beyond, id, _, blob, component in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, beyond, id, tie, blob, component in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != part:
                     if len(waiting) > 1:
                         yield rows(False)
                     waiting.clear()
                     part, size, closed = at, 0, False
                 if blob is None:
-                    group = (id, component)
+                    group = (id, tie, component)
                 elif not closed:
                     text = unpress.decompress(blob).decode()
-                    own = group[1] if group[0] == id else None if id == NO_ID else id
+                    own = group[2] if group[:2] == (id, tie) else None if id == NO_ID else id
                     waiting.append((id, text, own))
                     size += len(text)
                     closed = bool(beyond)
@@ -168,5 +168,5 @@ def fingerprint_documents(docs: DataFrame, spec: FingerprintSpec = FingerprintSp
     fields = "part long, beyond int, doc_id long, tie long, blob binary, component_id long"
     texts = narrow.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(deal, fields)
     dealt = texts.unionByName(groups.mapInArrow(deal_groups, fields)).repartition("part")
-    order = dealt.sortWithinPartitions("part", "beyond", F.desc("doc_id"), F.col("blob").isNotNull(), "tie")
+    order = dealt.sortWithinPartitions("part", "beyond", F.desc("doc_id"), "tie", F.col("blob").isNotNull())
     return order.mapInArrow(finish, OUT)

@@ -1,7 +1,8 @@
 """Verified near-copy links between documents: MinHash bands, b-bit estimates, exact Jaccard.
 
-1. Each text becomes its set of distinct word shingles; documents with equal sets are one class, represented by the
-   least id.  Classes of any size cost one row each from here on.
+1. Each text becomes its set of distinct word shingles; documents with equal sets are one class, whose node is the
+   least id and the set's digest, so that an id with several texts has a node for each.  Classes of any size cost one row
+   each from here on.
 2. Signatures of representatives are cut into bands.  Every band bucket links its members to its least member, and
    the components of these links are *clusters*: two documents that share any bucket are in one cluster.
 3. Inside a cluster the packed low bits of the minima are compared by bit counts; pairs whose corrected estimate is
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm import textarrays as T
@@ -83,13 +84,13 @@ def estimate(one: np.ndarray, many: np.ndarray, spec: NearSpec) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """Per row: doc_id, n_shingles, digest of the set (null when empty), band keys, packed low bits."""
+    """Per row: doc_id, tie (a hash of the text), n_shingles, digest of the set (null when empty), band keys, packed low bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = T.permutations(spec.minima, spec.salt)
         place = T.seeds(spec.bands * (spec.rows + 1), spec.salt + 2).reshape(spec.bands, -1)
         for batch in batches:
-            for lo, hi, values, first in text_sets(batch.column(1), spec):
+            for lo, hi, values, first in text_sets(batch.column(2), spec):
                 counts = np.diff(first)
                 least = T.minima(values, first, a, b)
                 bands = T.mix64(least.reshape(hi - lo, spec.bands, spec.rows).astype(np.uint64) + place[:, 1:])
@@ -98,30 +99,47 @@ def signatures(docs: DataFrame, spec: NearSpec) -> DataFrame:
                 raw = [values[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()),
-                        pa.array([hashlib.blake2b(r, digest_size=16).digest() if r else None for r in raw], pa.binary()),
+                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(counts, pa.int64()),
+                        pa.array([set_digest(r) if r else None for r in raw], pa.binary()),
                         pa.ListArray.from_arrays(np.arange(0, keys.size + 1, spec.bands, dtype=np.int32), keys.ravel()),
                         pa.array([r.tobytes() for r in low], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "bands", "bits"],
+                    names=["doc_id", "tie", "n_shingles", "digest", "bands", "bits"],
                 )
 
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits binary")
+    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("tie"), docs["text"].alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, tie long, n_shingles long, digest binary, bands array<long>, bits binary")
+
+
+def set_digest(packed_set: bytes) -> bytes:
+    return hashlib.blake2b(packed_set, digest_size=16).digest()
+
+
+def node_of(rep: Column, digest: Column) -> Column:
+    """Eight bytes that order like the id, then eight of the set's digest."""
+    ordered = F.lpad(F.hex(rep.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.unhex(ordered), F.substring(digest, 1, 8))
+
+
+def id_of(node: Column) -> Column:
+    unsigned = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)")
+    return (unsigned - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
 
 
 def sets_of(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """Per row: the columns of ``docs`` without the text, and the sorted set as packed 64-bit values."""
+    """Rows of ``docs`` whose text is the one of their ``node``: all columns but the text, and the sorted set as packed
+    64-bit values."""
     others = [c for c in docs.columns if c != "text"]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.select(others)
+            rest, nodes = batch.select(others), batch.column("node")
             for lo, hi, values, first in text_sets(batch.column(at), spec):
-                sets = pa.array([values[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                sets = [values[s:e].tobytes() for s, e in zip(first[:-1], first[1:], strict=True)]
+                own = pa.array([set_digest(v)[:8] == n.as_py()[8:] for v, n in zip(sets, nodes.slice(lo, hi - lo), strict=True)], pa.bool_())
                 part = rest.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, sets], names=[*others, "values"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.binary())], names=[*others, "values"]).filter(own)
 
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
     return docs.mapInArrow(run, f"{fields}, values binary")
@@ -161,34 +179,35 @@ def block_links(left: np.ndarray, sets: list[np.ndarray], low: np.ndarray, spec:
 
 
 def classes(sigs: DataFrame) -> DataFrame:
-    """One row per distinct set: digest, representative (least id), n_shingles, bands, bits."""
+    """One row per distinct set: digest, rep (least id), node, n_shingles, bands, bits."""
     first = F.min_by(F.struct("n_shingles", "bands", "bits"), "doc_id")
     full = sigs.filter("digest is not null and doc_id is not null")
-    return full.groupBy("digest").agg(F.min("doc_id").alias("rep"), first.alias("s")).select("digest", "rep", "s.*")
+    found = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), first.alias("s"))
+    return found.select("digest", "rep", node_of(F.col("rep"), F.col("digest")).alias("node"), "s.*")
 
 
 def verified_links(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFrame:
-    """Links (a, b) between representatives that connect exactly what the threshold connects."""
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-    star = keys.join(shared, "key").filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    """Links (a, b) between nodes that connect exactly what the threshold connects."""
+    keys = reps.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    star = keys.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = components(star)
-    members = clusters.join(reps, F.col("node") == F.col("rep")).select("rep", "component", "n_shingles", "bits")
+    members = clusters.join(reps, "node").select("rep", "node", "component", "n_shingles", "bits")
     members = stage(members, "members")
     sums = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     cut = F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sums.select("component", cut.alias("cut")), "component")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cut")).cast("int"))
 
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].alias("text"))
-    wanted = placed.select("rep", "component", "cut", "block", "bits")
+    wanted = placed.select("rep", "node", "component", "cut", "block", "bits")
     wanted = F.broadcast(wanted) if members.count() <= BROADCAST_MEMBERS else wanted
     sets = sets_of(texts.join(wanted, "rep"), spec)
     group = F.transform(
         F.sequence(F.lit(0), F.col("cut") - 1), lambda j: F.struct(F.least(j, "block").alias("x"), F.greatest(j, "block").alias("y"))
     )
-    dealt = sets.withColumn("g", F.explode(group)).select("component", "g.x", "g.y", (F.col("g.x") == F.col("block")).alias("left"), "rep", "bits", "values")
-    dealt = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "rep")
+    dealt = sets.withColumn("g", F.explode(group)).select("component", "g.x", "g.y", (F.col("g.x") == F.col("block")).alias("left"), "node", "bits", "values")
+    dealt = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
@@ -201,31 +220,39 @@ def verified_links(docs: DataFrame, reps: DataFrame, spec: NearSpec) -> DataFram
             sets = [np.frombuffer(held[i][2], np.uint64) for i in ids]
             found = block_links(left, sets, low, spec) if len(ids) > 1 else []
             a, b = [ids[x] for x, _ in found], [ids[y] for _, y in found]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
-            for component, x, y, left, rep, bits, values in zip(*columns, strict=True):
+            for component, x, y, left, node, bits, values in zip(*columns, strict=True):
                 if key != (component, x, y):
                     if held:
                         yield links()
                     held, key = {}, (component, x, y)
-                held[rep] = (left, bits, values)
+                held[node] = (left, bits, values)
         if held:
             yield links()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def near_components(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id.
+    """Per row of ``docs``: doc_id, tie (a hash of the text), digest, n_shingles, component_id, first.
 
     A null or wordless text has an empty set and is linked with nothing: its component is itself.  Rows that repeat a
-    doc_id are rows of one document and share its component when their texts do; a null doc_id is linked with nothing.
+    doc_id with one text are one document; with another text they are linked by that text, and may lie in another
+    component.  A null doc_id is linked with nothing.  ``first`` marks the rows whose set is the component's first, which stands
+    for it.
     """
     sigs = stage(signatures(docs, spec), "signatures")
     reps = stage(classes(sigs), "classes")
-    found = components(stage(verified_links(docs, reps, spec), "links"))
-    least = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("component_id"))
+    found = components(stage(verified_links(docs, reps, spec), "links")).withColumnRenamed("node", "_node")
+    least = reps.join(found, F.col("node") == F.col("_node"), "left").select(
+        F.col("digest").alias("_d"), F.coalesce(id_of(F.col("component")), "rep").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("first"),
+    )
     out = sigs.join(least, F.col("digest") == F.col("_d"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select(
+        "doc_id", "tie", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce("first", F.lit(True)).alias("first"),
+    )
