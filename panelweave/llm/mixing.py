@@ -10,9 +10,13 @@ The order is never made for a whole source.  Keys fall into buckets on a logarit
 than a small share of a source whatever the weights; bucket sizes are summed first, and only the one bucket per
 source in which the budget ends is sorted.
 
-Null text, and text without words, has size 0 and is taken 0 times; it may belong to any source.  Equal keys (repeated
-rows) are ordered by id and size, so identical rows are interchangeable and the result is the same in every run.  A
-source without words has target 0.  An empty table gives no rows.
+The sums of a source's buckets are added up in one window group: ``buckets_per_octave`` times the octaves that keys span,
+some hundred thousand rows at most, however many documents there are.  Rows that are equal in id and text count as one group
+there and in the sorted bucket, with their number, so even a source of copies is a few rows.
+
+Null text, and text without words, has size 0 and is taken 0 times; it may belong to any source.  A null id has the key
+of its text.  Equal keys (repeated rows) are ordered by id and size, so identical rows are interchangeable and the result
+is the same in every run.  A source without words has target 0.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,9 +52,10 @@ def quality(text: Column, size: Column) -> Column:
     return (size + 1) / (size + 1 + symbols)
 
 
-def uniform(seed: str, id: Column) -> Column:
-    """A number in (0, 1) from the first 48 bits of an MD5 digest; null ids share one."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id.cast("string"), F.lit("null"))))
+def uniform(seed: str, id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the first 48 bits of an MD5 digest of the id, or of the text where that is null."""
+    nameless = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id.cast("string"), nameless)))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -90,10 +95,11 @@ def with_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, mix: Mix, *kept: Column) -> DataFrame:
-    """doc_id, source, size, _key and the columns ``kept``."""
-    size = n_words(docs["text"])
-    sized = docs.select(docs["doc_id"], docs["source"], size.alias("size"), quality(docs["text"], size).alias("_quality"), *kept)
-    return sized.withColumn("_key", -F.log(uniform(mix.seed, F.col("doc_id"))) / F.col("_quality")).drop("_quality")
+    """doc_id, source, size, _tie (a hash of the text), _key and the columns ``kept``."""
+    size, text = n_words(docs["text"]), docs["text"]
+    key = -F.log(uniform(mix.seed, docs["doc_id"], text))
+    sized = docs.select(docs["doc_id"], docs["source"], size.alias("size"), F.xxhash64(text).alias("_tie"), quality(text, size).alias("_quality"), key.alias("_log"), *kept)
+    return sized.withColumn("_key", F.col("_log") / F.col("_quality")).drop("_quality", "_log")
 
 
 def _bucketed(keyed: DataFrame, mix: Mix) -> DataFrame:
@@ -121,33 +127,56 @@ def _whole(placed: DataFrame) -> DataFrame:
 
 
 def _edge(placed: DataFrame) -> DataFrame:
-    """Rows of the last buckets: taken once more while their middle word is within the words missing."""
-    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.filter(F.col("_bucket") == F.col("_end")).withColumn("_sum", F.sum("size").over(order))
-    middle = 2 * (F.col("_before") + F.col("_sum")) - F.col("size")
-    return edge.withColumn("copies", F.col("_epochs") + (middle <= 2 * F.col("_rest")).cast("int")).drop("_sum")
+    """The last buckets' groups of rows with one id and text: their number ``_rows``, and ``_more``, how many of them are
+    taken once more because their middle word is within the words missing."""
+    about = ["_before", "_rest", "_epochs", "source_size", "target"]
+    same = placed.filter(F.col("_bucket") == F.col("_end")).groupBy("source", "_key", "doc_id", "_tie", "size").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in about]
+    )
+    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    words = F.col("_rows") * F.col("size")
+    left = F.col("_rest") - (F.col("_before") + F.sum(words).over(order) - words)
+    fit = F.when(F.col("size") == 0, F.when(left >= 0, F.col("_rows")).otherwise(0)).otherwise(F.floor((2 * left + F.col("size")) / (2 * F.col("size"))))
+    return same.withColumn("_more", F.least(F.greatest(fit, F.lit(0)), F.col("_rows")).cast("long"))
+
+
+def _times(df: DataFrame, n: str, name: str) -> DataFrame:
+    """Every row ``n`` times, numbered from 1, in steps of short lists."""
+    step = 4096
+    blocks = df.filter(F.col(n) > 0).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {step}"))))
+    first = F.col("_block") * step + 1
+    return blocks.withColumn(name, F.explode(F.sequence(first, F.least(first + step - 1, F.col(n))))).drop("_block")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
     scored = _bucketed(stage(_keyed(docs, mix), "mix-keys"), mix)
     placed = with_sources(scored, _plan(scored, mix))
-    both = _whole(placed).unionByName(_edge(placed))
+    edge = _times(_edge(placed), "_rows", "_number").withColumn("copies", F.col("_epochs") + (F.col("_number") <= F.col("_more")).cast("int"))
+    names = ["doc_id", "size", "source_size", "target", "copies"]
+    both = _whole(placed).select(*names).unionByName(edge.select(*names))
     return both.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with the columns of ``docs``.
 
-    Documents without words are in no budget and left out.  Only rows of the last buckets are looked up by id; rows
-    that repeat an id and a size share one decision there.
+    Documents without words are in no budget and left out.  Only rows of the last buckets are looked up, by id and text; what
+    a group of such rows is given there is dealt out among its rows, which may differ in other columns.
     """
     scored = _bucketed(stage(_keyed(docs, mix), "mix-keys"), mix)
     plan = _plan(scored, mix)
-    edge = _edge(with_sources(scored, plan)).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    edge = stage(edge.withColumnsRenamed({"doc_id": "_id", "size": "_size"}), "mix-edge")
+    names = ["source", "doc_id", "_tie", "size"]
+    edge = stage(_edge(with_sources(scored, plan)).select(*[F.col(c).alias(f"_e{c}") for c in names], "_more"), "mix-edge")
     placed = with_sources(_bucketed(_keyed(docs, mix, F.struct(*[docs[c] for c in docs.columns]).alias("_row")), mix), plan)
-    at_end = placed.filter(F.col("_bucket") == F.col("_end"))
-    looked_up = at_end.join(edge, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))).drop("_id", "_size")
-    both = _whole(placed).unionByName(looked_up.select(*placed.columns, "copies")).filter("size > 0 and copies > 0")
-    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    at_end = placed.filter(F.col("_bucket") == F.col("_end")).withColumn("_look", F.xxhash64("_row"))
+    distinct = at_end.groupBy(*names, "_look").agg(F.count(F.lit(1)).alias("_rows"), F.first("_row").alias("_row"), F.first("_epochs").alias("_epochs"))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_e{c}"))
+    before = F.sum("_rows").over(Window.partitionBy(*names).orderBy("_look").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")
+    dealt = distinct.withColumn("_dealt", before).join(edge, same)
+    more = F.greatest(F.least(F.col("_more") - F.col("_dealt"), F.col("_rows")), F.lit(0))
+    looked_up = dealt.withColumn("copies", F.col("_epochs") * F.col("_rows") + more).select("_row", "size", "copies")
+    both = _whole(placed).select("_row", "size", "copies").unionByName(looked_up).filter("size > 0 and copies > 0")
+    return _times(both.withColumn("copies", F.col("copies").cast("long")), "copies", "_number").select("_row.*")
