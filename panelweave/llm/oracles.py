@@ -125,11 +125,12 @@ def _urls() -> str:
     fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then " for _, h, p in rules]
     rule = "case " + " ".join(f"{f}'{r[1]}{r[2]}'" for f, r in zip(fits, rules, strict=True)) + " end"
     verdict = "case " + " ".join(f"{f}'{r[0]}'" for f, r in zip(fits, rules, strict=True)) + " end"
+    names = ", ".join(quoted(x) for x in s.suffixes)
     rounds = "".join(
         f""",
-m{i + 1} as (select kind, host, sum(mass)::bigint mass from (
-  select f.kind, f.dest host, sum(m.mass // f.degree)::bigint * {s.passed} // 100 mass from m{i} m join flows f using (kind, host) group by f.kind, f.dest
-  union all select kind, host, mass * {100 - s.passed} // 100 from m0) group by kind, host)"""
+m{i + 1} as (select kind, host, sum(weight)::hugeint weight from (
+  select f.kind, f.dest host, sum(m.weight // f.degree)::hugeint * {s.passed} // 100 weight from m{i} m join flows f using (kind, host) group by f.kind, f.dest
+  union all select kind, host, weight * {100 - s.passed} // 100 from m0) group by kind, host)"""
         for i in range(s.rounds)
     )
     return rf"""
@@ -137,15 +138,17 @@ with u as (select page_id, html, {host.format("url")} host, coalesce(regexp_extr
 judged as (select *, {rule} rule, {verdict} v from u),
 hosts as (select host, case v when 'allow' then 'trust' when 'block' then 'distrust' end kind, count(*) pages from judged where host <> '' group by all),
 labels as (select distinct host, string_split(host, '.') l from hosts),
-up as (select distinct array_to_string(l[i:], '.') src, array_to_string(l[i + 1:], '.') dst from labels, unnest(range(1, len(l) - 1)) t(i)),
+up as (select * from (select distinct array_to_string(l[i:], '.') src, array_to_string(l[i + 1:], '.') dst from labels, unnest(range(1, len(l) - 1)) t(i))
+  where src not in ({names}) and dst not in ({names})),
 refs as (select host src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^\s"''<>]+)', 1)) href from judged),
 edges as (select src, dst from (select src, {host.format("href")} dst from refs union all select src, dst from up union all select dst, src from up) where src <> dst and src <> '' and dst <> '' group by src, dst),
 ways as (select 'trust' kind, src host, dst dest from edges union all select 'distrust', dst, src from edges),
 flows as (select *, count(*) over (partition by kind, host) degree from ways),
-m0 as (select kind, host, (pages::hugeint * {s.units} // sum(pages) over (partition by kind)::hugeint)::bigint mass from hosts where kind is not null){rounds},
-scores as (select host, coalesce(sum(mass) filter (kind = 'trust'), 0)::bigint trust, coalesce(sum(mass) filter (kind = 'distrust'), 0)::bigint distrust from m{s.rounds} group by host)
-select page_id, host, path, rule, coalesce(v, case when coalesce(distrust, 0) >= {s.least} and coalesce(distrust, 0) > coalesce(trust, 0) then 'block' else 'allow' end) verdict,
-  coalesce(trust, 0) trust, coalesce(distrust, 0) distrust from judged left join scores using (host)"""
+m0 as (select kind, host, pages::hugeint * {s.units} weight from hosts where kind is not null){rounds},
+seeds as (select coalesce(sum(pages) filter (kind = 'trust'), 1) trusted, coalesce(sum(pages) filter (kind = 'distrust'), 1) distrusted from hosts),
+scores as (select host, coalesce(max(weight) filter (kind = 'trust'), 0) t, coalesce(max(weight) filter (kind = 'distrust'), 0) d from m{s.rounds} group by host)
+select page_id, host, path, rule, coalesce(v, case when coalesce(d, 0) >= {s.least} and coalesce(d, 0)::double * trusted::double > coalesce(t, 0)::double * distrusted::double then 'block' else 'allow' end) verdict,
+  coalesce(t, 0)::double / {s.units}::double trust, coalesce(d, 0)::double / {s.units}::double distrust from judged left join scores using (host) cross join seeds"""
 
 
 LLM_ORACLES["op7_url_filters"] = _urls()
@@ -156,8 +159,8 @@ def _mix() -> str:
     words = WORDS.format("coalesce(text, '')")
     weight = "case " + " ".join(f"when (row_number() over (order by source nulls last) - 1) % {len(m.weights)} = {i} then {w}" for i, w in enumerate(m.weights)) + " end"
     return rf"""
-with sized as (select doc_id, source, len({words})::bigint size, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) symbols from documents),
-keyed as (select doc_id, source, size, -ln((('0x' || substr(md5('{m.seed}:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint + 0.5::double) / 281474976710656::double)
+with sized as (select doc_id, source, coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, ''))) name, len({words})::bigint size, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) symbols from documents),
+keyed as (select doc_id, source, size, -ln((('0x' || substr(md5('{m.seed}:' || name), 1, 12))::bigint + 0.5::double) / 281474976710656::double)
   / ((size + 1)::double / (size + 1 + symbols)) key from sized),
 sources as (select source, sum(size)::bigint source_size from sized group by source),
 weighed as (select *, {weight} weight from sources),
