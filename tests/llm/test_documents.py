@@ -260,7 +260,7 @@ def test_kept_text_of_repeats(spark):
     passage = " ".join(str(rng.random()) for _ in range(6))
     docs = spark.createDataFrame([(1, "head " + passage), (2, passage + " tail"), (3, "tail " + passage)], "doc_id long, text string")
     out = {r.doc_id: r.kept for r in suffix_dedup.deduplicate(docs, with_text=True).collect()}
-    assert out == {1: "head " + passage, 2: " tail", 3: "tail"} or out[3] in ("tail", "tail ")
+    assert out == {1: "head " + passage, 2: " tail", 3: "tail"}
 
 
 def test_mix_meets_targets(docs, rows):
@@ -290,8 +290,8 @@ def test_mix_keeps_the_columns_and_reruns_agree(docs):
     one, other = (mixing.mixed_documents(df) for df in (docs, docs.repartition(5)))
     assert one.schema == docs.schema
     assert Counter(map(tuple, one.collect())) == Counter(map(tuple, other.collect()))
-    taken = {r.doc_id: r.copies for r in mixing.mix_documents(docs.dropDuplicates(["doc_id", "text"])).collect()}
-    assert taken
+    planned = mixing.mix_documents(docs).filter("size > 0").groupBy("doc_id").sum("copies").collect()
+    assert {r[0]: r[1] for r in one.groupBy("doc_id").count().collect()} == {r[0]: r[1] for r in planned if r[1]}
 
 
 @pytest.mark.parametrize("limit", [0])

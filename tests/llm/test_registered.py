@@ -17,7 +17,7 @@ from tests.llm import brute
 @pytest.fixture(scope="module")
 def con(sf):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{os.path.join(sf, t)}.parquet'")
     return con
 
@@ -28,8 +28,8 @@ def texts(con):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in LLM_QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
-    assert set(LLM_QUERIES) - set(LLM_ORACLES) == {"op2_lm_scoring", "op4_fingerprints", "op5_sentencepiece", "pipeline"}
+    assert {n.split("_")[0] for n in LLM_QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
+    assert set(LLM_QUERIES) - set(LLM_ORACLES) == {"op2_lm_scoring", "op4_fingerprints", "op5_sentencepiece", "op12_language_id", "pipeline"}
 
 
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
