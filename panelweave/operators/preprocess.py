@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.columns import index_to_month, month_to_index
 from panelweave.operators import scaling, vocab
+from panelweave.operators.joins import attach
 from panelweave.sources.files import write_table
 from panelweave.sources.staging import stage
 from panelweave.spec import PanelSpec
@@ -108,6 +109,24 @@ class PanelPreprocessor:
         )
         return declared.join(fitted, ["kind", "column"], "left_anti")
 
+    def uncovered(self, df: DataFrame, state: PreprocessorState) -> DataFrame:
+        """What ``df`` needs and the state lacks: kind, column, key (scope or value) and the rows that need it.
+
+        Empty when ``transform`` can take every row.  A null entity needs a state of its own; a null label is never covered.
+        """
+        scope = F.col(self._by).cast("string") if self._by else F.lit(scaling.EVERYTHING)
+        names = lambda columns: F.explode(F.array(*[F.lit(c) for c in columns]).cast("array<string>")).alias("column")
+        scopes = df.groupBy(scope.alias("key")).agg(F.count(F.lit(1)).alias("rows")).select("key", "rows", names(self.scale))
+        held = state.scalers.select("column", F.col("scope_key").alias("key"))
+        out = attach(scopes, held, ["column", "key"], "left_anti", null_safe=True).select(F.lit("scaler").alias("kind"), "column", "key", "rows")
+        if self.encode:
+            cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("key")) for c in self.encode]))
+            values = df.select(cells).groupBy("column", "key").agg(F.count(F.lit(1)).alias("rows"))
+            held = state.vocabularies.select("column", F.col("value").alias("key"))
+            lacking = attach(values, held, ["column", "key"], "left_anti")
+            out = out.unionByName(lacking.select(F.lit("vocabulary").alias("kind"), "column", "key", "rows"))
+        return out
+
     def is_fitted(self, state: PreprocessorState | None) -> bool:
         if state is None:
             return False
@@ -119,14 +138,20 @@ class PanelPreprocessor:
             return False
 
 
+# Input roles of the meter panel.
+METER_SCALED = ("year", "y")
+METER_ENCODED = ("id", "month", "day", "hour", "day_of_week")
+METER_COLUMNS = ("id", "ts", "year", "month", "day", "day_of_week", "hour", "y")
+
+
 def electricity_preprocessor(scope: str = "group") -> PanelPreprocessor:
     """Hourly meter panel: year and target scaled per meter, id and calendar columns encoded."""
     return PanelPreprocessor(
         PanelSpec(),
-        scale=("year", "y"),
-        encode=("id", "month", "day", "hour", "day_of_week"),
+        scale=METER_SCALED,
+        encode=METER_ENCODED,
         scope=scope,
-        output=("id", "ts", "year", "month", "day", "day_of_week", "hour", "y"),
+        output=METER_COLUMNS,
     )
 
 

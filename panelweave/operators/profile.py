@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelweave.functions.timegrid import slot, time_type
+from panelweave.functions.timegrid import epoch_seconds, slot, time_type
 from panelweave.operators.series import PIECE, with_piece
 from panelweave.spec import PanelSpec
 
@@ -43,12 +44,18 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe_time(df: DataFrame, ts: str) -> DataFrame:
-    x = F.col(ts)
+    """One row for a time column: count, nulls, minimum, maximum, and the mean as a time, in whole seconds."""
+    x, dtype = F.col(ts), time_type(df, ts)
+    seconds = epoch_seconds(x, dtype)
+    mean = F.floor(F.avg(seconds)).cast("bigint")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    at = F.timestamp_seconds(mean) if isinstance(dtype, T.TimestampType) else epoch + F.make_dt_interval(secs=mean)
     return df.agg(
         F.count(x).alias("count"),
         F.count_if(x.isNull()).alias("null_count"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
+        at.alias("mean"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.timegrid import date_parts
+from panelweave.functions.timegrid import date_parts, slot, time_type
 from panelweave.operators.series import fill_gaps
 from panelweave.spec import PanelSpec
 
@@ -15,8 +15,20 @@ from panelweave.spec import PanelSpec
 def resample_mean(df: DataFrame, spec: PanelSpec, every: str | None = None) -> DataFrame:
     """Tumbling means per entity, labelled by the left edge; empty windows are not emitted.
 
+    Months have no fixed length: there the windows are runs of calendar months, counted from January of year 0, so that three
+    months are a quarter; their edge has the type of the time column.  Rows without a time are in no window.
     Means are combined map-side, so a hot entity costs one partial row per window and task.
     """
+    grid = spec.with_(step=every) if every else spec
+    if grid.is_monthly:
+        if df.isStreaming:
+            raise ValueError("a stream closes windows of a fixed length only: resample it by days, and the days by months")
+        dtype = time_type(df, spec.ts)
+        timed = df.where(F.col(spec.ts).isNotNull())
+        means = timed.groupBy(spec.id, slot(F.col(spec.ts), dtype, grid).cast("bigint").alias("__slot")).agg(F.avg(spec.target).alias(spec.target))
+        month = F.col("__slot") * F.lit(grid.step_count)
+        edge = F.make_date((F.floor(month / 12)).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+        return means.select(spec.id, edge.cast(dtype).alias(spec.ts), spec.target)
     return (
         df.groupBy(F.col(spec.id), F.window(spec.ts, every or spec.step).alias("__window"))
         .agg(F.avg(spec.target).alias(spec.target))

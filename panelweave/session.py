@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "panelweave", cpus: int | str | None = None) -> SparkSession:
-    """A ``local[n]`` session for tests and benchmarks."""
+    """A ``local[n]`` session for tests and benchmarks; its staged tables lie in a folder of their own."""
     n = cpus or os.environ.get("BENCH_CPUS") or "8"
     spark = (
         SparkSession.builder.master(f"local[{n}]")
@@ -21,6 +22,7 @@ def local_session(app: str = "panelweave", cpus: int | str | None = None) -> Spa
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="panelweave-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -69,14 +69,21 @@ def read_decimal_comma(
 
 
 def header_names(spark: SparkSession, path: str, sep: str = ";") -> list[str]:
-    """Value column names of the wide text files at ``path``; files with different headers raise.
+    """Value column names of the wide text files at ``path``; files with different headers, or without one, raise.
 
-    A header line is one with a blank name over the time column.
+    A header line is one with a blank name over the time column.  A file that has such a line only further down fails when
+    it is read, since the line has no time.
     """
     blank = F.regexp_replace(F.substring_index("value", sep, 1), r'["\s]', "") == ""
-    lines = [r[0] for r in spark.read.text(path).where(blank & F.col("value").contains(sep)).distinct().limit(2).collect()]
+    is_header = blank & F.col("value").contains(sep)
+    files = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.collect_set(F.when(is_header, F.col("value"))).alias("headers"))
+    found = files.groupBy("headers").agg(F.min("file").alias("file")).limit(2).collect()
+    lines = sorted({line for r in found for line in r["headers"]})
     if len(lines) > 1:
         raise ValueError(f"files with different headers: {lines[0]!r} and {lines[1]!r}")
+    bare = [r["file"] for r in found if not r["headers"]]
+    if bare:
+        raise ValueError(f"a file without a header: {bare[0]}")
     names = lines[0].split(sep)[1:] if lines else []
     return [n.strip().strip('"') for n in names]
 

@@ -34,11 +34,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/panelweave/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return the stored table."""
+def stage(df: DataFrame, label: str = "table", codec: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the stored table; ``codec`` replaces the session's compression."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,6 +49,22 @@ def stage_counted(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
     return stored, seen.get["rows"]
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete the folders of tables from ``stage`` that nothing reads any more; folders of others are left alone."""
+    for df in stored:
+        spark, own = df.sparkSession, f"{shared_dir(df.sparkSession)}/panelweave/".split(":", 1)[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if own in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this library has staged in the session's shared folder; call it when their results are read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/panelweave")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a writer has committed the table at ``path``."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")

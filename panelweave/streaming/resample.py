@@ -23,10 +23,16 @@ def resample_stream(
     return resample_mean(stream.withWatermark(spec.ts, late), spec, every)
 
 
-def run_available(stream: DataFrame, label: str = "stream") -> DataFrame:
-    """Process everything the source holds now in append mode and return the emitted rows."""
+def run_available(stream: DataFrame, label: str = "stream", folder: str | None = None) -> DataFrame:
+    """Process everything the source holds now in append mode and return all rows emitted so far.
+
+    With a ``folder`` the job can be stopped and run again: the checkpoint in it holds the source's position and the open
+    windows, so a later run goes on where the last one ended and emits every window once.  Rows behind the
+    watermark that the earlier runs reached are dropped.
+    """
     spark = stream.sparkSession
-    out, marks = new_path(spark, label), new_path(spark, f"{label}-checkpoint")
+    base = folder.rstrip("/") if folder else new_path(spark, label)
+    out, marks = f"{base}/rows", f"{base}/checkpoint"
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")

@@ -301,6 +301,19 @@ DESCRIBE = """select '{c}' as "column", count({c}) as count, count(*) - count({c
               round(min({c}), 6) as min, round(max({c}), 6) as max from lineitem"""
 check("describe", [],
       " union all ".join(DESCRIBE.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_tax")))
+check(
+    "describe_time", [],
+    """select count(ts) as count, count(*) - count(ts) as null_count, min(ts) as min, max(ts) as max,
+              timestamp '1970-01-01' + to_seconds(floor(avg(floor(epoch(ts))))::bigint) as mean from events""",
+)
+check(
+    "resample_monthly", [],
+    " union all ".join(
+        f"""select '{step}' as step, o_orderpriority as id, date_trunc('{step}', o_orderdate)::date as ts, round(avg(o_totalprice), 4) as y
+            from orders group by all"""
+        for step in ("month", "quarter")
+    ),
+)
 LABEL = "case when ts < timestamp '2024-01-24' then 'training' else 'validation' end as split"
 check("row_count", ["readings"], f"select {LABEL}, count(*) as rows from readings group by 1")
 check("batch_mean", [],
@@ -458,10 +471,21 @@ check(
     """select o_orderkey, cast(month(o_orderdate) - 1 as integer) as month_index,
               cast(month(o_orderdate) as integer) as month from orders""",
 )
+FITTED_ROWS = "hourly_parts where ts < timestamp '2024-01-10' and id % 4 <> 0"
 check(
-    "is_fitted", [],
-    """select 'full' as state, true as fitted union all select 'partial', false
-       union all select 'none', false""",
+    "is_fitted", PARTS,
+    " union all ".join(
+        [
+            f"""select 'scaler' as kind, '{c}' as "column", id::varchar as key, count(*) as rows from hourly_parts
+                where id not in (select id from {FITTED_ROWS}) group by id"""
+            for c in ("year", "y")
+        ]
+        + [
+            f"""select 'vocabulary' as kind, '{c}' as "column", {c}::varchar as key, count(*) as rows from hourly_parts
+                where {c} not in (select {c} from {FITTED_ROWS}) group by {c}"""
+            for c in ("id", "month", "day", "hour", "day_of_week")
+        ]
+    ),
 )
 
 # ---- forecasts and scores ----------------------------------------------------------------------
@@ -694,3 +718,5 @@ check(
     f"""select id, ts, {r6('y')} from hourly
         where ts + interval 1 hour <= (select max(ts) - interval 1 hour from events)""",
 )
+check("resample_stream_restarted", ["hourly"], f"""select id, ts, {r6('y')} from hourly
+        where ts + interval 1 hour <= (select max(ts) - interval 1 hour from events)""")

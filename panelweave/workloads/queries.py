@@ -321,6 +321,18 @@ def resample_mean(spark, sf):
     return S.hourly(spark, sf).select("id", "ts", r6("y"))
 
 
+@query
+def resample_monthly(spark, sf):
+    """Means per calendar month and per quarter."""
+    orders = S.table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("id"), F.col("o_orderdate").cast("date").alias("ts"), F.col("o_totalprice").cast("double").alias("y")
+    )
+    spec = PanelSpec(step="1 month")
+    months = resample.resample_mean(orders, spec).withColumn("step", F.lit("month"))
+    quarters = resample.resample_mean(orders, spec, "3 months").withColumn("step", F.lit("quarter"))
+    return months.unionByName(quarters).select("step", "id", "ts", F.round("y", 4).alias("y"))
+
+
 @query
 def group_apply(spark, sf):
     """A pandas function that scales with the entity's own moments; pieces of one day."""
@@ -377,6 +389,11 @@ def describe(spark, sf):
     return table.select("column", "count", "null_count", r6("mean"), r6("std"), r6("min"), r6("max"))
 
 
+@query
+def describe_time(spark, sf):
+    return profile.describe_time(S.table(spark, sf, "events"), "ts")
+
+
 @query
 def row_count(spark, sf):
     return profile.row_count(splits.split_label(S.readings(spark, sf), SPLIT), ["split"])
@@ -663,14 +680,11 @@ def retail_transform(spark, sf):
 
 @query
 def is_fitted(spark, sf):
-    panel = _panel(spark, sf)
+    """What a state fitted on early rows of three quarters of the meters lacks for the whole panel."""
+    panel = staging.stage(_panel(spark, sf), "panel")
     prep = electricity_preprocessor()
-    state = prep.fit(panel)
-    partial = PreprocessorState(state.scalers.where("column <> 'year'"), state.vocabularies)
-    return spark.createDataFrame(
-        [("full", prep.is_fitted(state)), ("partial", prep.is_fitted(partial)), ("none", prep.is_fitted(None))],
-        "state string, fitted boolean",
-    )
+    state = prep.fit(panel.where((F.col("ts") < F.lit("2024-01-10").cast(panel.schema["ts"].dataType)) & (F.col("id") % 4 != 0)))
+    return prep.uncovered(panel, state)
 
 
 # ---- forecasts and scores ----------------------------------------------------------------------
@@ -960,3 +974,22 @@ def resample_stream(spark, sf):
     )
     out = streaming.run_available(streaming.resample_stream(stream, S.HOURLY))
     return out.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("y"))
+
+
+@query
+def resample_stream_restarted(spark, sf):
+    """The same stream in two runs with a stop between them; the second goes on from the checkpoint."""
+    events = S.table(spark, sf, "events").select(F.col("user_id").alias("id"), "ts", F.col("value").alias("y"))
+    base = staging.new_path(spark, "restarted")
+    source = f"{base}/source"
+
+    def run():
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        return streaming.run_available(streaming.resample_stream(stream, S.HOURLY), folder=base)
+
+    early, late = splits.split_two(events, SPLIT)
+    early.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(source)
+    run()
+    late.write.mode("append").parquet(source)
+    out = run()
+    return out.select("id", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("y"))
