@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import textarrays as T
-from panelweave.sources.staging import stage
+from panelweave.sources.staging import discard, stage
 
 LAST_ID = (1 << 63) - 1
+#: Symbols of 258 kinds that fit a 63-bit number.
+PACKED = 7
 _STEP = T.seeds(4, 51) | np.uint64(1)
 
 
@@ -217,22 +219,41 @@ def segments(texts: DataFrame, spec: RepeatSpec) -> DataFrame:
 
 
 def suffix_ranks(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``text`` (symbols below 512) ordered by at least ``depth`` symbols: order and its inverse."""
+    """Suffixes of ``text`` (symbols up to 256) ordered by at least ``depth`` symbols: order and its inverse.
+
+    The first sort packs seven symbols into a number.  Each further one triples the depth (doubles it in blocks too long
+    for three ranks in a number) and sorts only the suffixes that still have equals, inside the places that these hold.
+    Suffixes that agree in ``depth`` symbols may stand in any order.
+    """
     n = len(text)
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(4, np.int64)])
-    rank = ((padded[:n] * 513 + padded[1 : n + 1]) * 513 + padded[2 : n + 2]) * 513 + padded[3 : n + 3]
-    step = 4
+    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(PACKED, np.int64)])
+    rank = padded[:n].copy()
+    for i in range(1, PACKED):
+        rank *= 258
+        rank += padded[i : n + i]
+    order = np.argsort(rank)
+    new = np.ones(n, bool)
+    new[1:] = rank[order[1:]] != rank[order[:-1]]
+    step = PACKED
     while True:
-        order = np.argsort(rank, kind="stable")
-        new = np.concatenate([[0], np.cumsum(rank[order][1:] != rank[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if step >= depth or new[-1] == n - 1:
+        # a suffix's rank is the first place of its equals
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, n))
+        rank[order] = np.repeat(head, size)
+        tied = np.flatnonzero(np.repeat(size > 1, size))
+        if step >= depth or not len(tied):
             break
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1
-        rank = rank * (n + 1) + after
-        step *= 2
+        at = order[tied]
+        key, times = rank[at], 3 if (n + 1) ** 3 < 1 << 63 else 2
+        for i in range(1, times):
+            key = key * (n + 1)
+            inside = np.flatnonzero(at + i * step < n)
+            key[inside] += rank[at[inside] + i * step] + 1
+        by = np.argsort(key)
+        order[tied] = at[by]
+        key = key[by]
+        new[tied[1:]] = key[1:] != key[:-1]
+        step *= times
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return order, place
@@ -248,20 +269,21 @@ def repeat_classes(text: np.ndarray, length: int) -> np.ndarray:
     """
     n = len(text)
     order, place = suffix_ranks(text, length + 1)
-    symbol = text[order - 1].astype(np.int64)
-    back = place[order - 1]
-    border = np.full(n + 1, -1, np.int64)
+    small = np.int32 if n < 1 << 21 else np.int64
+    symbol = text[order - 1].astype(small)
+    back = place[order - 1].astype(small)
+    border = np.full(n + 1, -1, small)
     border[[0, n]] = 0
-    low, high = np.array([0]), np.array([n])
+    low, high = np.zeros(1, small), np.full(1, n, small)
     for level in range(length):
         size = high - low
-        first = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(low - first[:-1], size) + np.arange(first[-1])
-        key = np.repeat(np.arange(len(low)) * 512, size) + symbol[at]
+        first = np.concatenate([[0], np.cumsum(size)]).astype(small)
+        at = np.repeat(low - first[:-1], size) + np.arange(first[-1], dtype=small)
+        key = np.repeat(np.arange(len(low), dtype=small) * small(512), size) + symbol[at]
         by = np.argsort(key, kind="stable")
         key, to = key[by], back[at[by]]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        low, high = np.minimum.reduceat(to, head), np.maximum.reduceat(to, head) + 1
+        low, high = np.minimum.reduceat(to, head), np.maximum.reduceat(to, head) + small(1)
         new = border[high] < 0
         low, high = low[new], high[new]
         border[high] = level
@@ -371,7 +393,7 @@ def release(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder, and the shuffle files of the phase released."""
-    spark, out = df.sparkSession, stage(df, name)
+    spark, out = df.sparkSession, stage(df, name, codec="zstd")
     del df
     release(spark)
     return out
@@ -395,6 +417,7 @@ def deduplicate(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), with_text: boo
 
     shared = stored(shared_anchors(leaders, size, spec).groupBy("m").agg(F.collect_set("anchor").alias("anchors")), "repeat-anchors")
     members = stored(segments(only(leaders, shared.select("m"), spec.broadcast_ids).join(shared, "m"), spec), "repeat-segments")
+    discard(shared)
 
     unique = members.groupBy("seg").agg(F.min("m").alias("least"), F.first("anchor").alias("group"), F.max("bytes").alias("bytes"))
     unique = stored(unique.withColumn("offset", F.lit(0).cast("long")), "repeat-unique")
