@@ -13,7 +13,9 @@ the class and loses everything (when it has ``length`` bytes at all).  Between c
    borders without a value lie inside runs of equal windows.  The least id of each run decides who keeps the string.
 4. Covered windows go back to their documents, where runs are merged and removed.
 
-An anchor with very many different segments is cut into single windows dealt by their own hash, so a block is bounded.
+Segments are cut to ``longest`` windows, and an anchor whose segments have more than ``hot_bytes`` together is cut into
+single windows dealt by their own hash, so a block has at most ``block`` bytes and one anchor's.
+An id with several texts (null ids are one) is asked text by text which anchors it shares, so its list is not handed to each.
 
 Null text is the empty text, shorter texts lose nothing.  Equal ids are not smaller than each other, so rows with one
 doc_id never cost each other bytes; a null doc_id is after all others.  An empty table gives no rows.
@@ -50,7 +52,8 @@ class RepeatSpec:
     flush: int = 1_000_000
     range_bytes: int = 12_000_000
     block: int = 600_000
-    hot: int = 20_000
+    hot_bytes: int = 600_000
+    longest: int = 5_000
     broadcast_ids: int = 1_000_000
 
 
@@ -172,6 +175,23 @@ def shared_anchors(classes: DataFrame, size: int, spec: RepeatSpec) -> DataFrame
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(tell, "m long, anchor long")
 
 
+def anchors_by_text(texts: DataFrame, shared: DataFrame, spec: RepeatSpec) -> DataFrame:
+    """(m, u, anchors): of every text (m, u, text) those of its anchors that ``shared`` (m, anchor) names for its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, u = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = T.utf8(batch.column(2))
+            for lo, hi in T.chunks(offsets):
+                at = offsets[lo : hi + 1]
+                anchor, row, _, _ = runs(data[at[0] : at[-1]], at - at[0], spec)
+                columns = [m[lo:hi][row], u[lo:hi][row], anchor.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["m", "u", "anchor"])
+
+    own = texts.select("m", "u", "text").mapInArrow(run, "m long, u long, anchor long")
+    return own.join(shared.distinct(), ["m", "anchor"], "left_semi").groupBy("m", "u").agg(F.collect_set("anchor").alias("anchors"))
+
+
 # ---- segments ----------------------------------------------------------------------------------
 
 
@@ -202,6 +222,11 @@ def segments(texts: DataFrame, spec: RepeatSpec) -> DataFrame:
                 anchor, row, start, n = anchor[hit], row[hit], start[hit], n[hit]
                 if not len(anchor):
                     continue
+                pieces = -(-n // spec.longest)
+                if pieces.max() > 1:
+                    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    anchor, row, start, n = (np.repeat(x, pieces) for x in (anchor, row, start, n))
+                    start, n = start + nth * spec.longest, np.minimum(n - nth * spec.longest, spec.longest)
                 begin, size = at[row] + start, n + spec.length - 1
                 spans = T.Words(part, begin, begin + size, row, at)
                 seg = T.mix64(T.hashes(spans) + size.astype(np.uint64) * _STEP[3])
@@ -415,14 +440,26 @@ def deduplicate(docs: DataFrame, spec: RepeatSpec = RepeatSpec(), with_text: boo
     leaders = rows.select("m", "u", "text").join(F.broadcast(again) if few else again, ["m", "u"], "left_anti")
     size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
 
-    shared = stored(shared_anchors(leaders, size, spec).groupBy("m").agg(F.collect_set("anchor").alias("anchors")), "repeat-anchors")
-    members = stored(segments(only(leaders, shared.select("m"), spec.broadcast_ids).join(shared, "m"), spec), "repeat-segments")
+    several = stage(narrow.groupBy("m").agg(F.min("u").alias("a"), F.max("u").alias("b")).filter("a <> b").select("m"), "repeat-several")
+    pairs = shared_anchors(leaders, size, spec)
+    if several.isEmpty():
+        shared = stored(pairs.groupBy("m").agg(F.collect_set("anchor").alias("anchors")), "repeat-anchors")
+        asked = only(leaders, shared.select("m"), spec.broadcast_ids).join(shared, "m")
+    else:
+        pairs = stored(pairs, "repeat-pairs")
+        apart = F.broadcast(several) if several.count() <= spec.broadcast_ids else several
+        lists = pairs.join(apart, "m", "left_anti").groupBy("m").agg(F.collect_set("anchor").alias("anchors"))
+        by_text = anchors_by_text(leaders.join(apart, "m", "left_semi"), pairs.join(apart, "m", "left_semi"), spec)
+        shared = stored(lists.select("m", F.lit(None).cast("long").alias("u"), "anchors").unionByName(by_text), "repeat-anchors")
+        plain = only(leaders, shared.filter("u is null").select("m"), spec.broadcast_ids)
+        asked = plain.join(shared.filter("u is null").drop("u"), "m").unionByName(leaders.join(shared.filter("u is not null"), ["m", "u"]))
+    members = stored(segments(asked, spec), "repeat-segments")
     discard(shared)
 
     unique = members.groupBy("seg").agg(F.min("m").alias("least"), F.first("anchor").alias("group"), F.max("bytes").alias("bytes"))
     unique = stored(unique.withColumn("offset", F.lit(0).cast("long")), "repeat-unique")
     least = unique.select("seg", "least")
-    crowded = unique.groupBy("group").count().filter(F.col("count") > spec.hot).select("group")
+    crowded = unique.groupBy("group").agg(F.sum(F.octet_length("bytes")).alias("b")).filter(F.col("b") > spec.hot_bytes).select("group")
     if not crowded.isEmpty():
         crowded = stage(crowded, "repeat-crowded")
         apart = single_windows(unique.join(crowded, "group", "left_semi"), spec)

@@ -233,17 +233,59 @@ def test_whole_secrets_are_found_and_redacted(spark):
     assert dict(con.execute(f"select doc_id, spans from ({LLM_ORACLES['op6_secret_scans']})").fetchall()) == want
 
 
-@pytest.mark.parametrize("spec", [suffix_dedup.RepeatSpec(), suffix_dedup.RepeatSpec(flush=2_000, range_bytes=10_000, block=3_000, hot=2, broadcast_ids=0)])
+@pytest.mark.parametrize("spec", [suffix_dedup.RepeatSpec(), suffix_dedup.RepeatSpec(flush=2_000, range_bytes=10_000, block=3_000, hot_bytes=200, longest=40, broadcast_ids=0)])
 def test_repeats(docs, rows, spec):
     rng = random.Random(8)
     passage = " ".join(str(rng.random()) for _ in range(9))
-    short = [(r[0], r[1]) for r in rows if len(r[1] or "") < 5_000]
+    short = [(r[0], r[1]) for r in rows]
     short += [(1000 + i, f"{i} intro {i * i} " + passage[i % 3 : 120 + 5 * i] + f" outro {i}") for i in range(9)]
     some = docs.sparkSession.createDataFrame(short, "doc_id long, text string").withColumn("m", F.lit("x"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert got(suffix_dedup.deduplicate(some, spec), *names) == Counter((r[0], *w) for r, w in zip(short, brute.repeats(short)))
 
 
+@pytest.mark.parametrize("spec", [suffix_dedup.RepeatSpec(), suffix_dedup.RepeatSpec(block=2_000, hot_bytes=1_000, longest=60)])
+def test_repeats_of_crowded_and_null_ids(spark, spec):
+    """Ids with many texts, copies with unlike tails, and periodic texts much longer than a block."""
+    rng = random.Random(9)
+    passages = [" ".join(str(rng.random()) for _ in range(5)) for _ in range(40)]
+    rows = [(i, f"head {i} {p} tail {i * 7}") for i, p in enumerate(passages)]
+    rows += [(None, f"{rng.random()} {p} {rng.random()}") for p in passages]
+    rows += [(500, f"{rng.random()} {rng.choice(passages)} {rng.random()}") for _ in range(30)]
+    rows += [(600 + i, passages[0] * 3 + f" {rng.random()} end") for i in range(60)]
+    rows += [(700, "ab" * 9_000), (701, "ba" * 4_000 + "c"), (702, "abc" * 3_000), (None, "ab" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got(suffix_dedup.deduplicate(df, spec), *names) == Counter((r[0], *w) for r, w in zip(rows, brute.repeats(rows)))
+
+
+def test_lists_of_null_ids_stay_short(spark):
+    """Every text is asked for its own anchors: the lists together grow with the rows, not with their square."""
+    rng = random.Random(3)
+    spec = suffix_dedup.RepeatSpec()
+    sizes = []
+    for n in (10, 40):
+        passages = [" ".join(str(rng.random()) for _ in range(6)) for _ in range(n)]
+        texts = [(suffix_dedup.LAST_ID, i, f"a {p} b") for i, p in enumerate(passages)]
+        rows = [(i, i, f"c {p} d") for i, p in enumerate(passages)] + texts
+        df = spark.createDataFrame(rows, "m long, u long, text string")
+        pairs = suffix_dedup.shared_anchors(df, 10_000, spec).filter(F.col("m") == suffix_dedup.LAST_ID)
+        lists = suffix_dedup.anchors_by_text(df.filter(F.col("m") == suffix_dedup.LAST_ID), pairs, spec).collect()
+        assert len(lists) == n
+        sizes.append(max(len(r.anchors) for r in lists))
+    assert sizes[1] <= 2 * sizes[0]
+
+
+def test_segments_are_cut(spark):
+    spec = suffix_dedup.RepeatSpec(longest=100)
+    text = "ab" * 5_000
+    anchors = suffix_dedup.runs(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), spec)[0]
+    df = spark.createDataFrame([(1, 1, text, [int(a) for a in np.unique(anchors).view(np.int64)])], "m long, u long, text string, anchors array<long>")
+    out = suffix_dedup.segments(df, spec).collect()
+    assert sum(r.n for r in out) == len(text) - 49 and max(r.n for r in out) == 100 and max(len(r.bytes) for r in out) <= 149
+    assert sum(bool(r.bytes) for r in out) <= 4
+
+
 def test_repeat_classes_are_equal_strings():
     rng = random.Random(2)
     for _ in range(60):
