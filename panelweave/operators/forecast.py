@@ -63,11 +63,12 @@ class InputRoles:
 
     Static inputs are read at the first step, known ones at the forecast step and as encoder mean,
     observed ones in the encoder only (last value and mean).  ``*_categorical`` map a column of
-    codes to its number of categories.  The target's own history is an input only with
-    ``use_target_history``.
+    codes to its number of categories.  The targets' own history is an input only with
+    ``use_target_history``.  ``more_targets`` are forecast beside ``target`` from the same inputs.
     """
 
     target: str = "y"
+    more_targets: Sequence[str] = ()
     static_real: Sequence[str] = ()
     static_categorical: Mapping[str, int] = field(default_factory=dict)
     known_real: Sequence[str] = ()
@@ -75,12 +76,17 @@ class InputRoles:
     observed: Sequence[str] = ()
     use_target_history: bool = False
 
+    @property
+    def outputs(self) -> list[str]:
+        """The targets in the order of the design's steps."""
+        return [self.target, *self.more_targets]
+
     @property
     def columns(self) -> list[str]:
         """Columns the windows must hold."""
         names = [
             *self.static_real, *self.static_categorical, *self.known_real,
-            *self.known_categorical, *self.observed, self.target,
+            *self.known_categorical, *self.observed, *self.outputs,
         ]
         return list(dict.fromkeys(names))
 
@@ -104,7 +110,7 @@ class InputRoles:
             add(c, c, "known", n)
         for c in self.known_real:
             add(f"{c}_encoder_mean", c, "mean")
-        for c in [*self.observed, *([self.target] if self.use_target_history else [])]:
+        for c in [*self.observed, *(self.outputs if self.use_target_history else [])]:
             add(f"{c}_last", c, "last")
             add(f"{c}_mean", c, "mean")
         return out
@@ -149,7 +155,8 @@ class InputRoles:
 def design_matrix(windows: DataFrame, roles: InputRoles, encoder_steps: int) -> DataFrame:
     """Window rows to (keys, ts, shared, own, y): inputs of the window and, per forecast step, time, own inputs and target.
 
-    The target may be null at times that are still to come.  Any other input that is null or NaN raises, and so does
+    With several targets the steps of the first come first, then those of the second, and so on: a step of the design and
+    of a model is a (target, forecast step).  ``split_outputs`` tells them apart.  The target may be null at times that are still to come.  Any other input that is null or NaN raises, and so does
     a code without a category.
     """
     if not roles.static_real and not roles.static_categorical:
@@ -157,15 +164,27 @@ def design_matrix(windows: DataFrame, roles: InputRoles, encoder_steps: int) ->
     rest = [c for c in windows.columns if c != "steps"]
     steps = F.col("steps")
     future = F.slice(steps, encoder_steps + 1, F.size(steps) - encoder_steps)
+
+    def target(name: str) -> Column:
+        return F.transform(future, lambda s: s[name].cast("double"))
+
+    n = len(roles.outputs)
     return windows.select(
         *rest,
-        F.transform(future, lambda s: s["ts"]).alias("ts"),
+        F.concat(*[F.transform(future, lambda s: s["ts"])] * n).alias("ts"),
         roles.window_inputs(steps, encoder_steps).alias("shared"),
-        F.transform(future, roles.step_inputs).alias("own"),
-        F.transform(future, lambda s: s[roles.target].cast("double")).alias("y"),
+        F.concat(*[F.transform(future, roles.step_inputs)] * n).alias("own"),
+        F.concat(*map(target, roles.outputs)).alias("y"),
     )
 
 
+def split_outputs(rows: DataFrame, roles: InputRoles, horizon: int) -> DataFrame:
+    """``rows`` with ``output``, the target's name, and ``step`` counted from 1 for each target."""
+    names = F.array(*map(F.lit, roles.outputs))
+    at = F.col("step") - 1
+    return rows.withColumns({"output": F.get(names, F.floor(at / horizon).cast("int")), "step": (at % horizon + 1).cast("int")})
+
+
 INPUTS = ("ts", "shared", "own", "y")
 
 

@@ -654,6 +654,27 @@ check(
           where w.step >= 5)) group by ts""",
     **BASELINE,
 )
+TWO = {
+    **SCALED,
+    "w": WINDOWS.format(t=7),
+    "twofold": "select id, window_ts, step, ts, unnest(['y', 'z']) as output, unnest([y, y * y]) as y from w",
+    "enc": "select id, window_ts, max(y) filter (step = 4) as last, sum(y * y) / 5 as mean from w where step < 5 group by 1, 2",
+    "aims": "select output, step, quantile_cont(y, [0.1, 0.5, 0.9]) as q from twofold where step >= 5 group by 1, 2",
+    "told": """
+        select b.id, b.window_ts, b.output, cast(b.step - 4 as integer) as step, ts, y, q[1] + push as yhat_low, q[2] + push as yhat, q[3] + push as yhat_up
+        from (select *, 0.5 * last - 0.25 * mean + case when isodow(ts) = 3 then 0.125 else 0 end as push
+              from twofold join enc using (id, window_ts) where step >= 5) b join aims using (output, step)""",
+}
+check(
+    "predict_two_targets", ["daily"],
+    f"select id, window_ts, output, step, ts, {r6('y', 'yhat_low', 'yhat', 'yhat_up')} from told",
+    **TWO,
+)
+check(
+    "two_target_loss", ["daily"],
+    f"select id, window_ts, round(2 * avg({BAND_LOSS}), 6) as loss from told group by 1, 2",
+    **TWO,
+)
 check(
     "predict_external_model", ["daily"],
     """select id, window_ts, round(avg(y) - 1, 6) as yhat_low, round(avg(y), 6) as yhat,

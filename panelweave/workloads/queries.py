@@ -842,6 +842,36 @@ def predict_quantiles(spark, sf):
     return out.select("id", "window_ts", "step", "ts", r6("y"), r6("yhat_low"), r6("yhat"), r6("yhat_up"))
 
 
+def _two_targets(spark, sf):
+    """Forecasts of two targets of the daily panel from shared inputs, by a stated model."""
+    panel, _, roles = _category_panel(spark, sf)
+    panel = panel.withColumn("z", F.col("y") * F.col("y"))
+    roles = forecast.InputRoles(
+        more_targets=("z",), static_categorical=roles.static_categorical, known_categorical={"weekday": 8}, use_target_history=True
+    )
+    w = windows.sliding_windows(panel, S.DAILY, WINDOW, roles.columns, dense=True)
+    design = staging.stage(forecast.design_matrix(w, roles, ENCODER), "design")
+    bias = forecast.quantile_baseline(design).select("step", "quantile", F.lit("bias").alias("feature"), F.col("value").alias("weight"))
+    slopes = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("weight")) for n, v in (("y_last", 0.5), ("z_mean", -0.25), ("weekday=3", 0.125))])
+    model = bias.unionByName(bias.select("step", "quantile", F.explode(slopes).alias("e")).select("step", "quantile", "e.*"))
+    places = spark.range(roles.width).select(F.col("id").cast("int").alias("position")).withColumn("feature", roles.feature_name(F.col("position")))
+    model = staging.stage(model.join(places, "feature"), "model")
+    return forecast.split_outputs(forecast.predict_quantiles(design, model), roles, WINDOW - ENCODER)
+
+
+@query
+def predict_two_targets(spark, sf):
+    out = _two_targets(spark, sf)
+    return out.select("id", "window_ts", "output", "step", "ts", r6("y"), r6("yhat_low"), r6("yhat"), r6("yhat_up"))
+
+
+@query
+def two_target_loss(spark, sf):
+    """Losses summed over the targets, averaged over the steps."""
+    loss = evaluate.quantile_pinball_loss(_two_targets(spark, sf), ["id", "window_ts"], BANDS, outputs=2)
+    return loss.select("id", "window_ts", r6("loss"))
+
+
 @query
 def predict_external_model(spark, sf):
     """A user's numpy model: mean of the encoder values, less and plus one."""

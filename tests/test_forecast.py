@@ -192,6 +192,30 @@ def test_inputs_share_the_importance(spark, design, fitted):
     assert len(sums) == design.count() and all(r["s"] == pytest.approx(1.0) and r["n"] == 3 for r in sums)
 
 
+# ---- several targets ---------------------------------------------------------------------------
+
+
+def test_two_targets_are_two_models_on_shared_inputs(spark):
+    panel = signal(spark, 12, 20).withColumn("z", 3 - F.col("y"))
+    roles = forecast.InputRoles(more_targets=("z",), static_real=("size",), observed=("y",))
+    w = windows.sliding_windows(panel, PanelSpec(step="1 day"), 8, roles.columns, dense=True)
+    design = forecast.design_matrix(w, roles, 6)
+    assert design.select(F.size("y"), F.size("ts"), F.size("own")).distinct().collect() == [(4, 4, 4)]
+    fit = forecast.fit_quantile_model(design, roles, epochs=2, learning_rate=0.05, min_delta=0.0, patience=9)
+    out = forecast.split_outputs(forecast.predict_quantiles(design, fit.model), roles, 2)
+    both = {}
+    for name in ("y", "z"):
+        alone = forecast.InputRoles(target=name, static_real=("size",), observed=("y",))
+        d = forecast.design_matrix(w, alone, 6)
+        one = forecast.fit_quantile_model(d, alone, epochs=2, learning_rate=0.05, min_delta=0.0, patience=9)
+        both[name] = {(r["id"], r["window_ts"], r["step"]): r["yhat"] for r in forecast.predict_quantiles(d, one.model).collect()}
+    for r in out.collect():
+        assert r["yhat"] == pytest.approx(both[r["output"]][r["id"], r["window_ts"], r["step"]])
+    losses = evaluate.quantile_pinball_loss(out, ["id", "window_ts"], BANDS, outputs=2).agg(F.avg("loss")).first()[0]
+    apart = [evaluate.quantile_pinball_loss(out.where(F.col("output") == n), ["id", "window_ts"], BANDS).agg(F.avg("loss")).first()[0] for n in ("y", "z")]
+    assert losses == pytest.approx(sum(apart))
+
+
 # ---- beyond the data ---------------------------------------------------------------------------
 
 
