@@ -84,3 +84,25 @@ def repeats(rows, length=50):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         out.append((len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1])), sha(kept)))
     return out
+
+
+def lm_scores(rows, weight=0.7):
+    """log10 probability of every text under the bigram model with counts kept as powers of two, without a filter."""
+    held = [id is not None and zlib.crc32(str(id).encode()) % 7 == 2 for id, _ in rows]
+    tokens = [[*words(t, True), None] for _, t in rows]
+    one, two = Counter(), Counter()
+    for h, ts in zip(held, tokens):
+        if not h:
+            one.update(ts)
+            two.update(zip([None, *ts], ts))
+    total, distinct = sum(one.values()), len(one)
+    middle = lambda c: 1.5 * 2 ** math.floor(math.log2(c)) - 0.5 if c else 0.0
+    out = []
+    for ts in tokens:
+        s = 0.0
+        for v, w in zip([None, *ts], ts):
+            a, b = middle(two[v, w]), middle(one[v])
+            joint = min(a / b, 1.0) if b else 0.0
+            s += math.log10(weight * joint + (1 - weight) * (middle(one[w]) + 1) / (total + distinct + 1))
+        out.append((len(ts), s))
+    return out

@@ -59,6 +59,20 @@ def test_lm_base(docs, rows, spec):
     assert all(r.score < 0 for r in out)
 
 
+def test_lm_scores_equal_the_model_without_a_filter(docs, rows):
+    """With so many bits that no probe is wrong the scores are those of the counts; the stated size costs little."""
+    want = brute.lm_scores([(r[0], r[1]) for r in rows])
+    for spec in (lm_scoring.LmSpec(bits=80, probes=24), lm_scoring.LmSpec(bits=80, probes=24, shard_bytes=20_000, broadcast_bytes=0)):
+        out = Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in lm_scoring.score_documents(docs, spec).collect())
+        assert out == Counter((row[0], n, round(s, 6)) for row, (n, s) in zip(rows, want))
+    by = {(row[0], n, row[1]): s for row, (n, s) in zip(rows, want)}
+    stated = lm_scoring.score_documents(docs, lm_scoring.LmSpec()).select("doc_id", "n_tokens", "score").collect()
+    exact = Counter()
+    for (id, n, _), s in by.items():
+        exact[id, n] = s
+    assert sum(abs(r.score - exact[r.doc_id, r.n_tokens]) for r in stated if r.doc_id is not None) < 0.05 * sum(r.n_tokens for r in stated)
+
+
 def test_lm_both_ways_agree(docs):
     one, other = (
         sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm_scoring.score_documents(docs, spec).collect())
