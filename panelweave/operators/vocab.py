@@ -89,29 +89,27 @@ def encode_labels(
     """Replace values by codes.  ``unseen`` values raise, drop the row or get the next free code.
 
     ``state`` is a stored vocabulary table.  Its small columns are broadcast, a column with a large
-    vocabulary is joined through a shuffle that spreads hot values.  A null value counts as unseen.
+    vocabulary is joined through a shuffle that spreads hot values.  The lookups of all columns follow each other on the rows as
+    they are, with one projection at the end.  A null value counts as unseen.
     """
     if unseen not in ("error", "skip", "keep"):
         raise ValueError("unseen must be 'error', 'skip' or 'keep'")
-    out, sizes = df, _sizes(state, columns)
+    sizes, picks, known = _sizes(state, columns), {}, F.lit(True)
+    out = df.withColumns({f"__value_{c}": F.col(c).cast("string") for c in columns})
     for c in columns:
-        codes = state.where(F.col("column") == c).select(
-            F.col("value").alias("__value"), F.col("code").alias("__code")
-        )
-        keyed = out.withColumn("__value", F.col(c).cast("string"))
-        joined = attach(keyed, codes, "__value", "left", fits=_fits(sizes[c], limit))
-        code = F.col("__code")
+        codes = state.where(F.col("column") == c).select(F.col("value").alias(f"__value_{c}"), F.col("code").alias(f"__code_{c}"))
+        out = attach(out, codes, f"__value_{c}", "left", fits=_fits(sizes[c], limit))
+        code = F.col(f"__code_{c}")
         if unseen == "error":
-            text = F.concat(
-                F.lit(f"unseen value in {c}: "), F.coalesce(F.col("__value"), F.lit("null"))
-            )
+            text = F.concat(F.lit(f"unseen value in {c}: "), F.coalesce(F.col(f"__value_{c}"), F.lit("null")))
             code = F.when(code.isNull(), F.raise_error(text)).otherwise(code)
         elif unseen == "skip":
-            joined = joined.where(code.isNotNull())
+            known = known & code.isNotNull()
         else:
             code = F.coalesce(code, F.lit(sizes[c][0]))
-        out = joined.withColumn(c, code.cast("int")).select(*df.columns)
-    return out
+        picks[c] = code.cast("int").alias(c)
+    # one projection for all columns
+    return (out.where(known) if unseen == "skip" else out).select(*[picks.get(c, F.col(c)) for c in df.columns])
 
 
 def decode_labels(
@@ -123,17 +121,14 @@ def decode_labels(
     """
     if unseen not in ("error", "null"):
         raise ValueError("unseen must be 'error' or 'null'")
-    out, sizes = df, _sizes(state, columns)
+    sizes, picks = _sizes(state, columns), {}
+    out = df.withColumns({f"__code_{c}": F.col(c).cast("int") for c in columns})
     for c in columns:
-        values = state.where(F.col("column") == c).select(
-            F.col("code").alias("__code"), F.col("value").alias("__value")
-        )
-        joined = attach(out.withColumn("__code", F.col(c).cast("int")), values, "__code", "left", fits=_fits(sizes[c]))
-        value = F.col("__value")
+        values = state.where(F.col("column") == c).select(F.col("code").alias(f"__code_{c}"), F.col("value").alias(f"__value_{c}"))
+        out = attach(out, values, f"__code_{c}", "left", fits=_fits(sizes[c]))
+        code, value = F.col(f"__code_{c}"), F.col(f"__value_{c}")
         if unseen == "error":
-            text = F.concat(F.lit(f"unknown code in {c}: "), F.col("__code").cast("string"))
-            value = F.when(value.isNull() & F.col("__code").isNotNull(), F.raise_error(text)).otherwise(value)
-        if types and c in types:
-            value = value.cast(types[c])
-        out = joined.withColumn(c, value).select(*df.columns)
-    return out
+            text = F.concat(F.lit(f"unknown code in {c}: "), code.cast("string"))
+            value = F.when(value.isNull() & code.isNotNull(), F.raise_error(text)).otherwise(value)
+        picks[c] = (value.cast(types[c]) if types and c in types else value).alias(c)
+    return out.select(*[picks.get(c, F.col(c)) for c in df.columns])
