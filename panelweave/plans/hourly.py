@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.timegrid import date_parts
-from panelweave.operators.joins import cold_start_filter
 from panelweave.operators.resample import resample_mean
 from panelweave.operators.scaling import fit_scaler, scale
 from panelweave.operators.series import fill_gaps
@@ -33,18 +32,14 @@ def window_flow(
 ) -> tuple[DataFrame, DataFrame]:
     """Panel, scaling fitted on the training part only, split by time, windows of both parts.
 
-    The panel is staged: fitting, both splits and the windows read it.  Entities without a training
+    The panel is staged for the fit, and staged scaled: both splits and the windows read that.  Entities without a training
     row have no scaler and are left out of the second part.
     """
     panel = stage(dense_panel(events, spec), "panel")
-    train, test = split_two(panel, boundary, spec.ts)
+    train, _ = split_two(panel, boundary, spec.ts)
     state = stage(fit_scaler(train, [spec.target], spec.id), "scalers")
-    known = stage(train.select(spec.id).distinct(), "training-ids")
-    test = cold_start_filter(test, known, spec.id)
+    scaled = stage(scale(panel, state, [spec.target], spec.id, unseen="skip"), "scaled-panel")
     columns = ["month", "day", "day_of_week", "hour", spec.target]
     return tuple(
-        sliding_windows(
-            scale(part, state, [spec.target], spec.id), spec, length, columns, dense=True
-        )
-        for part in (train, test)
+        sliding_windows(part, spec, length, columns, dense=True) for part in split_two(scaled, boundary, spec.ts)
     )
