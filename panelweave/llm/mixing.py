@@ -169,12 +169,12 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     names = ["source", "doc_id", "_tie", "size"]
     edge = stage(_edge(with_sources(scored, plan)).select(*[F.col(c).alias(f"_e{c}") for c in names], "_more"), "mix-edge")
     placed = with_sources(_bucketed(_keyed(docs, mix, F.struct(*[docs[c] for c in docs.columns]).alias("_row")), mix), plan)
-    at_end = placed.filter(F.col("_bucket") == F.col("_end")).withColumn("_look", F.xxhash64("_row"))
-    distinct = at_end.groupBy(*names, "_look").agg(F.count(F.lit(1)).alias("_rows"), F.first("_row").alias("_row"), F.first("_epochs").alias("_epochs"))
+    at_end = placed.filter(F.col("_bucket") == F.col("_end"))
+    distinct = at_end.groupBy(*names, "_row").agg(F.count(F.lit(1)).alias("_rows"), F.first("_epochs").alias("_epochs"))
     same = F.lit(True)
     for c in names:
         same = same & F.col(c).eqNullSafe(F.col(f"_e{c}"))
-    before = F.sum("_rows").over(Window.partitionBy(*names).orderBy("_look").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")
+    before = F.sum("_rows").over(Window.partitionBy(*names).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")
     dealt = distinct.withColumn("_dealt", before).join(edge, same)
     more = F.greatest(F.least(F.col("_more") - F.col("_dealt"), F.col("_rows")), F.lit(0))
     looked_up = dealt.withColumn("copies", F.col("_epochs") * F.col("_rows") + more).select("_row", "size", "copies")
