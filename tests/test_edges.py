@@ -137,3 +137,38 @@ def test_a_half_written_table_is_built_again(spark, tmp_path):
     parts = [f for f in os.listdir(path) if f.startswith("part-")]
     os.rename(os.path.join(path, parts[0]), str(tmp_path / "lost"))
     assert staging.materialize(spark, path, build).count() == 100 and len(calls) == 2
+
+
+def test_many_pieces_in_a_call(spark):
+    """Batched functions see whole pieces only, fewer calls than pieces, and exact ids beside null ones."""
+    big = (1 << 60) + 1
+    rows = [(i, h, float(h)) for i in (big, big + 1, None, 3) for h in range(121)]
+    df = panel(spark, [(str(i) if i is not None else None, h, y) for i, h, y in rows]).withColumn("id", F.col("id").cast("bigint"))
+    spec = HOUR.with_(chunk_steps=24)
+
+    def sums(pieces):
+        by = pieces.groupby(groups.PIECE).agg(n=("y", "size"), s=("y", "sum"))
+        first = ~pieces[groups.PIECE].duplicated()
+        return by.assign(id=pieces.loc[first, "id"].to_numpy(), calls=[1.0] + [0.0] * (len(by) - 1))
+
+    def one(piece):
+        return pd.DataFrame({"id": piece["id"].iloc[:1], "n": [len(piece)], "s": [piece["y"].sum()], "calls": [1.0]})
+
+    schema = "id bigint, n bigint, s double, calls double"
+    plain = groups.piece_apply(df, spec, 24, one, schema).drop("calls").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10000", "50", "7", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            done = groups.piece_apply(df, spec, 24, sums, schema, batched=True).collect()
+            assert sorted([tuple(r)[:3] for r in done], key=str) == sorted(map(tuple, plain), key=str)
+            assert size != "10000" or sum(r["calls"] for r in done) < len(done)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    spread = groups.group_apply(
+        df, spec, sums, schema, [F.sum("n").alias("rows"), F.sum("s").alias("total")],
+        lambda p: p.assign(z=p["y"] - p["total"] / p["rows"])[["id", "ts", "z"]], "id bigint, ts timestamp_ntz, z double", batched=True,
+    )
+    assert {(r["id"], r["n"], r["s"]) for r in spread.groupBy("id").agg(F.count("z").alias("n"), F.sum("z").alias("s")).collect()} == {
+        (i, 121, 0.0) for i in (big, big + 1, None, 3)
+    }
