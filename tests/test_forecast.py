@@ -134,6 +134,27 @@ def test_wide_models_predict_alike(design, fitted):
     assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, wide.select(*narrow.columns).collect()))
 
 
+def test_weights_are_looked_up_without_an_array_in_every_row(spark, design, fitted, monkeypatch):
+    """A broadcast table with a category for every entity: same bits, and no row carries the weights of all positions."""
+    steps, weights_of = forecast.forecast_steps(design), forecast._by_position(fitted.model, forecast.QUANTILES)
+    assert forecast._kind(2, ROLES.width, 3, forecast.BROADCAST_BYTES) == "array"
+    assert forecast._kind(2, 90_000, 3, forecast.BROADCAST_BYTES) == "lookup"
+    assert forecast._kind(2, 900_000, 3, forecast.BROADCAST_BYTES) == "join"
+    array = forecast._weighted(steps, [], weights_of, 3, ROLES.width, "array")
+    lookup = forecast._weighted(steps, [], weights_of, 3, ROLES.width, "lookup", len(ROLES.inputs))
+    assert sorted(map(str, array.collect())) == sorted(map(str, lookup.select(*array.columns).collect()))
+    listed = ["collect_list(struct(position" in df._jdf.queryExecution().optimizedPlan().toString() for df in (array, lookup)]
+    assert listed == [True, False]
+
+    fit = lambda: forecast.fit_quantile_model(design, ROLES, epochs=3, min_delta=0.0, patience=9)
+    predict = lambda: sorted(map(str, forecast.predict_quantiles(design, fitted.model).collect()))
+    one, rows = fit(), predict()
+    monkeypatch.setattr(forecast, "ROW_BYTES", 0)
+    other = fit()
+    assert weights(other) == weights(one) and other.history.collect() == one.history.collect()
+    assert predict() == rows
+
+
 def test_predictions_score_what_training_saw(design, fitted):
     rows = forecast.predict_quantiles(design, fitted.model)
     score = evaluate.evaluate_forecast(rows, ["id", "window_ts"], BANDS).first()["loss"]
