@@ -4,10 +4,12 @@ import random
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.llm import fingerprints, mixing, near_dedup, secret_scan, url_filter
+from panelweave.llm import fingerprints, mixing, near_dedup, secret_scan, suffix_dedup, url_filter
 from panelweave.llm.components import components
 from panelweave.llm.near_links import NearSpec, id_of, near_components, node_of
 from tests.llm import brute
@@ -163,3 +165,29 @@ def test_verdicts_do_not_depend_on_other_hosts(spark):
     more = [(f"http://h{i}.d{j}.com/" + ("spam/" if i % 2 else ""), None) for i in range(4) for j in range(30)]
     one, many = verdicts(spark, rows), verdicts(spark, rows + more)
     assert all(many[h][1:] == v[1:] and many[h][0] == v[0] for h, v in one.items())
+
+
+def test_anchors_fill_the_hash_ranges_evenly():
+    data = np.random.default_rng(5).integers(97, 123, 200_000).astype(np.uint8)
+    anchors = np.unique(suffix_dedup.runs(data, np.array([0, len(data)]), suffix_dedup.RepeatSpec())[0])
+    share = np.bincount((anchors >> np.uint64(61)).astype(int), minlength=8) / len(anchors)
+    assert len(anchors) > 10_000 and share.max() < 0.14
+
+
+def test_blocks_hold_equal_rows_once_and_no_lone_rows():
+    spec, asked = suffix_dedup.RepeatSpec(length=50, block=200), []
+
+    def owners(parts, ids, spec):
+        asked.append(list(parts))
+        return suffix_dedup.block_owners(parts, ids, spec)
+
+    rng = np.random.default_rng(6)
+    word = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    hot, long, lone = word(50), word(70), word(90)
+    rows = [(k, 1, 0, k // 2, hot) for k in range(3000)] + [(5000, 2, 0, 7, lone)]
+    rows += [(6000, 3, 4, 3, long[5:60]), (6001, 3, 0, 8, long), (6002, 3, 0, 8, long)]
+    names = ["seg", "group", "offset", "least", "bytes"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + 700]]) for i in range(0, len(rows), 700)]
+    found = sorted(tuple(r.values()) for b in suffix_dedup.answered(batches, spec, owners) for r in b.to_pylist())
+    assert found == sorted([(k, 0, 1) for k in range(2, 3000)] + [(6001, 5, 6), (6002, 5, 6)])
+    assert sum(map(len, asked)) == 5 and lone not in sum(asked, [])
