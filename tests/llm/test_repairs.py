@@ -191,3 +191,21 @@ def test_blocks_hold_equal_rows_once_and_no_lone_rows():
     found = sorted(tuple(r.values()) for b in suffix_dedup.answered(batches, spec, owners) for r in b.to_pylist())
     assert found == sorted([(k, 0, 1) for k in range(2, 3000)] + [(6001, 5, 6), (6002, 5, 6)])
     assert sum(map(len, asked)) == 5 and lone not in sum(asked, [])
+
+
+def test_windows_that_crowded_segments_repeat_are_one_row(spark, monkeypatch):
+    """Periodic segments of one crowded anchor: rows grow with the distinct windows, and every place of them is answered."""
+    spec, sizes, plain = suffix_dedup.RepeatSpec(hot_bytes=1_000), [], suffix_dedup.earlier_windows
+
+    def counted(unique, spec):
+        sizes.append(unique.count())
+        return plain(unique, spec)
+
+    monkeypatch.setattr(suffix_dedup, "earlier_windows", counted)
+    rows = [(i, f"{i * i} head " + "spam and " * (40 + i) + f"tail {i}") for i in range(30)]
+    rows += [(40, "ham or " * 60), (41, "\0\0x" * 90 + "end"), (42, "y\0\0x" + "\0\0x" * 70), (None, "or ham or ham " * 50)]
+    df = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    out = suffix_dedup.deduplicate(df, spec).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(map(tuple, out)) == Counter((r[0], *w) for r, w in zip(rows, brute.repeats(rows), strict=True))
+    windows = sum(len(t) - spec.length + 1 for _, t in rows)
+    assert windows > 14_000 and sizes[0] < windows / 8
