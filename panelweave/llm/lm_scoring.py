@@ -5,8 +5,10 @@ them on by hash range; each range then sums what it got.  A range becomes a shar
 has level ``1 + floor(log2 c)`` and is entered once for every level up to its own.  A level is read back by probing
 level 1, 2, ... until a probe fails.  Exact unigram counts stay beside the filter for the base score.
 
-Scoring broadcasts shards and counts when their measured size is within ``broadcast_bytes``.  Beyond that every
-distinct n-gram of the texts is dealt to its shard instead, probed there, and joined back.  Both ways give one result.
+Scoring broadcasts shards and counts when their measured size is within ``broadcast_bytes``.  Beyond that the texts
+are stored in chunks.  A chunk sends each shard one blob with the chunk's distinct n-grams of that range, in order; the
+shard probes them and sends back a level and a count for each, in the same order, and the chunk scores its texts with
+the answers of all shards.  So no n-gram is a row.  Both ways give one result.
 
 A token is a word ``[^\\x20\\x09-\\x0D]+`` in lower case (A-Z), and one end per text, which is also what stands before
 the first word.  The model interpolates: ``weight * c(v w) / c(v) + (1 - weight) * (c(w) + 1) / (N + V + 1)``, with every
@@ -16,17 +18,20 @@ often; a null doc_id is in training.  Without training text all counts are 0, an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm import textarrays as T
-from panelweave.sources.staging import stage
+from panelweave.llm.suffix_dedup import release
+from panelweave.sources.staging import discard, new_path, stage
 
 END = T.seeds(1, 31)[0]
 _PAIR = T.seeds(3, 32) | np.uint64(1)
@@ -38,6 +43,7 @@ class LmSpec:
     """Filter bits per entry and probes per level; interpolation weight; sizes that bound memory.
 
     ``shard_bytes`` of text make one hash range, ``flush`` tokens are summed in a task before they are sent.
+    ``chunk_bytes`` of text ask the shards together; a shard answers up to ``asked`` n-grams at a time.
     """
 
     bits: int = 8
@@ -46,6 +52,8 @@ class LmSpec:
     flush: int = 1_500_000
     shard_bytes: int = 8_000_000
     broadcast_bytes: int = 192_000_000
+    chunk_bytes: int = 8_000_000
+    asked: int = 300_000
 
 
 def held_out(id: Column) -> Column:
@@ -86,6 +94,18 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=np.uint64), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel()
 
 
+def pack_answers(levels: np.ndarray, counts: np.ndarray) -> bytes:
+    """Levels as bytes, and counts by byte place, compressed."""
+    raw = levels.astype(np.uint8).tobytes() + counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack_answers(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = len(raw) // 9
+    return raw[:n], np.ascontiguousarray(raw[n:].reshape(8, n).T).view(np.int64).ravel()
+
+
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys with their counts."""
     if counts is None:
@@ -148,6 +168,13 @@ def of_level(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
 
 
+def by_shard(keys: np.ndarray, lead: int) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of the runs of sorted keys that belong to one shard."""
+    borders = np.searchsorted(keys, np.arange(1, 1 << lead, dtype=np.uint64) << np.uint64(64 - lead)) if lead else []
+    cuts = [0, *map(int, borders), len(keys)]
+    return [(i, a, b) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+
+
 def train(docs: DataFrame, spec: LmSpec) -> tuple[DataFrame, int]:
     """Shards (shard, lead, tokens, distinct, keys, bits) of the model, and the number of leading bits."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -161,9 +188,7 @@ def train(docs: DataFrame, spec: LmSpec) -> tuple[DataFrame, int]:
             rows = []
             for order, parts in held.items():
                 keys, counts = summed(np.concatenate(parts))
-                borders = np.searchsorted(keys, np.arange(1, 1 << lead, dtype=np.uint64) << np.uint64(64 - lead)) if lead else []
-                cuts = [0, *map(int, borders), len(keys)]
-                rows += [(i, order, pack(keys[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                rows += [(i, order, pack(keys[a:b], counts[a:b])) for i, a, b in by_shard(keys, lead)]
                 parts.clear()
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["shard", "n", "grams"])
@@ -253,6 +278,23 @@ def score_documents(docs: DataFrame, spec: LmSpec = LmSpec()) -> DataFrame:
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _scored(part: pa.RecordBatch | pa.Table, first: np.ndarray, here: np.ndarray, end: int, c: np.ndarray, seen: np.ndarray, two: np.ndarray, total: int, distinct: int, spec: LmSpec) -> list:
+    """The columns of ``OUT`` for the rows of ``part`` (doc_id, held_out).
+
+    ``here`` names each token, and ``end`` the end token, by place in ``c`` and ``seen``: exact counts, and counts by the filter;
+    ``two`` has the latter of each bigram.
+    """
+    there = np.empty_like(here)
+    there[1:] = here[:-1]
+    there[first[:-1]] = end
+    one = seen[there]
+    joint = np.minimum(np.divide(two, one, out=np.zeros_like(two), where=one > 0), 1.0)
+    p = spec.weight * joint + (1 - spec.weight) * (seen[here] + 1) / (total + distinct + 1)
+    base = np.log10((c[here] + 1) / (total + distinct + 1))
+    sums = [np.add.reduceat(x, first[:-1]) for x in ((c[here] > 0).astype(np.int64), base, np.log10(p))]
+    return [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(sums[0]), pa.array(np.full(len(first) - 1, total, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+
+
 def _score_broadcast(docs: DataFrame, shards: DataFrame, lead: int, total: int, distinct: int, spec: LmSpec) -> DataFrame:
     """Every worker has the whole model, whose size was checked."""
     context = docs.sparkSession.sparkContext
@@ -263,89 +305,129 @@ def _score_broadcast(docs: DataFrame, shards: DataFrame, lead: int, total: int,
         (known, times), levels = exact.value, grams.value
         for batch in batches:
             for lo, hi, token, first in tokens(batch.column(1)):
-                before, pair = pairs(token, first)
+                pair = pairs(token, first)[1]
                 word, place = np.unique(np.concatenate([token, [END]]), return_inverse=True)
                 c = np.zeros(len(word), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                     c = np.where(known[at] == word, times[at], 0)
                 seen = of_level(levels.levels(word))
-                here = place[:-1]
-                there = np.empty_like(here)
-                there[1:] = here[:-1]
-                there[first[:-1]] = place[-1]
-                two, one = of_level(levels.levels(pair)), seen[there]
-                joint = np.minimum(np.divide(two, one, out=np.zeros_like(two), where=one > 0), 1.0)
-                p = spec.weight * joint + (1 - spec.weight) * (seen[here] + 1) / (total + distinct + 1)
-                base = np.log10((c[here] + 1) / (total + distinct + 1))
-                sums = [np.add.reduceat(x, first[:-1]) for x in ((c[here] > 0).astype(np.int64), base, np.log10(p))]
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(np.diff(first)), pa.array(sums[0]), pa.array(np.full(hi - lo, total, np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-                    names=[f.split()[0] for f in OUT.split(", ")],
-                )
+                columns = _scored(batch.slice(lo, hi - lo), first, place[:-1], place[-1], c, seen, of_level(levels.levels(pair)), total, distinct, spec)
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in OUT.split(", ")])
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, OUT)
 
 
-def _score_dealt(docs: DataFrame, shards: DataFrame, lead: int, total: int, distinct: int, spec: LmSpec, salts: int = 8) -> DataFrame:
-    """The texts' distinct n-grams go to the shards; levels and counts are joined back to the texts' bigrams."""
-    numbered = stage(docs.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
+def chunked(docs: DataFrame, spec: LmSpec) -> DataFrame:
+    """``docs`` (doc_id, held_out, text) with the chunk of each row: neighbours of up to ``chunk_bytes``, or one longer text."""
 
-    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for lo, hi, token, first in tokens(batch.column(1)):
-                before, pair = pairs(token, first)
-                row = np.repeat(rows[lo:hi], np.diff(first))
-                columns = [row, pair.view(np.int64), before.view(np.int64), token.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "pair", "before", "token"])
-
-    used = numbered.select("row", "text").mapInArrow(uses, "row long, pair long, before long, token long")
-    used = stage(used.groupBy("row", "pair", "before", "token").count(), "lm-uses")
-    keys = used.select(F.explode(F.array("pair", "before", "token")).alias("key")).distinct()
-    shard = (F.shiftrightunsigned("key", 64 - lead) if lead else F.lit(0)).cast("int")
-    probes = keys.select(shard.alias("shard"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("salt"), "key", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "counts", "bits")])
-    copies = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("key"), "keys", "counts", "bits")
-    dealt = probes.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("key").isNotNull())
+            _, offsets = T.utf8(batch.column(2))
+            size = np.concatenate([[0], np.cumsum(np.diff(offsets) + 8)])  # an empty text is a token, too
+            for lo, hi in T.chunks(size, min(T.CHUNK, spec.chunk_bytes)):
+                if held and held + size[hi] - size[lo] > spec.chunk_bytes:
+                    chunk, held = chunk + 1, 0
+                held += size[hi] - size[lo]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, chunk, np.int64)), *part.columns], names=["chunk", *part.schema.names])
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "chunk long, doc_id long, held_out boolean, text string")
+
+
+def _stored_chunks(docs: DataFrame, spec: LmSpec) -> tuple[DataFrame, str]:
+    """The chunks written to the shared folder in buckets, so that grouping them needs no shuffle; and the name of the table."""
+    spark = docs.sparkSession
+    name = f"panelweave_lm_texts_{uuid.uuid4().hex}"
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+    writer = chunked(docs, spec).write.format("parquet").option("path", new_path(spark, "lm-texts")).option("compression", "zstd")
+    writer.bucketBy(parts, "chunk").saveAsTable(name)
+    return spark.table(name), name
+
+
+def chunk_grams(texts: pa.ChunkedArray) -> tuple[list[tuple], np.ndarray]:
+    """Runs (lo, hi, tokens, where each row's begin, bigrams) of a chunk's texts, and its distinct n-grams in order."""
+    runs = [(lo, hi, token, first, pairs(token, first)[1]) for lo, hi, token, first in tokens(texts)]
+    return runs, summed(np.concatenate([x for r in runs for x in (r[2], r[4])]))[0]
+
+
+def _answers(asks: DataFrame, shards: DataFrame, lead: int, spec: LmSpec) -> DataFrame:
+    """(chunk, shard, answers) for asks (shard, chunk, grams): the level and exact count of every n-gram, in the order of the ask."""
+    model = ["keys", "counts", "bits"]
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    loads = shards.select("shard", *nothing("long", "chunk"), *nothing("binary", "grams"), *model)
+    dealt = loads.unionByName(asks.select("shard", "chunk", "grams", *nothing("binary", *model)))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.col("chunk").isNotNull())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times, levels, loaded = np.zeros(0, np.uint64), np.zeros(0, np.int64), None, None
+        asked: list[tuple[int, np.ndarray]] = []
+        shard, waiting = None, 0
+
+        def reply() -> pa.RecordBatch:
+            keys = np.concatenate([k for _, k in asked])
+            level, c = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            if loaded == shard:
+                level = levels.levels(keys)
+                if len(known):
+                    where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                    c = np.where(known[where] == keys, times[where], 0)
+            cuts = np.cumsum([0, *(len(k) for _, k in asked)])
+            blobs = [pack_answers(level[a:b], c[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            columns = [pa.array([i for i, _ in asked], pa.int64()), pa.array([shard] * len(asked), pa.int32()), pa.array(blobs, pa.binary())]
+            asked.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "shard", "answers"])
+
         for batch in batches:
-            at, key = batch.column(0).to_numpy(), batch.column(2)
-            loads = np.flatnonzero(key.is_null().to_numpy(zero_copy_only=False))
-            cuts = np.unique(np.concatenate([[0], loads, np.flatnonzero(np.diff(at)) + 1, [len(at)]]))
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                start = lo
-                if lo in loads:
-                    row = {c: batch.column(c)[int(lo)].as_py() for c in ("shard", "keys", "counts", "bits")}
-                    known, times = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64)
-                    levels, loaded, start = one_shard(row["shard"], row["bits"], lead, spec), row["shard"], lo + 1
-                if start == hi:
-                    continue
-                asked = key.slice(start, hi - start).to_numpy().view(np.uint64)
-                level, c = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
-                if loaded == at[start]:
-                    level = levels.levels(asked)
-                    if len(known):
-                        where = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                        c = np.where(known[where] == asked, times[where], 0)
-                found = level + c > 0
-                yield pa.RecordBatch.from_arrays([pa.array(asked[found].view(np.int64)), pa.array(of_level(level[found])), pa.array(c[found])], names=["key", "seen", "c"])
-
-    found = stage(dealt.mapInArrow(probe, "key long, seen double, c long"), "lm-levels")
-    joined = used
-    for name in ("pair", "before", "token"):
-        side = found.select(F.col("key").alias(name), F.col("seen").alias(f"{name}_seen"), F.col("c").alias(f"{name}_c"))
-        joined = joined.join(side, name, "left")
-    seen = {n: F.coalesce(f"{n}_seen", F.lit(0.0)) for n in ("pair", "before", "token")}
-    joint = F.when(seen["before"] > 0, F.least(seen["pair"] / seen["before"], F.lit(1.0))).otherwise(0.0)
-    whole = float(total + distinct + 1)
-    p = spec.weight * joint + (1 - spec.weight) * (seen["token"] + 1) / whole
-    c = F.coalesce("token_c", F.lit(0))
-    sums = joined.groupBy("row").agg(
-        F.sum("count").alias("n_tokens"), F.sum(F.when(c > 0, F.col("count")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("count") * F.log10((c + 1) / whole)).alias("base_score"), F.sum(F.col("count") * F.log10(p)).alias("score"),
-    )
-    out = numbered.select("row", "doc_id", "held_out").join(sums, "row").withColumn("train_tokens", F.lit(total).cast("long"))
-    return out.select(*[f.split()[0] for f in OUT.split(", ")])
+            for row in zip(*batch.columns, strict=True):
+                at, chunk = row[0].as_py(), row[1].as_py()
+                if asked and (at != shard or waiting >= spec.asked):
+                    yield reply()
+                    waiting = 0
+                shard = at
+                if chunk is None:
+                    known, times = np.frombuffer(row[3].as_py(), np.uint64), np.frombuffer(row[4].as_py(), np.int64)
+                    levels, loaded = one_shard(at, row[5].as_py(), lead, spec), at
+                else:
+                    asked.append((chunk, unpack(row[2].as_py())[0]))
+                    waiting += len(asked[-1][1])
+        if asked:
+            yield reply()
+
+    return dealt.mapInArrow(probe, "chunk long, shard int, answers binary")
+
+
+def _score_dealt(docs: DataFrame, shards: DataFrame, lead: int, total: int, distinct: int, spec: LmSpec) -> DataFrame:
+    """Chunks of texts ask the shards for their distinct n-grams; what is no longer needed is deleted on the way."""
+    spark = docs.sparkSession
+    release(spark)
+    texts, name = _stored_chunks(docs, spec)
+
+    def ask(rows: pa.Table) -> pa.Table:
+        keys = chunk_grams(rows.column("text"))[1]
+        sent = [(i, pack(keys[a:b], np.zeros(b - a))) for i, a, b in by_shard(keys, lead)]
+        columns = [pa.array([i for i, _ in sent], pa.int32()), pa.array([rows.column("chunk")[0].as_py()] * len(sent), pa.int64()), pa.array([x for _, x in sent], pa.binary())]
+        return pa.Table.from_arrays(columns, names=["shard", "chunk", "grams"])
+
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        runs, keys = chunk_grams(rows.column("text"))
+        blobs = answers.column("answers")
+        level, times = map(np.concatenate, zip(*(unpack_answers(blobs[int(i)].as_py()) for i in np.argsort(answers.column("shard").to_numpy())), strict=True))
+        parts = []
+        for lo, hi, token, first, pair in runs:
+            own, place = np.unique(np.concatenate([token, pair, [END]]), return_inverse=True)
+            at = np.searchsorted(keys, own)
+            seen, n = of_level(level[at]), len(token)
+            columns = _scored(rows.slice(lo, hi - lo), first, place[:n], place[-1], times[at], seen, seen[place[n:-1]], total, distinct, spec)
+            parts.append(pa.Table.from_arrays(columns, names=[f.split()[0] for f in OUT.split(", ")]))
+        return pa.concat_tables(parts)
+
+    asks = texts.select("chunk", "text").groupBy("chunk").applyInArrow(ask, "shard int, chunk long, grams binary")
+    answers = stage(_answers(asks, shards, lead, spec), "lm-levels")
+    del asks
+    release(spark)
+    scored = stage(texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, OUT), "lm-scores")
+    discard(texts, answers, shards)
+    spark.sql(f"DROP TABLE {name}")
+    return scored
